@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import exact_dedup, packing, paragraph_sketch, simhash, url_filter, warc
+from ._common import scratch, table
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
-from . import exact_dedup, simhash, url_filter
-from ._common import table
 
 #: The rules of the query (fixed values): host, path, verdict.
 URL_RULES = [
@@ -17,6 +24,18 @@ URL_RULES = [
 ]
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, clean = scratch(spark, "warc-raw"), scratch(spark, "warc-clean")
+    warc.write_pages(table(spark, sf_dir, "pages"), raw)
+    warc.deduplicate(spark, raw, clean)
+    read = warc.read_records(spark, clean, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
@@ -31,13 +50,30 @@ def op9_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.sketch_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_warc_revisits": op3_warc_revisits,
+    "op5_vector_packing": op5_vector_packing,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_simhash_popcount": op9_simhash_popcount,
+    "op10_paragraph_sketch": op10_paragraph_sketch,
 }
 
 ORACLE_SQL = {
+    "op3_warc_revisits": """
+        WITH p AS (
+            SELECT page_id, coalesce(octet_length(encode(html)), 0) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hex FROM pages),
+        d AS (
+            SELECT page_id, payload_bytes, (
+                SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1), '' ORDER BY i)
+                FROM range(32) t(i)) AS payload_digest FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keep THEN keep END AS refers_to FROM m""",
     "op6_url_filter": """
         WITH rules(r_host, r_path, r_verdict) AS (
             VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
