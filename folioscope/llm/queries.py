@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, paragraph_sketch, simhash, url_filter, warc
+from . import exact_dedup, language_id, packing, paragraph_sketch, quality, simhash, url_filter, warc
 from ._common import scratch, table
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,10 @@ URL_RULES = [
 ]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, clean = scratch(spark, "warc-raw"), scratch(spark, "warc-clean")
     warc.write_pages(table(spark, sf_dir, "pages"), raw)
@@ -32,6 +36,10 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -55,7 +63,9 @@ def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_warc_revisits": op3_warc_revisits,
+    "op4_quality": op4_quality,
     "op5_vector_packing": op5_vector_packing,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
