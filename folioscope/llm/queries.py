@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, paragraph_sketch, quality, simhash, url_filter, warc
+from . import exact_dedup, language_id, line_dedup, packing, paragraph_sketch, quality, sentencepiece_fst, simhash, url_filter, warc
 from ._common import scratch, table
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.near_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, clean = scratch(spark, "warc-raw"), scratch(spark, "warc-clean")
     warc.write_pages(table(spark, sf_dir, "pages"), raw)
@@ -53,6 +57,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
@@ -64,11 +72,13 @@ def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_quality": op4_quality,
     "op5_vector_packing": op5_vector_packing,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_sentencepiece_fst": op8_sentencepiece_fst,
     "op9_simhash_popcount": op9_simhash_popcount,
     "op10_paragraph_sketch": op10_paragraph_sketch,
 }
