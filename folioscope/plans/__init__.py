@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from . import text
+from . import layout, markup, text
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "layout", "markup", "text"]
