@@ -55,3 +55,17 @@ def crc_bucket(id_col: str, modulus: int) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows that pass between a task and its Python worker at a time.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the batches that Python workers get small: rows hold whole texts, some of them very long.
+
+    Both the worker and the task hold a batch in memory.  A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -21,6 +21,8 @@ like any others; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
+
 #: Text bytes tokenised at once, tokens and examples of a block, and cached words: these bound a task's memory.
-SLICE_BYTES, BLOCK_TOKENS, BLOCK_EXAMPLES, CACHED_WORDS = 16 << 20, 4_000_000, 8192, 400_000
+SLICE_BYTES, BLOCK_TOKENS, BLOCK_EXAMPLES, CACHED_WORDS = 8 << 20, 4_000_000, 8192, 700_000
 
 
 @dataclass(frozen=True)
@@ -137,44 +141,74 @@ def pack_block(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool =
     return out
 
 
+#: A letter beside an ASCII sign or digit other than an apostrophe, either way round.
+_BORDERS = (r"([a-z])([!-&(-/:-@\[-`{-~0-9])", r"([!-&(-/:-@\[-`{-~0-9])([a-z])")
+
+
 class _Words:
     """Token ids of texts, by way of the ids of their words.
 
-    The tokenizer drops white space and never looks across it, so a text's ids
-    are those of its words in a row; each word is encoded once while cached.
+    A tokenizer with word ends drops white space and never looks across it, nor
+    across the border of a letter and a sign (contractions aside), and doesn't tell
+    cases apart; so a text's ids are those of its lower-cased words in a row, and
+    each word is encoded once while cached.  Texts that may hold a special token
+    keep their form; any other kind of tokenizer is given the whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.by_word = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") == "</w>"
+        self.known: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> _Words:
+        """The words of this worker process, which outlives a task: later tasks find what earlier ones learned."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_words_by_path", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        missing = [w for w in words if w not in self.known]
+        model, plain = self.tokenizer.model, []
+        for w in missing:
+            if w.isascii() and w.isalpha() and w.islower():
+                self.known[w] = struct.pack(f"{len(t := model.tokenize(w))}I", *[x.id for x in t])
+            else:
+                plain.append(w)
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            self.known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        words = pc.ascii_split_whitespace(texts)
-        flat = words.flatten()
-        if isinstance(flat, pa.ChunkedArray):
-            flat = flat.combine_chunks()
-        coded = flat.dictionary_encode()
+        if not self.by_word:
+            found = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.array(x, np.uint32) for x in found]), np.array(list(map(len, found)), np.int64)
+        cut = pc.ascii_lower(texts)
+        for border in _BORDERS:
+            cut = pc.replace_substring_regex(cut, border, r"\1 \2")
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, cut))
+        coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        missing = [w for w in distinct if w not in self.known]
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            encoded = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(part, encoded))
-        found = [self.known[w] for w in distinct]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._learn(distinct)
+        found = list(map(self.known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begins = np.cumsum(sizes) - sizes
-        pool = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pool = np.frombuffer(b"".join(found), np.uint32)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
         n = sizes[codes]
         ends = np.cumsum(n)
-        take = np.repeat(begins[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        word_counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(word_counts)])]
+        take = np.repeat(begins[codes] - (ends - n), n)
+        take += np.arange(len(take))
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return pool[take], np.diff(bounds)
 
 
@@ -194,10 +228,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     The ids of a document are its tokens and ``end_id``; all of them bear loss.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(tokenizer_path)
+        words = _Words.of(tokenizer_path)
         first = TaskContext.get().partitionId() << 33
         names, ids, size = [], [], 0
 
