@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from . import accounting, layout, markup, text
+from . import accounting, layout, markup, tables, text
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "accounting", "layout", "markup", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "accounting", "layout", "markup", "tables", "text"]
