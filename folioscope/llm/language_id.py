@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_bucket
+from ._common import bounded_batches, crc_bucket
 
 UNDETERMINED = "und"
 #: Documents of each language, and windows of each, that are learned from at most: the bound of the sample.
@@ -184,11 +184,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     The sample is drawn by a hash of the id.  What reaches the driver are the
     languages and SAMPLE_WINDOWS windows of TRAIN_WINDOW bytes of each sampled text.
     """
-    rows = docs.where((crc_bucket(id_col, 4) != 2) & F.col(lang_col).isNotNull())
-    labels = sorted(r[0] for r in rows.select(F.col(lang_col).cast("string")).distinct().collect())
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where((crc_bucket("id", 4) != 2) & F.col("lang").isNotNull())
+    labels = sorted(r[0] for r in rows.select("lang").distinct().collect())
     picked = None
     for label in labels:
-        ids = rows.where(F.col(lang_col) == label).select(F.col(id_col).alias("picked_id")).distinct().orderBy(F.xxhash64("picked_id"), "picked_id").limit(SAMPLE_DOCUMENTS)
+        ids = rows.where(F.col("lang") == label).select(F.col("id").alias("picked_id")).distinct().orderBy(F.xxhash64("picked_id"), "picked_id").limit(SAMPLE_DOCUMENTS)
         picked = ids if picked is None else picked.unionAll(ids)
     if picked is None:
         return None
@@ -204,8 +205,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return texts.map(windows)
 
     # at most SAMPLE_DOCUMENTS ids a language
-    chosen = rows.join(F.broadcast(picked.distinct()), F.col(id_col) == F.col("picked_id"), "left_semi")
-    sample = chosen.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), cut(F.col(text_col)).alias("windows"))
+    chosen = rows.join(F.broadcast(picked.distinct()), F.col("id") == F.col("picked_id"), "left_semi")
+    sample = chosen.select("id", "lang", cut(F.col("text")).alias("windows"))
     sample = sorted(sample.dropDuplicates(["id"]).collect(), key=lambda r: (r["lang"], r["id"]))
     pairs = [(bytes(w), labels.index(r["lang"])) for r in sample for w in r["windows"]]
     return train([w for w, _ in pairs], [k for _, k in pairs], labels) if pairs else None
@@ -233,6 +234,7 @@ def identify(text: Column, net: Network | None) -> Column:
 
 def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
+    bounded_batches(docs.sparkSession)
     net = fit(docs, id_col, text_col, lang_col)
     told = docs.select(F.col(id_col).alias("doc_id"), (crc_bucket(id_col, 4) == 2).alias("held_out"), identify(F.col(text_col), net).alias("p"))
     return told.select("doc_id", "held_out", "p.lang_pred", "p.score")
@@ -240,6 +242,7 @@ def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.35) -> DataFrame:
     """``docs`` without those whose language can't be told: no letter, or a score under ``least``."""
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     net = fit(docs, id_col, text_col, lang_col)
     told = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), identify(F.col(text_col), net).alias("p"))

@@ -10,7 +10,8 @@ long) stands unchanged in the other, near its own place.  So
   left on either side of it;
 * lines that meet are verified by banded bit-parallel edit distance: the
   2 * ``max_edits`` + 1 cells around the diagonal are bits of a word, advanced one
-  character of the second line at a time.
+  character of the second line at a time, on what is left without the common ends; a
+  first pass over a few characters already drops most of the pairs that are far apart.
 
 Equal lines are combined first (by the map side, then by digest), so a line that a
 third of the corpus repeats is one line here.  Join rows hold hashes and ids, no
@@ -83,21 +84,19 @@ def _probes(line: Column, length: Column, max_edits: int) -> list[tuple[int, Col
     return out
 
 
-def banded_distance(left: Column, right: Column, max_edits: int) -> Column:
-    """Edit distance of two strings if it is at most ``max_edits``, else some larger number.
+def _banded(left: Column, right: Column, max_edits: int, columns, result) -> Column:
+    """``result`` of the state after the first ``columns(rows, all columns)`` columns of the band.
 
-    Bit b of the words is row j - max_edits + b of column j.  The distance is followed
-    down the lowest diagonal of the band, then along the last row.  Both strings
-    must be longer than ``max_edits``.
+    Bit b of the words is row j - max_edits + b of column j, the rows' vertical
+    differences being those that column j + 1 starts from.  The distance is followed down
+    the lowest diagonal of the band, then along the last row.
     """
     width = 2 * max_edits + 1
     full = F.lit((1 << width) - 1)
-    a, b = F.split(left, ""), F.split(right, "")
-    rows, columns = F.size(a), F.size(b)
     bit = lambda word, at: F.call_function("shiftright", word, at).bitwiseAND(F.lit(1))
     let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
 
-    def step(state: Column, j: Column) -> Column:
+    def step(a: Column, b: Column, rows: Column, state: Column, j: Column) -> Column:
         vp, vn, distance = state["vp"], state["vn"], state["distance"]
         letter = F.get(b, j - 1)
         places = [F.when((j - max_edits + k >= 1) & F.coalesce(F.get(a, j - max_edits + k - 1) == letter, F.lit(False)), 1 << k).otherwise(0) for k in range(width)]
@@ -127,7 +126,56 @@ def banded_distance(left: Column, right: Column, max_edits: int) -> Column:
         F.lit(0).alias("vn"),
         F.lit(max_edits).alias("distance"),
     )
-    return F.aggregate(F.sequence(F.lit(1), columns), start, step, lambda s: s["distance"])
+
+    def over(s: Column) -> Column:
+        a, b, rows = s["a"], s["b"], s["rows"]
+        return F.aggregate(F.sequence(F.lit(1), columns(rows, F.size(b))), start, lambda state, j: step(a, b, rows, state, j), result)
+
+    # the characters are bound once, not cut again at every step
+    return let(F.struct(F.split(left, "").alias("a"), F.split(right, "").alias("b"), F.char_length(left).alias("rows")), over)
+
+
+def banded_distance(left: Column, right: Column, max_edits: int) -> Column:
+    """Edit distance of two strings if it is at most ``max_edits``, else some larger number.
+
+    Both strings must be longer than ``max_edits``.
+    """
+    return _banded(left, right, max_edits, lambda rows, columns: columns, lambda s: s["distance"])
+
+
+def hopeless(left: Column, right: Column, max_edits: int, columns: int = 16) -> Column:
+    """Whether no cell of the band is within ``max_edits`` after a few columns: then the distance isn't either."""
+
+    def least(s: Column) -> Column:
+        values = [s["distance"]]
+        for b in range(2 * max_edits - 1, -1, -1):  # up the column, by its vertical differences
+            one = lambda word: F.call_function("shiftright", word, F.lit(b)).bitwiseAND(F.lit(1))  # noqa: B023, E731
+            values.append(values[-1] - one(s["vp"]) + one(s["vn"]))
+        return F.least(*values) > max_edits
+
+    # while the band's lowest row is inside the string
+    n = F.least(F.char_length(left) - max_edits, F.char_length(right), F.lit(columns))
+    begin = lambda s: F.substring(s, 1, columns + 2 * max_edits)
+    return F.when(n >= 1, _banded(begin(left), begin(right), max_edits, lambda rows, _: F.least(rows - max_edits, n), least)).otherwise(False)
+
+
+def without_common_ends(pairs: DataFrame, left: str, right: str, leave: int) -> DataFrame:
+    """``pairs`` with what both strings begin and end with cut off, but for ``leave`` characters of it.
+
+    Equal ends don't change an edit distance.  Their lengths are found by doubling
+    and halving steps, each one comparison of substrings.
+    """
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+
+    def shared(piece) -> Column:
+        most = F.least(F.length(left), F.length(right))
+        same = lambda at, n: (at + n <= most) & (piece(F.col(left), at, n) == piece(F.col(right), at, n))
+        return F.aggregate(steps, F.lit(0), lambda at, n: F.when(same(at, n), at + n).otherwise(at))
+
+    df = pairs.withColumn("cut", F.greatest(shared(lambda s, at, n: F.substring(s, at + 1, n)) - leave, F.lit(0)))
+    df = df.withColumns({c: F.substring(F.col(c), F.col("cut") + 1, F.length(c)) for c in (left, right)})
+    df = df.withColumn("cut", F.greatest(shared(lambda s, at, n: F.substring(s, F.length(s) - at - n + 1, n)) - leave, F.lit(0)))
+    return df.withColumns({c: F.substring(F.col(c), F.lit(1), F.length(c) - F.col("cut")) for c in (left, right)}).drop("cut")
 
 
 def candidates(distinct: DataFrame, max_edits: int) -> DataFrame:
@@ -163,10 +211,11 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().withColumn("key", F.xxhash64("id").cast("string"))
     told = lines.select(place.alias("id"), "line").withColumn("key", F.xxhash64("id").cast("string"))
-    told = possible_hits(told, "key", blocked_filter(wanted, "key")).join(wanted.select("id"), "id", "left_semi").select("id", "line").dropDuplicates(["id"])
+    told = possible_hits(told, "key", blocked_filter(wanted, "key")).join(wanted.select("id"), "id").select("id", "line").dropDuplicates(["id"])
     texts = materialize(told, "line-texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("left")), texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
-    near = pairs.join(left, "a").join(right, "b").where(banded_distance(F.col("left"), F.col("right"), max_edits) <= max_edits)
+    met = without_common_ends(pairs.join(left, "a").join(right, "b"), "left", "right", max_edits + 1)
+    near = met.where(~hopeless(F.col("left"), F.col("right"), max_edits)).where(banded_distance(F.col("left"), F.col("right"), max_edits) <= max_edits)
     links = materialize(near.select("a", "b"), "line-links")
 
     count = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))

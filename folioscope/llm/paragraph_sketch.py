@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parallelism
+from ._common import bounded_batches, parallelism
 
 PARAGRAPH_END = re.compile(r"\n+|(?<=[.!?])\s+")
 #: A table has this many parts, and each digest one cell in each part.
@@ -215,6 +215,7 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The edited text has its last third replaced by as much of the start of the
     next document, by descending id.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = parallelism(docs.sparkSession)
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_bucket
+from ._common import bounded_batches, crc_bucket
 
 #: Bytes of a block, documents of each label and blocks of each that are learned from at most: the bound of the sample.
 BLOCK, SAMPLE_DOCUMENTS, SAMPLE_BLOCKS = 512, 2000, 12
@@ -95,6 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The sample is drawn by a hash of the id.  What reaches the driver are
     SAMPLE_BLOCKS blocks of each sampled text and the number of labels of each kind.
     """
+    bounded_batches(docs.sparkSession)
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(crc_bucket("id", 3) != 1)
     told = told.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("id", "y")
     picked = [told.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS) for y in (0, 1)]
@@ -109,8 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return texts.map(some)
 
     # at most SAMPLE_DOCUMENTS ids of each kind
-    met = docs.join(F.broadcast(picked[0].unionAll(picked[1])), F.col(id_col) == F.col("id"))
-    sample = met.select("id", "y", cut(F.col(text_col)).alias("blocks")).dropDuplicates(["id"]).collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    met = texts.join(F.broadcast(picked[0].unionAll(picked[1])), "id")
+    sample = met.select("id", "y", cut(F.col("text")).alias("blocks")).dropDuplicates(["id"]).collect()
     sample = sorted(((r["id"], r["y"], [bytes(b) for b in r["blocks"]]) for r in sample), key=lambda r: r[0])
     share = {r["y"]: r["n"] for r in told.groupBy("y").agg(F.count("*").alias("n")).collect()}
     fitting, judging = [r for i, r in enumerate(sample) if i % 3 != 2], [r for i, r in enumerate(sample) if i % 3 == 2]

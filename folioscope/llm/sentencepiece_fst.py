@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
+
 #: The symbol that stands for a space (fixed value).
 SPACE = "▁"
 #: Cached cuts and junctions of a task: these bound its memory.
@@ -129,10 +131,11 @@ class Transducer:
         In a merge model the best path to a position depends on what stands before
         it alone, so in sorted order a cut goes on from the prefix it shares with the last.
         """
-        missing = sorted(set(cuts).difference(self.paths))
+        wanted = set(cuts)
+        missing = sorted(wanted.difference(self.paths))
         if len(self.paths) + len(missing) > CACHED:
             self.paths.clear()
-            missing = sorted(set(cuts))
+            missing = sorted(wanted)
         last, entered = "", [""]
         for text in missing:
             if self.merges:
@@ -189,6 +192,7 @@ def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
 
 def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, merges: bool, digest: bool) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

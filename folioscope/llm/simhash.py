@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import bounded_batches, materialize
 from .components import connected_components
 
 SEGMENT_BITS = 2
@@ -113,6 +113,7 @@ def links(fingerprints: DataFrame, column: str = "fp", max_bits: int = 4) -> Dat
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per document: doc_id, fp (signed), root (fingerprint that names the component), component_id."""
+    bounded_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")), "simhash-prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "simhash-distinct")
     found = connected_components(links(distinct, "fp", max_bits), "a", "b", "simhash-links")
@@ -132,7 +133,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat that id in one component stay once; of a component without ids one row stays.
     """
     names = docs.columns
-    chosen = components(docs, id_col, text_col, words, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = materialize(components(docs, id_col, text_col, words, max_bits), "simhash-components")
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("component_id").alias("c")).where("n > 1 or c is null").isEmpty():
+        # every id names one row
+        kept = materialize(chosen.select(F.col("doc_id").alias(id_col)), "simhash-kept")
+        return docs.join(kept, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in names])
     chosen = chosen.groupBy("root").agg(F.first("doc_id").alias("keep_id"), F.min("fp").alias("keep_fp"))
     row_key = lambda c: (F.coalesce(F.col(c), F.lit(0)).alias("id_key"), F.col(c).isNull().alias("no_id"))
     chosen = materialize(chosen.select("root", "keep_fp", *row_key("keep_id")), "simhash-kept")

@@ -35,9 +35,9 @@ RASTERS = Inline("rasters", "doc_id int, path string, page_no int, y double", [(
 MANIFEST = Inline("manifest", "doc_id int, ordinal int, caption string", [(1, 1, "one"), (1, 2, "two"), (2, 1, "x"), (2, 2, "y")])
 
 
-@query("manifest_zip", f"WITH {RASTERS.cte}, {MANIFEST.cte}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, y)::INTEGER AS position FROM rasters), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal)::INTEGER AS position FROM manifest) SELECT doc_id, position, path, page_no, y, ordinal, caption FROM a FULL JOIN b USING (doc_id, position)")
+@query("manifest_zip", f"WITH {RASTERS.cte}, {MANIFEST.cte}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, y)::INTEGER AS position FROM rasters), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal)::INTEGER AS position FROM manifest) SELECT doc_id, position, path, coalesce(page_no, -1) AS page_no, y, coalesce(ordinal, -1) AS ordinal, caption FROM a FULL JOIN b USING (doc_id, position)")
 def manifest_zip(spark, sf_dir):
-    return figures.zipped(RASTERS.df(spark), MANIFEST.df(spark), ["page_no", "y"], ["ordinal"])
+    return figures.zipped(RASTERS.df(spark), MANIFEST.df(spark), ["page_no", "y"], ["ordinal"]).fillna(-1, ["page_no", "ordinal"])
 
 
 BLOCKS = Inline("blocks", "doc_id int, seq int, kind string", [*[(1, i, k) for i, k in enumerate(["caption", "caption", "table", "table", "text", "caption", "table"])], *[(2, i, k) for i, k in enumerate(["caption", "caption", "table", "text"])], *[(3, i, k) for i, k in enumerate(["table", "caption", "caption", "caption", "table", "table", "table"])]])
@@ -62,9 +62,9 @@ MATCHES = f"""WITH {TITLES.cte}, {HEADS.cte}, p AS (SELECT t.doc_id, title_no, h
     m AS (SELECT doc_id, title_no, min(heading_no) AS heading_no FROM p GROUP BY ALL), r AS (SELECT t.doc_id, t.title_no, heading_no FROM titles t LEFT JOIN m ON t.doc_id = m.doc_id AND t.title_no = m.title_no)"""
 
 
-@query("heading_match", f"{MATCHES} SELECT * FROM r")
+@query("heading_match", f"{MATCHES} SELECT doc_id, title_no, coalesce(heading_no, -1) AS heading_no FROM r")
 def heading_match(spark, sf_dir):
-    return figures.heading_matches(TITLES.df(spark), HEADS.df(spark), by_ratio=False)
+    return figures.heading_matches(TITLES.df(spark), HEADS.df(spark), by_ratio=False).fillna(-1, ["heading_no"])
 
 
 @query("heading_match_ratio")

@@ -19,9 +19,9 @@ BEST = f"""{GRIDS.cte}, {OUT.cte}, a AS (SELECT doc_id, table_no, {norm('text')}
     best AS (SELECT s.doc_id, s.table_no, n_tokens, coalesce(hits, 0) AS hits, match FROM s LEFT JOIN r ON s.doc_id = r.doc_id AND s.table_no = r.table_no AND rn = 1)"""
 
 
-@query("table_best_match", f"WITH {BEST} SELECT * FROM best")
+@query("table_best_match", f"WITH {BEST} SELECT doc_id, table_no, n_tokens, hits, coalesce(match, -1) AS match FROM best")
 def table_best_match(spark, sf_dir):
-    return tables.best_match(GRIDS.df(spark), OUT.df(spark))
+    return tables.best_match(GRIDS.df(spark), OUT.df(spark)).fillna(-1, ["match"])
 
 
 @query("table_weighted_coverage", f"WITH {BEST} SELECT doc_id, sum(hits)::BIGINT AS hits, sum(n_tokens)::BIGINT AS n_tokens, sum(hits) / sum(n_tokens) AS coverage, CASE WHEN sum(hits) / sum(n_tokens) < 0.85 THEN 'warn' ELSE 'ok' END AS status, count(*) FILTER (n_tokens >= 12 AND hits < 0.7 * n_tokens) AS thin FROM best GROUP BY doc_id")

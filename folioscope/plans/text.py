@@ -39,12 +39,12 @@ def sentence_split(spark, sf_dir):
 @query(
     "sentence_min_tokens",
     f"WITH s AS (SELECT doc_id, unnest({SENTENCES.format(x='text')}) AS s FROM documents), n AS (SELECT doc_id, {norm('s')} AS n FROM s), "
-    f"t AS (SELECT doc_id, len({TOKENS.format(n='n')}) AS k FROM n) SELECT doc_id, count(*) AS sentences, count(*) FILTER (k >= 5) AS checked, sum(k) FILTER (k >= 5)::BIGINT AS checked_tokens FROM t GROUP BY doc_id",
+    f"t AS (SELECT doc_id, len({TOKENS.format(n='n')}) AS k FROM n) SELECT doc_id, count(*) AS sentences, count(*) FILTER (k >= 5) AS checked, coalesce(sum(k) FILTER (k >= 5), 0)::BIGINT AS checked_tokens FROM t GROUP BY doc_id",
 )
 def sentence_min_tokens(spark, sf_dir):
     rows = coverage.sentence_rows(table(spark, sf_dir, "documents"), least=0)
     checked = F.col("n_tokens") >= coverage.MIN_TOKENS
-    return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(checked).alias("checked"), F.sum(F.when(checked, F.col("n_tokens")).cast("long")).alias("checked_tokens"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(checked).alias("checked"), F.sum(F.when(checked, F.col("n_tokens")).otherwise(0).cast("long")).alias("checked_tokens"))
 
 
 @query(
