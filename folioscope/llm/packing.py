@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._common import bounded_batches
 
 #: Text bytes tokenised at once, tokens and examples of a block, and cached words: these bound a task's memory.
-SLICE_BYTES, BLOCK_TOKENS, BLOCK_EXAMPLES, CACHED_WORDS = 8 << 20, 4_000_000, 8192, 700_000
+SLICE_BYTES, BLOCK_TOKENS, BLOCK_EXAMPLES, CACHED_WORDS = 1 << 20, 2_000_000, 8192, 250_000
 
 
 @dataclass(frozen=True)
