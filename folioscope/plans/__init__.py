@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from . import accounting, corpus, figures, layout, markup, tables, text
+from . import accounting, corpus, figures, layout, markup, tables, text, verify
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "accounting", "corpus", "figures", "layout", "markup", "tables", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "accounting", "corpus", "figures", "layout", "markup", "tables", "text", "verify"]
