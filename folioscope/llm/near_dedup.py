@@ -1,0 +1,172 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filter join.
+
+Two texts are near-duplicates when their sets of five-word shingles have a Jaccard
+similarity of 0.8 or more.  Every such pair is found:
+
+* all shingles are ordered, those that a sample shows to be common last; of n
+  shingles the first n - ceil(0.8 n) + 1 are the prefix, and two texts at 0.8 or
+  more share a shingle of their prefixes;
+* pairs that meet are dropped if the shingles left after the meeting can't suffice;
+* the others are verified on their whole sets of shingles, none is capped.
+
+The sample only chooses the order; any order gives the same pairs.  A large group of
+near-duplicates doesn't become pairs: the members of each shingle are first compared
+with its smallest and largest, then only across the components found so far.
+
+Words are parted by ASCII white space, ASCII letters in lower case.  Shingles and sets
+are named by 64-bit hashes.  Defined results: null or empty text counts as one
+shingle without words; fewer words than the shingle give one shingle; texts of equal
+sets are one node; an empty table gives no rows; the component of documents that
+have only null ids is null.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ._common import bounded_batches, materialize
+from .components import connected_components
+from .simhash import keep_rows
+from .url_filter import blocked_filter, possible_hits
+
+WORDS = 5
+SEED = 42
+#: For the order of shingles: one text in so many, how often a shingle counts as common there, and how many are told apart.
+SAMPLE, COMMON, TOLD = 16, 3, 1 << 17
+
+
+def shingles_of(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The signed 64-bit hashes of a text's distinct shingles, in order."""
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(t, SEED) for t in tokens), np.uint64, len(tokens))
+    size = min(words, len(tokens))
+    mixed = np.full(len(tokens) - size + 1 if tokens else 1, size, np.uint64)
+    for i in range(size):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(mixed)]
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed.view(np.int64))
+
+
+def node_of(shingles: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
+
+def node(text: Column, words: int = WORDS) -> Column:
+    @F.pandas_udf("long")
+    def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([node_of(shingles_of(t, words)) for t in batch], dtype="int64")
+
+    return named(text)
+
+
+def shingle_sets(text: Column, words: int = WORDS) -> Column:
+    """node and shingles of a text."""
+
+    @F.pandas_udf("node long, shingles array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingles_of(t, words) for t in batch]
+            yield pd.DataFrame({"node": pd.Series([node_of(s) for s in found], dtype="int64"), "shingles": pd.Series(found, dtype="object")})
+
+    return sets(text)
+
+
+def prefixes(text: Column, common: list[tuple[int, int]], words: int = WORDS) -> Column:
+    """node, number of shingles and prefix of a text; ``common`` holds (shingle, how common)."""
+    known = np.array(sorted(common), np.int64).reshape(-1, 2)
+
+    @F.pandas_udf("node long, n int, prefix array<long>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            nodes, sizes, heads = [], [], []
+            for text in batch:
+                found = shingles_of(text, words)
+                n = len(found)
+                rank = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known[:, 0], found), len(known) - 1)
+                    rank = np.where(known[at, 0] == found, known[at, 1], 0)
+                nodes.append(node_of(found))
+                sizes.append(n)
+                heads.append(found[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]])
+            yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "n": pd.Series(sizes, dtype="int32"), "prefix": pd.Series(heads, dtype="object")})
+
+    return cut(text)
+
+
+def _common(docs: DataFrame, text_col: str, words: int) -> list[tuple[int, int]]:
+    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(shingle_sets(F.col(text_col), words).alias("s"))
+    counts = sample.select(F.explode("s.shingles").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= COMMON)
+    return [tuple(r) for r in counts.orderBy(F.desc("count"), "shingle").limit(TOLD).collect()]
+
+
+def _meeting(left: DataFrame, right: DataFrame, on: list) -> DataFrame:
+    """Pairs (a, b), a < b, of ``left`` and ``right`` (aliases l, r) whose shingles from the meeting on can suffice."""
+    rest = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at"))
+    hopeful = (F.col("l.node") != F.col("r.node")) & (9 * rest >= 4 * (F.col("l.n") + F.col("r.n")))
+    met = left.alias("l").join(right.alias("r"), [F.col(f"l.{a}") == F.col(f"r.{b}") for a, b in on] + [hopeful])
+    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """The pairs at a similarity of 0.8 or more."""
+    wanted = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), "near-wanted")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key")
+    ids = prints.join(wanted, "node", "left_semi").select(key("doc_id")).distinct()
+    texts = possible_hits(docs.select(F.col(text_col).alias("text"), key(id_col)), "key", blocked_filter(ids, "key"))
+    sets = texts.select(shingle_sets(F.col("text"), words).alias("s")).select("s.*")
+    sets = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * both >= 4 * (F.size("of_a") + F.size("of_b")))
+    return materialize(near.select("a", "b"), "near-links")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """One row per document: doc_id, fp (names its set of shingles), root (fp that names the component), component_id."""
+    bounded_batches(docs.sparkSession)
+    cut = prefixes(F.col(text_col), _common(docs, text_col, words), words).alias("p")
+    prints = materialize(docs.select(F.col(id_col).alias("doc_id"), cut).select("doc_id", "p.*"), "near-prints")
+    entered = prints.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+    shared = entered.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    posts = materialize(entered.join(materialize(shared, "near-shared"), "shingle").distinct(), "near-posts")
+
+    # each member of a shingle with its smallest and largest
+    ends = posts.where("node = low or node = high")
+    pairs = materialize(_meeting(posts, ends, [("shingle", "shingle")]), "near-candidates")
+    links = _verified(pairs, docs, prints, id_col, text_col, words)
+    # then the members of different components
+    parts = connected_components(links, "a", "b", "near-parts").select(F.col("node").alias("of"), "component")
+    posts = posts.join(parts, posts.node == parts.of, "left").withColumn("part", F.coalesce("component", "node"))
+    posts = materialize(posts.select("shingle", "node", "n", "at", "part"), "near-posts")
+    met = posts.select("shingle", "part").distinct()
+    met = met.alias("x").join(met.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") < F.col("y.part")))
+    met = met.select("x.shingle", "x.part", F.col("y.part").alias("other"))
+    lower = posts.join(met, ["shingle", "part"])
+    more = materialize(_meeting(lower, posts, [("shingle", "shingle"), ("other", "part")]).join(pairs, ["a", "b"], "left_anti"), "near-candidates")
+    links = links.unionAll(_verified(more, docs, prints, id_col, text_col, words))
+
+    found = connected_components(links, "a", "b", "near-components").withColumnRenamed("node", "of")
+    rooted = prints.join(found, prints.node == found.of, "left").select("doc_id", F.col("node").alias("fp"), F.coalesce("component", "node").alias("root"))
+    rooted = materialize(rooted, "near-rooted")
+    names = materialize(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-names")
+    return rooted.join(names, "root").select("doc_id", "fp", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``docs`` with the document of smallest id of each component, all columns as they were.
+
+    Rows that repeat that id in one component stay once; of a component without ids one row stays.
+    """
+    return keep_rows(docs, components(docs, id_col, text_col, words), id_col, node(F.col(f"row.`{text_col}`"), words))

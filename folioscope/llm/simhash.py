@@ -132,8 +132,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat that id in one component stay once; of a component without ids one row stays.
     """
+    return keep_rows(docs, components(docs, id_col, text_col, words, max_bits), id_col, fingerprint(F.col(f"row.`{text_col}`"), words))
+
+
+def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, fp: Column) -> DataFrame:
+    """``keep_first`` for components ``found`` in any way; ``fp`` is computed from the struct ``row`` of a document's columns."""
     names = docs.columns
-    found = materialize(components(docs, id_col, text_col, words, max_bits), "simhash-components")
+    found = materialize(found, "simhash-components")
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     if found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("component_id").alias("c")).where("n > 1 or c is null").isEmpty():
         # every id names one row
@@ -144,5 +149,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = materialize(chosen.select("root", "keep_fp", *row_key("keep_id")), "simhash-kept")
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *row_key(id_col))
     # where ids repeat, the fingerprint tells which row of that id was chosen
-    met = inner.join(chosen, ["id_key", "no_id"]).withColumn("fp", fingerprint(F.col(f"row.`{text_col}`"), words)).where("fp = keep_fp")
+    met = inner.join(chosen, ["id_key", "no_id"]).withColumn("fp", fp).where("fp = keep_fp")
     return met.dropDuplicates(["id_key", "no_id", "root"]).select(*[F.col(f"row.`{c}`").alias(c) for c in names])

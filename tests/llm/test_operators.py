@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import exact_dedup, language_id, line_dedup, packing, paragraph_sketch, quality, queries, sentencepiece_fst, simhash, url_filter, warc
+from folioscope.llm import exact_dedup, language_id, line_dedup, near_dedup, packing, paragraph_sketch, quality, queries, sentencepiece_fst, simhash, url_filter, warc
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SPACE = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
@@ -136,6 +136,53 @@ def test_simhash_odd(odd, empty):
     assert rows(simhash.components(empty)) == [] and rows(simhash.keep_first(empty)) == []
 
 
+# near dedup
+
+
+def brute_jaccard(texts):
+    """Pairs of places in ``texts`` at a five-word Jaccard similarity of 0.8 or more."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    return {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+
+def brute_kept(ids, pairs):
+    of = {i: i for i in range(len(ids))}
+    for a, b in sorted(pairs):
+        of = {k: of[a] if v == of[b] else v for k, v in of.items()}
+    return sorted({min(ids[k] for k in of if of[k] == c) for c in of.values()})
+
+
+def test_near_stage_against_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = []
+    for size in (12, 40, 90, 200):
+        for _ in range(6):
+            # a passage that all share, and copies with words changed at places
+            base = ["common"] * 2 + [f"passage{i}" for i in range(10)] + [f"w{rng.randrange(5000)}" for _ in range(size)]
+            texts.append(" ".join(base))
+            for changes in (0, 1, 1, 2, 3, 4, 5):
+                copy = list(base)
+                for _ in range(changes):
+                    copy[rng.randrange(len(copy))] = f"x{rng.randrange(5000)}"
+                texts.append(" ".join(copy).upper() if changes == 0 else " ".join(copy))
+    texts += ["", "  ", "one two", "one  two"]
+    near = brute_jaccard(texts)
+    wanted = brute_kept(list(range(len(texts))), near)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in rows(corpus_pipeline.near(spark, df, SF))) == wanted and len(wanted) > 24
+
+
+def test_near_odd(odd, empty):
+    got = rows(near_dedup.components(odd))
+    assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (4, 5, 6)} == {4}
+    kept = rows(near_dedup.keep_first(odd))
+    assert set(kept[0]) == set(odd.columns) and len(kept) == len({r["root"] for r in got})
+    assert rows(near_dedup.components(empty)) == [] and rows(near_dedup.keep_first(empty)) == []
+
+
 # lines
 
 
