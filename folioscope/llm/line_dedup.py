@@ -22,7 +22,9 @@ Lines are taken without white space at their ends; empty ones are no lines.  Lin
 under ``min_chars`` characters are compared for equality only, as two edits make
 another word of a short one.  Defined results: null text has no lines; repeated
 rows repeat their lines, which are equal lines; null ids come last and are
-represented by null; an empty table gives no rows.
+represented by null; an empty table gives no rows.  Ids need not be unique: a
+line is known by its digest, and of different lines at one place the one of the
+smallest digest comes first; rows that repeat the first line at its place are kept alike.
 """
 
 from __future__ import annotations
@@ -197,7 +199,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``copies`` counts the equal lines, ``links`` the different lines within
     ``max_edits``; the class is the connected component, named by its first line
-    (smallest doc_id, then line_no), which alone is ``kept``.
+    (smallest doc_id, then line_no, then digest), which alone is ``kept``.
     """
     if min_chars <= 2 * max_edits + 1:
         raise ValueError("min_chars must be over 2 * max_edits + 1")
@@ -205,14 +207,15 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     length = F.length("line")
     keys = F.when(length >= min_chars, F.array(*_entered(F.col("line"), length, max_edits), *[k for _, k in _probes(F.col("line"), length, max_edits)]))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
-    found = lines.select("digest", place.alias("id"), keys.alias("keys")).groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    found = lines.select(F.col("digest").alias("id"), place.alias("place"), keys.alias("keys")).groupBy("id").agg(F.min("place").alias("place"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
     distinct = materialize(found, "line-distinct")
     pairs = materialize(candidates(distinct.where("keys is not null"), max_edits), "line-candidates")
 
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().withColumn("key", F.xxhash64("id").cast("string"))
-    told = lines.select(place.alias("id"), "line").withColumn("key", F.xxhash64("id").cast("string"))
-    told = possible_hits(told, "key", blocked_filter(wanted, "key")).join(wanted.select("id"), "id").select("id", "line").dropDuplicates(["id"])
-    texts = materialize(told, "line-texts")
+    told = lines.select(F.col("digest").alias("id"), "line").withColumn("key", F.xxhash64("id").cast("string"))
+    # copies of a line are combined before they are dealt out
+    told = possible_hits(told, "key", blocked_filter(wanted, "key")).groupBy("id").agg(F.first("line").alias("line"))
+    texts = materialize(told.join(wanted.select("id"), "id", "left_semi"), "line-texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("left")), texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
     met = without_common_ends(pairs.join(left, "a").join(right, "b"), "left", "right", max_edits + 1)
     near = met.where(~hopeless(F.col("left"), F.col("right"), max_edits)).where(banded_distance(F.col("left"), F.col("right"), max_edits) <= max_edits)
@@ -220,8 +223,11 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     count = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     parts = connected_components(links, "a", "b", "line-components").withColumnRenamed("node", "id")
-    known = distinct.select("digest", "id", "copies").join(count, "id", "left").join(parts, "id", "left")
-    known = known.select(F.col("digest"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "id").alias("first"))
+    named = F.struct(*[F.col(f"place.{c}").alias(c) for c in ("no_id", "doc_id", "line_no")], F.col("id").alias("digest"))
+    of_class = parts.join(distinct.select("id", "place"), "id").groupBy("component").agg(F.min(named).alias("first"))
+    parts = materialize(parts.join(of_class, "component").select("id", "first"), "line-classes")
+    known = distinct.select("id", "copies", "place").join(count, "id", "left").join(parts, "id", "left")
+    known = known.select(F.col("id").alias("digest"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("first", named).alias("first"))
     known = materialize(known, "line-known")
     out = lines.select("digest", "doc_id", "line_no").join(known, "digest")
     return out.select(
@@ -231,5 +237,5 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "links",
         F.col("first.doc_id").alias("class_doc_id"),
         F.col("first.line_no").alias("class_line_no"),
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("digest") == F.col("first.digest"))).alias("kept"),
     )

@@ -233,6 +233,22 @@ def test_lines_against_brute_force(spark):
     assert {(r["doc_id"], r["line_no"], r["copies"], r["links"], r["class_doc_id"], r["class_line_no"]) for r in got} == wanted and near
 
 
+def test_lines_of_repeated_places(spark):
+    """Several null ids, and one id with different texts: a place names no line."""
+    one, other, third = "the quick brown fox jumps", "an altogether different line", "nothing like any of the others"
+    texts = [(None, f"{one}\n{third}"), (None, f"{other}\n{third}!"), (None, f"{one}s"), (5, f"{other}?"), (5, f"{third}?\nsome line that stands alone"), (5, "one more line that stands alone")]
+    got = rows(line_dedup.near_lines(spark.createDataFrame(texts, "doc_id long, text string")))
+    found = sorted(((r["doc_id"], r["line_no"], r["copies"], r["links"], r["class_doc_id"], r["class_line_no"], r["kept"]) for r in got), key=repr)
+    wanted = [
+        (None, 0, 1, 1, None, 0), (None, 0, 1, 1, None, 0),  # one, one + s
+        (None, 0, 1, 1, 5, 0), (5, 0, 1, 1, 5, 0),  # other, other?
+        (None, 1, 1, 2, 5, 0), (None, 1, 1, 2, 5, 0), (5, 0, 1, 2, 5, 0),  # third, third!, third?
+        (5, 1, 1, 0, 5, 1), (5, 0, 1, 0, 5, 0),
+    ]
+    assert [r[:6] for r in found] == sorted(wanted, key=repr)
+    assert sum(r[6] for r in found) == 5
+
+
 def test_lines_odd(odd, empty):
     assert len(rows(line_dedup.near_lines(odd))) == sum(bool((t or "").translate(SPACE)) for _, t, _ in ODD)
     assert rows(line_dedup.near_lines(empty)) == []
