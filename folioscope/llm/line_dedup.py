@@ -10,27 +10,27 @@ long) stands unchanged in the other, near its own place.  So
   left on either side of it;
 * lines that meet are verified by banded bit-parallel edit distance: the
   2 * ``max_edits`` + 1 cells around the diagonal are bits of a word, advanced one
-  character of the second line at a time, on what is left without the common ends; a
-  first pass over a few characters already drops most of the pairs that are far apart.
+  character of the second line at a time, on what is left without the common ends.
+  It runs in rounds of columns, and a pair whose whole band is above ``max_edits``
+  after a round goes no further.
 
-Equal lines are combined first (by the map side, then by digest), so a line that a
-third of the corpus repeats is one line here.  Join rows hold hashes and ids, no
-text; the text of candidates alone is fetched, by way of a bloom filter of bounded
-size.  Candidates are linked exactly: none is capped.
+Equal lines are combined first, by their whole content, so a line that a third of
+the corpus repeats is one line here.  Join rows hold hashes and numbers, no text; the
+text of candidates alone is fetched, by way of a bloom filter of bounded size.
+Candidates are linked exactly: none is capped.  A family of n lines that are all
+within ``max_edits`` of each other has n * (n - 1) / 2 links, and each is counted.
 
 Lines are taken without white space at their ends; empty ones are no lines.  Lines
 under ``min_chars`` characters are compared for equality only, as two edits make
 another word of a short one.  Defined results: null text has no lines; repeated
 rows repeat their lines, which are equal lines; null ids come last and are
-represented by null; an empty table gives no rows.  Ids need not be unique: a
-line is known by its digest, and of different lines at one place the one of the
-smallest digest comes first; rows that repeat the first line at its place are kept alike.
+represented by null; an empty table gives no rows.  Ids need not be unique: of
+different lines at one place the one of the smallest digest comes first; rows that
+repeat the first line at its place are kept alike.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,159 +39,159 @@ from .components import connected_components
 from .url_filter import blocked_filter, possible_hits
 
 MAX_EDITS, MIN_CHARS = 2, 16
+#: Columns of the band after which hopeless pairs are dropped.
+ROUNDS = (16, 64)
+#: Blocks of the bloom filter of wanted lines: at least and at most (32 bytes each).
+FEWEST_BLOCKS, MOST_BLOCKS = 1 << 10, 1 << 18
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line: doc_id, line_no (from 0), line, digest."""
+    """One row per line: doc_id, line_no (from 0), line."""
     split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "raw"))
-    lines = split.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.btrim("raw", F.lit(WHITESPACE)).alias("line")).where("line <> ''")
-    return lines.withColumn("digest", F.unhex(F.md5("line")))
-
-
-def _segment(length: Column, number: int, segments: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment: the last ones take one character more where the length isn't even."""
-    size = F.floor(length / segments).cast("int")
-    longer = length - size * segments
-    before = F.lit(number - 1)
-    extra = F.greatest(F.lit(0), before - (F.lit(segments) - longer))
-    return before * size + extra + 1, size + F.when(before >= F.lit(segments) - longer, 1).otherwise(0)
+    return split.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.btrim("raw", F.lit(WHITESPACE)).alias("line")).where("line <> ''")
 
 
-def _entry(length: Column, number: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), part)
+def digest_of(line: Column) -> Column:
+    """The first 128 bits of the line's SHA-256."""
+    return F.unhex(F.substring(F.sha2(line, 256), 1, 32))
 
 
-def _entered(line: Column, length: Column, max_edits: int) -> list[Column]:
-    segments = max_edits + 1
-    out = []
-    for i in range(1, segments + 1):
-        start, size = _segment(length, i, segments)
-        out.append(_entry(length, i, F.substring(line, start, size)))
-    return out
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: filters on them are not pushed below."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def _probes(line: Column, length: Column, max_edits: int) -> list[tuple[int, Column]]:
-    """(how much shorter the other line is, entry); an entry is null where it would leave the line."""
+def probe_places(max_edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the other line is, segment of it, shift) of each substring that a line probes."""
     segments = max_edits + 1
     out = []
     for less in range(max_edits + 1):
-        other = length - less
         for i in range(1, segments + 1):
-            start, size = _segment(other, i, segments)
             low, high = max(-(i - 1), less - (segments - i)), min(i - 1, less + (segments - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + size - 1 <= length)
-                out.append((less, F.when(inside, _entry(other, i, F.substring(line, at, size)))))
+            out += [(less, i, shift) for shift in range(low, high + 1)]
     return out
 
 
-def _banded(left: Column, right: Column, max_edits: int, columns, result) -> Column:
-    """``result`` of the state after the first ``columns(rows, all columns)`` columns of the band.
+def _entries(distinct: DataFrame, name: str, places: list[tuple[int, int, int]], max_edits: int) -> DataFrame:
+    """Rows (``name``, entry, less) of the substrings at ``places``, for those that lie inside the line."""
+    listed = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for a, i, shift in places])
+    df = distinct.select(F.col("id").alias(name), "line", "length", F.inline(listed))
+    # segment i of the other line; the last ones take one character more where its length isn't even
+    segments = F.lit(max_edits + 1)
+    df = df.withColumn("other", F.col("length") - F.col("less"))
+    df = df.withColumn("size", F.call_function("div", F.col("other"), segments).cast("int")).withColumn("even", segments - (F.col("other") - F.col("size") * segments))
+    df = df.withColumn("at", (F.col("i") - 1) * F.col("size") + F.greatest(F.lit(0), F.col("i") - 1 - F.col("even")) + 1 + F.col("shift"))
+    df = df.withColumn("size", F.col("size") + F.when(F.col("i") > F.col("even"), 1).otherwise(0))
+    df = df.where("at >= 1 and at + size - 1 <= length")
+    return df.select(name, F.xxhash64("other", "i", F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("entry"), "less")
 
-    Bit b of the words is row j - max_edits + b of column j, the rows' vertical
-    differences being those that column j + 1 starts from.  The distance is followed down
-    the lowest diagonal of the band, then along the last row.
-    """
-    width = 2 * max_edits + 1
-    full = F.lit((1 << width) - 1)
-    bit = lambda word, at: F.call_function("shiftright", word, at).bitwiseAND(F.lit(1))
-    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
-
-    def step(a: Column, b: Column, rows: Column, state: Column, j: Column) -> Column:
-        vp, vn, distance = state["vp"], state["vn"], state["distance"]
-        letter = F.get(b, j - 1)
-        places = [F.when((j - max_edits + k >= 1) & F.coalesce(F.get(a, j - max_edits + k - 1) == letter, F.lit(False)), 1 << k).otherwise(0) for k in range(width)]
-        match = reduce(lambda x, y: x + y, places)
-
-        def with_d0(m: Column) -> Column:
-            d0 = (m.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(m).bitwiseOR(vn).bitwiseAND(full)
-            return let(F.struct(d0.alias("d0")), with_horizontal)
-
-        def with_horizontal(s: Column) -> Column:
-            d0 = s["d0"]
-            hp = vn.bitwiseOR(full.bitwiseXOR(d0.bitwiseOR(vp)))
-            hn = d0.bitwiseAND(vp)
-            return let(F.struct(d0.alias("d0"), hp.alias("hp"), hn.alias("hn")), advance)
-
-        def advance(s: Column) -> Column:
-            d0, hp, hn = s["d0"], s["hp"], s["hn"]
-            down = F.call_function("shiftright", d0, F.lit(1))
-            row = rows - j + max_edits
-            change = F.when(j <= rows - max_edits, 1 - bit(d0, F.lit(width - 1))).otherwise(bit(hp, row) - bit(hn, row))
-            return F.struct(hn.bitwiseOR(full.bitwiseXOR(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (distance + change).alias("distance"))
-
-        return let(match, with_d0)
-
-    start = F.struct(
-        F.lit(((1 << width) - 1) ^ ((1 << max_edits) - 1)).alias("vp"),
-        F.lit(0).alias("vn"),
-        F.lit(max_edits).alias("distance"),
-    )
-
-    def over(s: Column) -> Column:
-        a, b, rows = s["a"], s["b"], s["rows"]
-        return F.aggregate(F.sequence(F.lit(1), columns(rows, F.size(b))), start, lambda state, j: step(a, b, rows, state, j), result)
 
-    # the characters are bound once, not cut again at every step
-    return let(F.struct(F.split(left, "").alias("a"), F.split(right, "").alias("b"), F.char_length(left).alias("rows")), over)
+def candidates(distinct: DataFrame, max_edits: int) -> DataFrame:
+    """Pairs (a, b) of line ids that share a segment where they may; ``distinct`` has id and line."""
+    sized = distinct.select("id", "line", F.length("line").alias("length"))
+    entered = _entries(sized, "a", [(0, i, 0) for i in range(1, max_edits + 2)], max_edits).drop("less")
+    probing = _entries(sized, "b", probe_places(max_edits), max_edits).select("b", "entry", (F.col("less") == 0).alias("same_length"))
+    # lines of equal length probe each other: one direction is enough
+    met = entered.join(probing, "entry").where("a <> b and (not same_length or a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def banded_distance(left: Column, right: Column, max_edits: int) -> Column:
-    """Edit distance of two strings if it is at most ``max_edits``, else some larger number.
+def without_common_ends(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """``pairs`` with what both strings begin and end with cut off.
 
-    Both strings must be longer than ``max_edits``.
+    Equal ends don't change an edit distance.  Their lengths are found by halving
+    steps, each one comparison of substrings.
     """
-    return _banded(left, right, max_edits, lambda rows, columns: columns, lambda s: s["distance"])
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
 
+    def shared(a: Column, b: Column) -> Column:
+        most = F.least(F.length(a), F.length(b))
+        same = lambda at, n: (at + n <= most) & (F.substring(a, at + 1, n) == F.substring(b, at + 1, n))
+        return F.aggregate(F.filter(steps, lambda n: n <= most), F.lit(0), lambda at, n: F.when(same(at, n), at + n).otherwise(at))
 
-def hopeless(left: Column, right: Column, max_edits: int, columns: int = 16) -> Column:
-    """Whether no cell of the band is within ``max_edits`` after a few columns: then the distance isn't either."""
+    # the beginnings, then those of the rest turned round, which this turns back
+    for _ in range(2):
+        pairs = _once(pairs, cut=shared(F.col(left), F.col(right)))
+        pairs = pairs.withColumns({c: F.reverse(F.substring(F.col(c), F.col("cut") + 1, F.length(c))) for c in (left, right)}).drop("cut")
+    return pairs
 
-    def least(s: Column) -> Column:
-        values = [s["distance"]]
-        for b in range(2 * max_edits - 1, -1, -1):  # up the column, by its vertical differences
-            one = lambda word: F.call_function("shiftright", word, F.lit(b)).bitwiseAND(F.lit(1))  # noqa: B023, E731
-            values.append(values[-1] - one(s["vp"]) + one(s["vn"]))
-        return F.least(*values) > max_edits
 
-    # while the band's lowest row is inside the string
-    n = F.least(F.char_length(left) - max_edits, F.char_length(right), F.lit(columns))
-    begin = lambda s: F.substring(s, 1, columns + 2 * max_edits)
-    return F.when(n >= 1, _banded(begin(left), begin(right), max_edits, lambda rows, _: F.least(rows - max_edits, n), least)).otherwise(False)
+class Band:
+    """The words of a banded bit-parallel edit distance, packed into one long: vp, vn, distance.
 
-
-def without_common_ends(pairs: DataFrame, left: str, right: str, leave: int) -> DataFrame:
-    """``pairs`` with what both strings begin and end with cut off, but for ``leave`` characters of it.
-
-    Equal ends don't change an edit distance.  Their lengths are found by doubling
-    and halving steps, each one comparison of substrings.
+    Bit b of vp and vn is row j - ``max_edits`` + b of column j: the rows' vertical
+    differences that column j starts from, +1 and -1.  The distance is that of the
+    band's lowest row.  Rows outside the first string match nothing.
     """
-    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
 
-    def shared(piece) -> Column:
-        most = F.least(F.length(left), F.length(right))
-        same = lambda at, n: (at + n <= most) & (piece(F.col(left), at, n) == piece(F.col(right), at, n))
-        return F.aggregate(steps, F.lit(0), lambda at, n: F.when(same(at, n), at + n).otherwise(at))
+    def __init__(self, max_edits: int):
+        self.max_edits, self.width = max_edits, 2 * max_edits + 1
+        self.full = (1 << self.width) - 1
 
-    df = pairs.withColumn("cut", F.greatest(shared(lambda s, at, n: F.substring(s, at + 1, n)) - leave, F.lit(0)))
-    df = df.withColumns({c: F.substring(F.col(c), F.col("cut") + 1, F.length(c)) for c in (left, right)})
-    df = df.withColumn("cut", F.greatest(shared(lambda s, at, n: F.substring(s, F.length(s) - at - n + 1, n)) - leave, F.lit(0)))
-    return df.withColumns({c: F.substring(F.col(c), F.lit(1), F.length(c) - F.col("cut")) for c in (left, right)}).drop("cut")
+    @property
+    def start(self) -> Column:
+        return F.lit((self.full ^ ((1 << self.max_edits) - 1)) | self.max_edits << 2 * self.width).cast("long")
 
+    def words(self, state: Column) -> tuple[Column, Column, Column]:
+        part = lambda at: F.shiftright(state, at)
+        return state.bitwiseAND(F.lit(self.full)), part(self.width).bitwiseAND(F.lit(self.full)), part(2 * self.width)
 
-def candidates(distinct: DataFrame, max_edits: int) -> DataFrame:
-    """Pairs (a, b) of line ids that share a segment where they may; ``distinct`` has id and keys."""
-    segments = max_edits + 1
-    n = len(_probes(F.lit(""), F.lit(0), max_edits))
-    less = [k for k, _ in _probes(F.lit(""), F.lit(0), max_edits)]
-    entered = distinct.select(F.col("id").alias("a"), F.explode(F.slice("keys", 1, segments)).alias("entry"))
-    probing = distinct.select(F.col("id").alias("b"), F.posexplode(F.slice("keys", segments + 1, n)).alias("at", "entry")).where("entry is not null")
-    equal = less.count(0)
-    probing = probing.select("b", "entry", (F.col("at") < equal).alias("same_length"))
-    # lines of equal length probe each other: one direction is enough
-    met = entered.join(probing, "entry").where("a <> b and (not same_length or a < b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def matches(self, a: Column, b: Column, j: Column) -> Column:
+        """The rows of column j whose character is that of the column."""
+        letter = F.get(b, j - 1)
+        bits = [F.when(F.get(a, j - 1 + (k - self.max_edits)) == letter, 1 << k).otherwise(0) for k in range(self.width)]
+        return sum(bits[1:], bits[0]).cast("long")
+
+    def step(self, state: Column, match: Column) -> Column:
+        """The state after a column with these matches (Myers' recurrence on the band, which moves down a row)."""
+        vp, vn, distance = self.words(state)
+        full = F.lit(self.full).cast("long")
+
+        def advance(d0: Column) -> Column:
+            hp, hn, down = vn.bitwiseOR(full.bitwiseXOR(d0.bitwiseOR(vp))), d0.bitwiseAND(vp), F.shiftright(d0, 1)
+            new_vp = hn.bitwiseOR(full.bitwiseXOR(down.bitwiseOR(hp)))
+            new_vn = down.bitwiseAND(hp)
+            change = 1 - F.shiftright(d0, self.width - 1)
+            return new_vp.bitwiseOR(F.shiftleft(new_vn, self.width)).bitwiseOR(F.shiftleft(distance + change, 2 * self.width))
+
+        d0 = (match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(full)
+        return F.element_at(F.transform(F.array(d0), advance), 1)
+
+    def over(self, a: Column, b: Column, state: Column, begin: int, end: Column) -> Column:
+        """The state after columns ``begin`` to ``end``."""
+        none = F.array().cast("array<int>")
+        columns = F.when(end >= begin, F.sequence(F.lit(begin), F.greatest(F.lit(begin), end))).otherwise(none)
+        return F.aggregate(F.transform(columns, lambda j: self.matches(a, b, j)), state, self.step)
+
+    def distance(self, state: Column, rows: Column, columns: Column) -> Column:
+        """The distance in the last row of the first string, up the last column from the band's lowest row."""
+        vp, vn, lowest = self.words(state)
+        below = F.lit((1 << 2 * self.max_edits) - 1).bitwiseAND(F.call_function("shiftleft", F.lit(self.full), rows - columns + self.max_edits)).cast("long")
+        return lowest - F.bit_count(vp.bitwiseAND(below)) + F.bit_count(vn.bitwiseAND(below))
+
+    def least(self, state: Column) -> Column:
+        """The least distance in the band: a lower bound of that at the end."""
+        vp, vn, lowest = self.words(state)
+        bit = lambda word, b: F.shiftright(word, b).bitwiseAND(F.lit(1))
+        values = [lowest]
+        for b in range(2 * self.max_edits - 1, -1, -1):
+            values.append(values[-1] - bit(vp, b) + bit(vn, b))
+        return F.least(*values)
+
+
+def within(pairs: DataFrame, left: str, right: str, max_edits: int) -> DataFrame:
+    """The rows of ``pairs`` whose strings are within ``max_edits`` edits; both strings go."""
+    band = Band(max_edits)
+    df = pairs.where(F.abs(F.length(left) - F.length(right)) <= max_edits)
+    df = df.withColumns({"rows": F.length(left), "columns": F.length(right)})
+    df = _once(df, chars_a=F.split(left, ""), chars_b=F.split(right, "")).drop(left, right).withColumn("state", band.start)
+    begin = 1
+    for end in (*ROUNDS, None):
+        upto = F.col("columns") if end is None else F.least(F.col("columns"), F.lit(end))
+        df = _once(df, after=band.over(F.col("chars_a"), F.col("chars_b"), F.col("state"), begin, upto))
+        df = df.drop("state").withColumnRenamed("after", "state").where(band.least(F.col("state")) <= max_edits)
+        begin = end + 1 if end else begin
+    return df.where(band.distance(F.col("state"), F.col("rows"), F.col("columns")) <= max_edits).drop("rows", "columns", "chars_a", "chars_b", "state")
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -204,32 +204,31 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if min_chars <= 2 * max_edits + 1:
         raise ValueError("min_chars must be over 2 * max_edits + 1")
     lines = lines_of(docs, id_col, text_col)
-    length = F.length("line")
-    keys = F.when(length >= min_chars, F.array(*_entered(F.col("line"), length, max_edits), *[k for _, k in _probes(F.col("line"), length, max_edits)]))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
-    found = lines.select(F.col("digest").alias("id"), place.alias("place"), keys.alias("keys")).groupBy("id").agg(F.min("place").alias("place"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
-    distinct = materialize(found, "line-distinct")
-    pairs = materialize(candidates(distinct.where("keys is not null"), max_edits), "line-candidates")
-
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().withColumn("key", F.xxhash64("id").cast("string"))
-    told = lines.select(F.col("digest").alias("id"), "line").withColumn("key", F.xxhash64("id").cast("string"))
-    # copies of a line are combined before they are dealt out
-    told = possible_hits(told, "key", blocked_filter(wanted, "key")).groupBy("id").agg(F.first("line").alias("line"))
-    texts = materialize(told.join(wanted.select("id"), "id", "left_semi"), "line-texts")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
+    found = lines.groupBy("line").agg(F.min(place).alias("place"), F.count("*").alias("copies"))
+    # numbers that the table keeps once it is written
+    distinct = materialize(found.select(F.monotonically_increasing_id().alias("id"), digest_of(F.col("line")).alias("digest"), "line", "place", "copies"), "line-distinct")
+    pairs = materialize(candidates(distinct.where(F.length("line") >= min_chars), max_edits), "line-candidates")
+
+    ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().withColumn("key", F.col("id").cast("string"))
+    wanted = materialize(ends, "line-wanted")
+    blocks = max(FEWEST_BLOCKS, min(MOST_BLOCKS, wanted.count() // 24))
+    told = possible_hits(distinct.select("id", "line", F.col("id").cast("string").alias("key")), "key", blocked_filter(wanted, "key", blocks), blocks)
+    texts = materialize(told.join(wanted.select("id"), "id", "left_semi").select("id", "line"), "line-texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("left")), texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
-    met = without_common_ends(pairs.join(left, "a").join(right, "b"), "left", "right", max_edits + 1)
-    near = met.where(~hopeless(F.col("left"), F.col("right"), max_edits)).where(banded_distance(F.col("left"), F.col("right"), max_edits) <= max_edits)
-    links = materialize(near.select("a", "b"), "line-links")
+    met = without_common_ends(pairs.join(left, "a").join(right, "b"), "left", "right")
+    links = materialize(within(met, "left", "right", max_edits).select("a", "b"), "line-links")
 
     count = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     parts = connected_components(links, "a", "b", "line-components").withColumnRenamed("node", "id")
-    named = F.struct(*[F.col(f"place.{c}").alias(c) for c in ("no_id", "doc_id", "line_no")], F.col("id").alias("digest"))
-    of_class = parts.join(distinct.select("id", "place"), "id").groupBy("component").agg(F.min(named).alias("first"))
+    named = F.struct(*[F.col(f"place.{c}").alias(c) for c in ("no_id", "doc_id", "line_no")], "digest")
+    linked = parts.join(distinct.select("id", "place", "digest"), "id")
+    of_class = linked.groupBy("component").agg(F.min(named).alias("first"))
     parts = materialize(parts.join(of_class, "component").select("id", "first"), "line-classes")
-    known = distinct.select("id", "copies", "place").join(count, "id", "left").join(parts, "id", "left")
-    known = known.select(F.col("id").alias("digest"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("first", named).alias("first"))
+    known = distinct.select("id", "digest", "copies", "place").join(count, "id", "left").join(parts, "id", "left")
+    known = known.select("digest", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("first", named).alias("first"))
     known = materialize(known, "line-known")
-    out = lines.select("digest", "doc_id", "line_no").join(known, "digest")
+    out = lines.select(digest_of(F.col("line")).alias("digest"), "doc_id", "line_no").join(known, "digest")
     return out.select(
         "doc_id",
         "line_no",
