@@ -8,7 +8,11 @@ long) stands unchanged in the other, near its own place.  So
 * and probes, for each length up to ``max_edits`` below its own, the substrings
   that stand where such a segment can, by the windows that follow from the edits
   left on either side of it;
-* lines that meet are verified by banded bit-parallel edit distance: the
+* lines that meet nobody are left out by semi-joins, which keep a row once however
+  many it meets; those left meet in a join on the same entries, inside which pairs
+  are dropped by a lower bound: an edit changes at most four bigrams, so the parities
+  of the lines' hashed bigrams differ in at most four bits an edit;
+* the pairs left are verified by banded bit-parallel edit distance: the
   2 * ``max_edits`` + 1 cells around the diagonal are bits of a word, advanced one
   character of the second line at a time, on what is left without the common ends.
   It runs in rounds of columns, and a pair whose whole band is above ``max_edits``
@@ -16,8 +20,9 @@ long) stands unchanged in the other, near its own place.  So
 
 Equal lines are combined first, by their whole content, so a line that a third of
 the corpus repeats is one line here.  Join rows hold hashes and numbers, no text; the
-text of candidates alone is fetched, by way of a bloom filter of bounded size.
-Candidates are linked exactly: none is capped.  A family of n lines that are all
+text of lines that meet others alone is fetched, by way of a bloom filter of bounded
+size.  Candidates are linked exactly: none is capped.  A family of lines of which
+one word is changed at a time is dropped inside the join; one of n lines that are all
 within ``max_edits`` of each other has n * (n - 1) / 2 links, and each is counted.
 
 Lines are taken without white space at their ends; empty ones are no lines.  Lines
@@ -86,13 +91,38 @@ def _entries(distinct: DataFrame, name: str, places: list[tuple[int, int, int]],
     return df.select(name, F.xxhash64("other", "i", F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("entry"), "less")
 
 
-def candidates(distinct: DataFrame, max_edits: int) -> DataFrame:
-    """Pairs (a, b) of line ids that share a segment where they may; ``distinct`` has id and line."""
+def meetings(distinct: DataFrame, max_edits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (entry, a) and (entry, b) of the lines that share a segment with another where they may; ``distinct`` has id and line.
+
+    The lowest bit of ``b`` tells whether the other line is equally long.
+    """
     sized = distinct.select("id", "line", F.length("line").alias("length"))
-    entered = _entries(sized, "a", [(0, i, 0) for i in range(1, max_edits + 2)], max_edits).drop("less")
-    probing = _entries(sized, "b", probe_places(max_edits), max_edits).select("b", "entry", (F.col("less") == 0).alias("same_length"))
+    entered = _entries(sized, "a", [(0, i, 0) for i in range(1, max_edits + 2)], max_edits).select("entry", "a")
+    probing = _entries(sized, "b", probe_places(max_edits), max_edits)
+    probing = probing.select("entry", (F.col("b") * 2 + (F.col("less") == 0).cast("long")).alias("b"))
+    right = entered.withColumnRenamed("entry", "e")
+    probing = materialize(probing.join(right, (F.col("entry") == F.col("e")) & (F.shiftright("b", 1) != F.col("a")), "left_semi"), "line-probing")
+    hit = materialize(probing.select("entry").distinct(), "line-entries")
+    return materialize(entered.join(hit, "entry", "left_semi"), "line-entered"), probing
+
+
+def with_bigrams(lines: DataFrame) -> DataFrame:
+    """id, even, odd: 128 parities of the hashed bigrams of ``line``; two lines differ in at most four for each edit between them."""
+    hashed = _once(lines, chars=F.split("line", "")).select("id", F.transform("chars", lambda c, i: F.xxhash64(c, F.get("chars", i + 1))).alias("hashes"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda side: F.aggregate("hashes", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.when(h.bitwiseAND(F.lit(64)) == side, bit(h)).otherwise(F.lit(0).cast("long"))))
+    return hashed.select("id", word(0).alias("even"), word(64).alias("odd"))
+
+
+def candidates(entered: DataFrame, probing: DataFrame, bigrams: DataFrame, max_edits: int) -> DataFrame:
+    """Pairs (a, b) of line ids among the meetings whose bigrams may be within ``max_edits`` edits."""
+    left = entered.join(bigrams.select(F.col("id").alias("a"), F.col("even").alias("a_even"), F.col("odd").alias("a_odd")), "a")
+    right = probing.select("entry", F.shiftright("b", 1).alias("b"), (F.col("b") % 2 == 1).alias("same_length"))
+    right = right.join(bigrams.select(F.col("id").alias("b"), F.col("even").alias("b_even"), F.col("odd").alias("b_odd")), "b").withColumnRenamed("entry", "e")
+    apart = F.bit_count(F.col("a_even").bitwiseXOR(F.col("b_even"))) + F.bit_count(F.col("a_odd").bitwiseXOR(F.col("b_odd")))
     # lines of equal length probe each other: one direction is enough
-    met = entered.join(probing, "entry").where("a <> b and (not same_length or a < b)")
+    once = (F.col("a") != F.col("b")) & (~F.col("same_length") | (F.col("a") < F.col("b")))
+    met = left.join(right, (F.col("entry") == F.col("e")) & once & (apart <= 4 * max_edits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -208,33 +238,34 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = lines.groupBy("line").agg(F.min(place).alias("place"), F.count("*").alias("copies"))
     # numbers that the table keeps once it is written
     distinct = materialize(found.select(F.monotonically_increasing_id().alias("id"), digest_of(F.col("line")).alias("digest"), "line", "place", "copies"), "line-distinct")
-    pairs = materialize(candidates(distinct.where(F.length("line") >= min_chars), max_edits), "line-candidates")
+    entered, probing = meetings(distinct.where(F.length("line") >= min_chars), max_edits)
 
-    ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().withColumn("key", F.col("id").cast("string"))
+    ends = entered.select(F.col("a").alias("id")).unionAll(probing.select(F.shiftright("b", 1).alias("id"))).distinct().withColumn("key", F.col("id").cast("string"))
     wanted = materialize(ends, "line-wanted")
     blocks = max(FEWEST_BLOCKS, min(MOST_BLOCKS, wanted.count() // 24))
     told = possible_hits(distinct.select("id", "line", F.col("id").cast("string").alias("key")), "key", blocked_filter(wanted, "key", blocks), blocks)
     texts = materialize(told.join(wanted.select("id"), "id", "left_semi").select("id", "line"), "line-texts")
+    pairs = materialize(candidates(entered, probing, materialize(with_bigrams(texts), "line-bigrams"), max_edits), "line-candidates")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("left")), texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
     met = without_common_ends(pairs.join(left, "a").join(right, "b"), "left", "right")
     links = materialize(within(met, "left", "right", max_edits).select("a", "b"), "line-links")
 
     count = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-    parts = connected_components(links, "a", "b", "line-components").withColumnRenamed("node", "id")
-    named = F.struct(*[F.col(f"place.{c}").alias(c) for c in ("no_id", "doc_id", "line_no")], "digest")
-    linked = parts.join(distinct.select("id", "place", "digest"), "id")
-    of_class = linked.groupBy("component").agg(F.min(named).alias("first"))
-    parts = materialize(parts.join(of_class, "component").select("id", "first"), "line-classes")
-    known = distinct.select("id", "digest", "copies", "place").join(count, "id", "left").join(parts, "id", "left")
-    known = known.select("digest", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("first", named).alias("first"))
-    known = materialize(known, "line-known")
-    out = lines.select(digest_of(F.col("line")).alias("digest"), "doc_id", "line_no").join(known, "digest")
+    parts = materialize(connected_components(links, "a", "b", "line-components").withColumnRenamed("node", "id").join(count, "id"), "line-parts")
+    # a line without copies and links is its own class and needs no row here
+    told = distinct.select("id", "digest", "copies", "place").join(parts, "id", "left").where("copies > 1 or links is not null")
+    told = materialize(told.select("digest", "copies", F.struct("place.no_id", "place.doc_id", "place.line_no", "digest").alias("named"), "links", "component"), "line-told")
+    of_class = told.where("component is not null").groupBy("component").agg(F.min("named").alias("first"))
+    known = told.join(of_class, "component", "left").select("digest", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("first", "named").alias("first"))
+    out = lines.select(digest_of(F.col("line")).alias("digest"), "doc_id", "line_no").join(materialize(known, "line-known"), "digest", "left")
+    alone = F.col("first").isNull()
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("digest") == F.col("first.digest"))
     return out.select(
         "doc_id",
         "line_no",
-        "copies",
-        "links",
-        F.col("first.doc_id").alias("class_doc_id"),
-        F.col("first.line_no").alias("class_line_no"),
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("digest") == F.col("first.digest"))).alias("kept"),
+        F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
+        F.coalesce("links", F.lit(0).cast("long")).alias("links"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"),
+        F.when(alone, F.col("line_no")).otherwise(F.col("first.line_no")).alias("class_line_no"),
+        (alone | here).alias("kept"),
     )
