@@ -1,24 +1,30 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model is compiled into three parts that are composed with each input:
-
-* the normaliser: a dummy space in front, spaces to the space symbol;
-* the pieces: an arc over the characters of each piece, and for a character that
-  no piece covers an arc to its UTF-8 byte pieces;
-* the junctions: in a merge (BPE) model a state remembers the piece it was entered
-  by, and an arc leaves it only if merging the two pieces' characters by score
-  gives back just these two; such an arc weighs nothing.  That every junction
-  holds is what makes a path the merge model's own segmentation.  In a unigram
-  model all arcs leave, and an arc weighs minus its piece's score.
-
-The encoding is the shortest path in the tropical semiring.  In either kind the
-best path to a position enters it by one piece, so one state a position is kept.
-An input is cut where no piece can cross (before spaces, around characters that
+The model file says of which kind it is and how it normalises.  It is compiled into
+three machines, which are composed with each input:
+
+* the normaliser: the model's character map, its spaces squeezed, a dummy space in
+  front and spaces to the space symbol, each as the model asks;
+* the pieces: an arc over the characters of each piece, with a weight and the ids that
+  it writes, and for a character that no piece covers an arc that writes its UTF-8 byte
+  pieces (the unknown id in a model without them);
+* the junctions of a merge (BPE) model: a state remembers the piece it was entered by,
+  and an arc leaves it at weight 0 only if merging the two pieces' characters by score
+  gives back just these two, else at infinity.  That every junction holds is what makes
+  a path the merge model's own segmentation.  A unigram model has no junctions; there
+  an arc weighs minus its piece's score.
+
+The encoding is the shortest path in the tropical semiring: weights add along a path,
+the least of those into a state stays, the longest arc of equals.  In either kind the
+best path to a position depends only on what stands before it, so one state a position
+is kept.  In a merge model all finite weights are 0, so the first finite arc is the
+least.  An input is cut where no piece can cross (before spaces, around characters that
 only stand alone), and each distinct cut is composed once while it is cached.
 
 Defined results: null text counts as empty and has no ids; a space symbol in the
 text decodes as a space; decoding skips control pieces; repeated rows are encoded
-alike; an empty table gives no rows.
+alike; an empty table gives no rows.  Word and character models, pieces defined by
+the user and spaces as suffixes are refused.
 """
 
 from __future__ import annotations
@@ -36,46 +42,114 @@ from pyspark.sql import functions as F
 
 from ._common import bounded_batches
 
-#: The symbol that stands for a space (fixed value).
-SPACE = "▁"
-#: Cached cuts and junctions of a task: these bound its memory.
+#: The symbol that stands for a space, and the weight by which an uncovered character is worse than the worst piece (fixed values).
+SPACE, UNKNOWN_WEIGHT = "▁", 10.0
+#: Cached cuts and junctions of a worker: these bound its memory.
 CACHED, ROWS = 600_000, 1000
+INFINITY = float("inf")
+
+
+class Normaliser:
+    """The model's normalisation: a map from strings of characters, the longest first, and what it does to spaces."""
+
+    def __init__(self, spec):
+        self.dummy, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
+        self.units, self.texts = np.zeros(0, np.uint32), b""
+        if spec.precompiled_charsmap:
+            size = int.from_bytes(spec.precompiled_charsmap[:4], "little")
+            self.units = np.frombuffer(spec.precompiled_charsmap[4 : 4 + size], "<u4")
+            self.texts = spec.precompiled_charsmap[4 + size :]
+
+    def _longest(self, raw: bytes, at: int) -> tuple[int, int] | None:
+        """Bytes read and place of the replacement for the longest entry at ``at``; the map is a double-array trie."""
+        units, found = self.units, None
+        here = int(units[0])
+        place = (here >> 10) << ((here & 0x200) >> 6)
+        for i in range(at, len(raw)):
+            place ^= raw[i]
+            here = int(units[place])
+            if here & 0x800000FF != raw[i]:
+                break
+            place ^= (here >> 10) << ((here & 0x200) >> 6)
+            if here >> 8 & 1:
+                found = i + 1 - at, int(units[place]) & 0x7FFFFFFF
+        return found
+
+    def mapped(self, text: str) -> str:
+        raw, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(raw):
+            entry = self._longest(raw, at)
+            if entry:
+                size, begin = entry
+                out.append(self.texts[begin : self.texts.index(b"\0", begin)])
+            else:
+                size = 1
+                while at + size < len(raw) and raw[at + size] & 0xC0 == 0x80:
+                    size += 1
+                out.append(raw[at : at + size])
+            at += size
+        return b"".join(out).decode("utf-8", "replace")
+
+    def __call__(self, text: str) -> str:
+        if len(self.units):
+            text = self.mapped(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return ""
+        text = " " + text if self.dummy else text
+        if not self.escape:
+            return text
+        text = text.replace(" ", SPACE)
+        return text.rstrip(SPACE) if self.squeeze else text
 
 
 class Transducer:
-    """A compiled model.  ``merges``: a BPE model, else unigram."""
-
-    def __init__(self, path: str, merges: bool = True):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.merges = merges
-        size = model.get_piece_size()
-        self.pieces = [model.id_to_piece(i) for i in range(size)]
-        plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.ids = {self.pieces[i]: i for i in plain}
-        self.scores = {self.pieces[i]: model.get_score(i) for i in plain}
-        self.control = {i for i in range(size) if model.is_control(i)}
-        self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
+    """A compiled model."""
+
+    def __init__(self, path: str):
+        from sentencepiece import sentencepiece_model_pb2 as formats
+
+        with open(path, "rb") as file:
+            model = formats.ModelProto.FromString(file.read())
+        spec, kinds = model.trainer_spec, formats.ModelProto.SentencePiece
+        if spec.model_type not in (formats.TrainerSpec.UNIGRAM, formats.TrainerSpec.BPE) or spec.treat_whitespace_as_suffix:
+            raise ValueError("only unigram and merge models with spaces as prefixes are compiled")
+        if any(p.type == kinds.USER_DEFINED for p in model.pieces):
+            raise ValueError("pieces defined by the user are not compiled")
+        self.merges = spec.model_type == formats.TrainerSpec.BPE
+        self.normalise = Normaliser(model.normalizer_spec)
+        of_type = lambda kind: [(i, p) for i, p in enumerate(model.pieces) if p.type == kind]
+        self.pieces = [p.piece for p in model.pieces]
+        self.scores = {p.piece: p.score for _, p in of_type(kinds.NORMAL)}
+        self.control = {i for i, _ in of_type(kinds.CONTROL)}
+        self.unknown = next((i for i, _ in of_type(kinds.UNKNOWN)), 0)
+        self.byte_ids = {int(p.piece[3:5], 16): i for i, p in of_type(kinds.BYTE)} if spec.byte_fallback else {}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
-        self.unknown = model.unk_id()
-        self.longest = max(map(len, self.ids), default=1)
+        self.unknown_text = spec.unk_surface
+        #: piece -> weight, ids written
+        self.arcs = {p.piece: (0.0 if self.merges else -p.score, (i,)) for i, p in of_type(kinds.NORMAL)}
+        self.fallback = 0.0 if self.merges else UNKNOWN_WEIGHT - min(self.scores.values(), default=0.0)
         lengths: dict[str, set[int]] = {}
-        for piece in self.ids:
+        for piece in self.arcs:
             if len(piece) > 1:
                 lengths.setdefault(piece[-2:], set()).add(len(piece))
-        #: by its last two characters, the lengths that a piece may have
+        #: by its last two characters, the lengths that an arc may have, the longest first
         self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
-        self.worst = min(self.scores.values(), default=0.0) - 10.0
-        shared = {c for p in self.ids if len(p) > 1 for c in p} - {SPACE}
-        self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        shared = {c for p in self.arcs if len(p) > 1 for c in p} - {SPACE}
+        self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.arcs)
         inner = "[" + "".join(map(re.escape, sorted(shared))) + "]" if shared else "(?!)"
         self.cut = re.compile(f"{SPACE}+{inner}*|{inner}+|.", re.DOTALL)
-        self.junctions: dict[tuple[str, str], bool] = {}
+        self.junctions: dict[tuple[str, str], float] = {}
         self.paths: dict[str, tuple[int, ...]] = {}
 
-    def normalise(self, text: str) -> str:
-        return SPACE + text.replace(" ", SPACE) if text else ""
+    def arc(self, piece: str) -> tuple[float, tuple[int, ...]] | None:
+        """Weight and ids of the arc over ``piece``; one over a single character is added where no piece covers it."""
+        found = self.arcs.get(piece)
+        if found is None and len(piece) == 1:
+            ids = tuple(self.byte_ids[b] for b in piece.encode("utf-8", "replace")) if self.byte_ids else (self.unknown,)
+            found = self.arcs[piece] = (self.fallback, ids)
+        return found
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short string, merged by score, leftmost first."""
@@ -90,113 +164,127 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def joins(self, left: str, right: str) -> bool:
-        """Whether the arc of ``right`` leaves the state entered by ``left`` ('' at the start)."""
-        known = self.junctions.get((left, right))
-        if known is None:
+    def junction(self, left: str, right: str) -> float:
+        """Weight at which the arc of ``right`` leaves the state entered by ``left`` ('' at the start)."""
+        if not self.merges:
+            return 0.0
+        weight = self.junctions.get((left, right))
+        if weight is None:
             if len(self.junctions) > CACHED:
                 self.junctions.clear()
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            self.junctions[left, right] = known
-        return known
+            weight = 0.0 if self.merged(left + right) == ([left, right] if left else [right]) else INFINITY
+            self.junctions[left, right] = weight
+        return weight
 
-    def _enter(self, text: str, entered: list[str], begin: int) -> None:
-        """Fill in by which piece the best path enters each position after ``begin``."""
-        ids, known, joins, lengths = self.ids, self.junctions, self.joins, self.lengths
+    def extend(self, text: str, entered: list[str], least: list[float], begin: int) -> None:
+        """Least weight of, and piece that enters, each position after ``begin``: the composition with ``text``, forwards."""
+        arcs, known, merges, lengths = self.arcs, self.junctions, self.merges, self.lengths
         for end in range(begin + 1, len(text) + 1):
-            single = text[end - 1]
-            entered[end] = single
-            for size in lengths.get(text[end - 2 : end], ()) if end > 1 else ():
-                if size <= end:
-                    piece = text[end - size : end]
-                    if piece in ids:
-                        left = entered[end - size]
-                        holds = known.get((left, piece))
-                        if holds or (holds is None and joins(left, piece)):
-                            entered[end] = piece
-                            break
-
-    def _enter_unigram(self, text: str, entered: list[str]) -> None:
-        weight = [0.0] + [float("inf")] * len(text)
-        for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                piece = text[begin:end]
-                cost = -self.scores[piece] if piece in self.ids else -self.worst if begin == end - 1 else None
-                if cost is not None and weight[begin] + cost < weight[end]:
-                    weight[end], entered[end] = weight[begin] + cost, piece
+            # the arc of one character, which in a merge model is the one where no longer arc is finite
+            by = text[end - 1]
+            arc = arcs.get(by) or self.arc(by)
+            single = least[end - 1] + arc[0]
+            best = INFINITY if merges else single
+            for size in lengths.get(text[end - 2 : end], ()):
+                at = end - size
+                piece = text[at:end]
+                arc = arcs.get(piece)
+                if arc is None or at < 0:
+                    continue
+                weight = least[at] + arc[0]
+                if merges:
+                    left = entered[at]
+                    join = known.get((left, piece))
+                    weight += self.junction(left, piece) if join is None else join
+                if weight < best or (weight == best < INFINITY and size > len(by)):
+                    best, by = weight, piece
+                    if merges:
+                        break
+            least[end], entered[end] = min(best, single), by
 
     def compose(self, cuts: Iterable[str]) -> None:
         """Find and cache the shortest path of each cut that isn't known yet.
 
-        In a merge model the best path to a position depends on what stands before
-        it alone, so in sorted order a cut goes on from the prefix it shares with the last.
+        The best path to a position depends on what stands before it alone, so in
+        sorted order a cut goes on from the prefix it shares with the last.
         """
         wanted = set(cuts)
         missing = sorted(wanted.difference(self.paths))
         if len(self.paths) + len(missing) > CACHED:
             self.paths.clear()
             missing = sorted(wanted)
-        last, entered = "", [""]
+        last, entered, least, arcs = "", [""], [0.0], self.arcs
         for text in missing:
-            if self.merges:
-                same, most = 0, min(len(last), len(text))
-                while same < most and last[same] == text[same]:
-                    same += 1
-                entered[same + 1 :] = [""] * (len(text) - same)
-                self._enter(text, entered, same)
-            else:
-                entered = [""] * (len(text) + 1)
-                self._enter_unigram(text, entered)
+            same, most = 0, min(len(last), len(text))
+            while same < most and last[same] == text[same]:
+                same += 1
+            entered[same + 1 :] = [""] * (len(text) - same)
+            least[same + 1 :] = [INFINITY] * (len(text) - same)
+            self.extend(text, entered, least, same)
             last = text
             path, at = [], len(text)
             while at:
-                path.append(entered[at])
+                path.append(arcs[entered[at]][1])
                 at -= len(entered[at])
-            self.paths[text] = self._ids_of(path[::-1])
-
-    def _ids_of(self, path: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in path:
-            if piece in self.ids:
-                out.append(self.ids[piece])
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
-            else:
-                out.append(self.unknown)
-        return tuple(out)
+            self.paths[text] = tuple(itertools.chain.from_iterable(reversed(path)))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [[normal] if self.crossing else self.cut.findall(normal) for normal in map(self.normalise, texts)]
         self.compose(itertools.chain.from_iterable(cut))
         paths, chain = self.paths, itertools.chain.from_iterable
-        return [list(chain([paths[c] for c in cuts])) for cuts in cut]
+        found = [list(chain([paths[c] for c in cuts])) for cuts in cut]
+        if self.byte_ids:
+            return found
+        # a run of unknown characters is one unknown id
+        return [[i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != i] for ids in found]
 
     def decode(self, ids: list[int]) -> str:
         """The inverse of the composition: pieces to characters, byte pieces to UTF-8, the dummy space dropped."""
         if not ids:
             return ""
-        pieces, bytes_of = self.pieces, self.bytes_of
-        raw = b"".join([bytes([bytes_of[i]]) if i in bytes_of else b"" if i in self.control else pieces[i].encode() for i in ids])
-        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        pieces, bytes_of, out = self.pieces, self.bytes_of, []
+        # spaces that begin the text: all of them if the model squeezes, else the dummy one
+        begins = self.normalise.dummy or self.normalise.squeeze
+        for i in ids:
+            if i in bytes_of:
+                out.append(bytes([bytes_of[i]]))
+                begins = False
+            elif i not in self.control:
+                piece = self.unknown_text if i == self.unknown else pieces[i]
+                if begins and i != self.unknown and piece.startswith(SPACE):
+                    piece = piece[1:]
+                    begins = self.normalise.squeeze
+                begins = begins and not piece
+                out.append(piece.encode())
+        return b"".join(out).decode("utf-8", "replace").replace(SPACE, " ")
+
+
+#: The compiled models of this worker process, which outlives a task: later tasks find the paths of earlier ones.
+_COMPILED: dict[str, Transducer] = {}
+
+
+def compiled(path: str) -> Transducer:
+    if path not in _COMPILED:
+        _COMPILED[path] = Transducer(path)
+    return _COMPILED[path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", merges: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, ids (array), text (decoded from the ids)."""
-    return _mapped(docs, model_path, id_col, text_col, merges, False)
+    return _mapped(docs, model_path, id_col, text_col, False)
 
 
-def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", merges: bool = True) -> DataFrame:
+def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, round_trip."""
-    return _mapped(docs, model_path, id_col, text_col, merges, True)
+    return _mapped(docs, model_path, id_col, text_col, True)
 
 
-def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, merges: bool, digest: bool) -> DataFrame:
+def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, digest: bool) -> DataFrame:
     bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer(model_path, merges)
+        fst = compiled(model_path)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
