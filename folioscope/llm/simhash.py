@@ -145,9 +145,8 @@ def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, fp: Column) -> Dat
         kept = materialize(chosen.select(F.col("doc_id").alias(id_col)), "simhash-kept")
         return docs.join(kept, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in names])
     chosen = chosen.groupBy("root").agg(F.first("doc_id").alias("keep_id"), F.min("fp").alias("keep_fp"))
-    row_key = lambda c: (F.coalesce(F.col(c), F.lit(0)).alias("id_key"), F.col(c).isNull().alias("no_id"))
-    chosen = materialize(chosen.select("root", "keep_fp", *row_key("keep_id")), "simhash-kept")
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *row_key(id_col))
+    chosen = materialize(chosen.select("root", "keep_id", "keep_fp"), "simhash-kept")
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("own_id"))
     # where ids repeat, the fingerprint tells which row of that id was chosen
-    met = inner.join(chosen, ["id_key", "no_id"]).withColumn("fp", fp).where("fp = keep_fp")
-    return met.dropDuplicates(["id_key", "no_id", "root"]).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    met = inner.join(chosen, F.col("own_id").eqNullSafe(F.col("keep_id"))).withColumn("fp", fp).where("fp = keep_fp")
+    return met.dropDuplicates(["keep_id", "root"]).select(*[F.col(f"row.`{c}`").alias(c) for c in names])

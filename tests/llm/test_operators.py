@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import exact_dedup, language_id, line_dedup, near_dedup, packing, paragraph_sketch, quality, queries, sentencepiece_fst, simhash, url_filter, warc
+from folioscope.llm import exact_dedup, language_id, line_dedup, packing, paragraph_sketch, quality, queries, sentencepiece_fst, simhash, simhash_similar, url_filter, warc
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SPACE = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
@@ -176,11 +176,11 @@ def test_near_stage_against_brute_force(spark):
 
 
 def test_near_odd(odd, empty):
-    got = rows(near_dedup.components(odd))
+    got = rows(simhash_similar.components(odd))
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (4, 5, 6)} == {4}
-    kept = rows(near_dedup.keep_first(odd))
+    kept = rows(simhash_similar.keep_first(odd))
     assert set(kept[0]) == set(odd.columns) and len(kept) == len({r["root"] for r in got})
-    assert rows(near_dedup.components(empty)) == [] and rows(near_dedup.keep_first(empty)) == []
+    assert rows(simhash_similar.components(empty)) == [] and rows(simhash_similar.keep_first(empty)) == []
 
 
 # lines
