@@ -87,6 +87,17 @@ def shingles(words: Column, k: int = SHINGLE) -> Column:
     return let(words, of)
 
 
+def shingle_hashes(words: Column, k: int = SHINGLE) -> Column:
+    """``shingles`` as 64-bit hashes: what is compared often is small."""
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(k)]))
+        short = F.when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<long>"))
+        return F.when(F.size(w) >= k, F.array_distinct(runs)).otherwise(short)
+
+    return let(words, of)
+
+
 def strip(text: Column) -> Column:
     """White space of any kind off both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -174,24 +185,6 @@ def code_language(code: Column) -> Column:
     return F.when(shell, "bash").when(code.rlike(r"(?md)^\s*(def|class|import|from)\s"), "python").otherwise("")
 
 
-def clip(text: Column, width: int) -> Column:
-    return F.when(F.length(text) <= width, text).otherwise(F.concat(F.substring(text, 1, width - 1), F.lit("…")))
-
-
-def fit_name(name: Column, width: int) -> Column:
-    """A name shortened in the middle."""
-    keep = width - 1
-    head, tail = (keep + 1) // 2, keep // 2
-    return F.when(F.length(name) <= width, name).otherwise(F.concat(F.left(name, F.lit(head)), F.lit("…"), F.right(name, F.lit(tail))))
-
-
-def retry_delay(message: Column, default: float = 60.0) -> Column:
-    """Seconds that an error message asks to wait."""
-    after = F.regexp_extract(message, r"(?i)retry[_\s]+(?:after|in)[:\s]+(\d+(?:\.\d+)?)", 1)
-    seconds = F.regexp_extract(message, r"(?i)(\d+(?:\.\d+)?)\s*s(?:ec(?:onds?)?)?", 1)
-    return F.coalesce(F.coalesce(F.nullif(after, F.lit("")), F.nullif(seconds, F.lit(""))).cast("double"), F.lit(default))
-
-
 def chunks(text: Column, size: int) -> Column:
     count = F.ceil(F.length(text) / size).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))

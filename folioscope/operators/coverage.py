@@ -20,19 +20,26 @@ RECOVERY = r"(?s)<!-- (?:repair|postfix): missing-text (?:recovery|rescue) -->.*
 
 
 def shingle_rows(df: DataFrame, key: str, text: str, name: str = "shingle") -> DataFrame:
-    """Distinct shingles of each row: (key, shingle)."""
-    return df.select(key, F.explode(T.shingles(T.tokens(F.col(text)))).alias(name))
+    """Distinct shingles of each row, as hashes: (key, shingle)."""
+    return df.select(key, F.explode(T.shingle_hashes(T.tokens(F.col(text)))).alias(name))
 
 
 def containment(items: DataFrame, docs: DataFrame, least: float = SHINGLE_HIT) -> DataFrame:
     """Pairs (doc_id, item_id) where the document holds the share ``least`` of the item's shingles.
 
-    items: item_id, text; docs: doc_id, text.  Rows: doc_id, item_id, hits, shingles.
+    items: item_id, text; docs: doc_id, text.  Rows: doc_id, item_id, hits, shingles.  Hashes of
+    shingles find the pairs; those that have enough are counted again on the shingles themselves.
+    Null texts and texts without words hold nothing and are held by none; equal rows give equal rows.
     """
-    wanted = shingle_rows(items, "item_id", "text")
-    sizes = items.select("item_id", F.size(T.shingles(T.tokens(F.col("text")))).cast("long").alias("shingles")).where("shingles > 0")
-    hits = shingle_rows(docs, "doc_id", "text").join(wanted, "shingle").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"))
-    return hits.join(sizes, "item_id").where(F.col("hits") >= F.lit(least) * F.col("shingles")).select("doc_id", "item_id", "hits", "shingles")
+    known = items.select("item_id", "text").distinct()
+    wanted = shingle_rows(known, "item_id", "text")
+    sizes = wanted.groupBy("item_id").agg(F.count("*").alias("least"))
+    met = shingle_rows(docs, "doc_id", "text").join(wanted, "shingle").groupBy("doc_id", "item_id").agg(F.count("*").alias("met"))
+    met = met.join(sizes, "item_id").where(F.col("met") >= F.lit(least) * F.col("least")).select("doc_id", "item_id")
+    of = lambda name: T.shingles(T.tokens(F.col("text"))).alias(name)
+    pairs = met.join(docs.select("doc_id", of("held")), "doc_id").join(known.select("item_id", of("asked")), "item_id")
+    hits = pairs.select("doc_id", "item_id", F.size(F.array_intersect("held", "asked")).cast("long").alias("hits"), F.size("asked").cast("long").alias("shingles"))
+    return hits.where((F.col("shingles") > 0) & (F.col("hits") >= F.lit(least) * F.col("shingles")))
 
 
 def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_TOKENS) -> DataFrame:
@@ -64,22 +71,42 @@ def short_covered(needle: Column, output: Column) -> Column:
     return T.let(bound, lambda s: of(s["need"], s["found"], s["window"]))
 
 
+def _short_lines(short: DataFrame, plain: DataFrame) -> DataFrame:
+    """``short`` (doc_id, sentence_no, sentence, normal, n_tokens) with ``covered``: the rule of ``short_covered`` as a join.
+
+    Only places of a needle's tokens in its document's output are rows; the tokens around an
+    anchor are counted in a frame of positions, one for each length that a short line may have.
+    """
+    need = short.select("doc_id", "sentence_no", "n_tokens", F.array_distinct(T.tokens_of_normal(F.col("normal"))).alias("need"))
+    asked = need.select("doc_id", "sentence_no", "n_tokens", F.size("need").alias("needed"), F.explode("need").alias("token"))
+    placed = plain.join(need.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode("output").alias("place", "token"))
+    line = Window.partitionBy("doc_id", "sentence_no")
+    hits = asked.join(placed, ["doc_id", "token"]).withColumn("times", F.count("*").over(Window.partitionBy("doc_id", "sentence_no", "token")))
+    # a token that is nowhere is the rarest, and stands in no window
+    hits = hits.withColumn("found", F.size(F.collect_set("token").over(line))).where("found = needed").withColumn("rarest", F.min("times").over(line))
+    around = None
+    for n in range(MIN_TOKENS, SHORT_TOKENS + 1):
+        frame = line.orderBy("place").rangeBetween(-(n + WINDOW_SLACK), n + WINDOW_SLACK)
+        near = F.size(F.collect_set("token").over(frame))
+        around = F.when(F.col("n_tokens") == n, near) if around is None else around.when(F.col("n_tokens") == n, near)
+    near = hits.withColumn("near", around).where((F.col("times") == F.col("rarest")) & (F.col("near") >= CONTAIN_HIT * F.col("needed")))
+    return short.join(near.select("doc_id", "sentence_no", F.lit(True).alias("hit")).distinct(), ["doc_id", "sentence_no"], "left").withColumn("covered", F.col("hit").isNotNull()).drop("hit")
+
+
 def sentence_coverage(sources: DataFrame, outputs: DataFrame) -> DataFrame:
     """For each checked sentence of a document, whether the document's output covers it.
 
-    sources: doc_id, text; outputs: doc_id, text (markup).  A document without output
-    covers nothing.  Rows: doc_id, sentence_no, sentence, n_tokens, covered.
+    sources: doc_id, text; outputs: doc_id, text (markup); a doc_id stands once in each.  A document
+    without output, or with a null one, covers nothing; null sources have no sentences.  Rows:
+    doc_id, sentence_no, sentence, n_tokens, covered.
     """
     wanted = sentence_rows(sources)
-    plain = outputs.select("doc_id", T.tokens(T.plain_text(F.regexp_replace("text", RECOVERY, ""))).alias("output"))
-    short = wanted.where(F.col("n_tokens") <= SHORT_TOKENS).join(plain, "doc_id", "left")
-    output = F.coalesce("output", F.array().cast("array<string>"))
-    short = short.select("doc_id", "sentence_no", "sentence", "n_tokens", short_covered(T.tokens_of_normal(F.col("normal")), output).alias("covered"))
-
-    long = wanted.where(F.col("n_tokens") > SHORT_TOKENS)
-    pieces = long.select("doc_id", "sentence_no", "sentence", "n_tokens", F.explode(T.shingles(T.tokens_of_normal(F.col("normal")))).alias("shingle"))
-    held = plain.select("doc_id", F.explode(T.shingles(F.col("output"))).alias("shingle"), F.lit(1).alias("hit"))
-    long = pieces.join(held, ["doc_id", "shingle"], "left").groupBy("doc_id", "sentence_no", "sentence", "n_tokens").agg((F.count("hit") >= SHINGLE_HIT * F.count("*")).alias("covered"))
+    plain = outputs.select("doc_id", T.tokens(T.plain_text(F.regexp_replace(F.coalesce("text", F.lit("")), RECOVERY, ""))).alias("output"))
+    told = ["doc_id", "sentence_no", "sentence", "n_tokens"]
+    short = _short_lines(wanted.where(F.col("n_tokens") <= SHORT_TOKENS), plain).select(*told, "covered")
+    pieces = wanted.where(F.col("n_tokens") > SHORT_TOKENS).select(*told, F.explode(T.shingle_hashes(T.tokens_of_normal(F.col("normal")))).alias("shingle"))
+    held = plain.select("doc_id", F.explode(T.shingle_hashes(F.col("output"))).alias("shingle"), F.lit(1).alias("hit"))
+    long = pieces.join(held, ["doc_id", "shingle"], "left").groupBy(*told).agg((F.count("hit") >= SHINGLE_HIT * F.count("*")).alias("covered"))
     return short.unionByName(long)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chrome, coverage
-from .registry import Inline, query, table
+from .registry import Inline, query, spread, table
 
 #: The other engine's way to normalise ``{x}``.
 NORM = r"trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(strip_accents({x}), '[^\x00-\x7F]', '', 'g'), '-\s*\n\s*', '', 'g')), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -15,18 +15,23 @@ TOKENS = "CASE WHEN {n} = '' THEN []::VARCHAR[] ELSE string_split({n}, ' ') END"
 SHINGLES = "CASE WHEN len({t}) >= 4 THEN list_distinct([array_to_string({t}[i:i+3], ' ') FOR i IN range(1, len({t}) - 2)]) WHEN len({t}) > 0 THEN [array_to_string({t}, ' ')] ELSE []::VARCHAR[] END"
 
 
+def documents(spark, sf_dir, *columns):
+    """The columns of ``documents``, dealt to all cores."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def norm(x: str) -> str:
     return NORM.format(x=x)
 
 
 @query("norm_text", f"SELECT doc_id, {norm('text')} AS normal FROM documents")
 def norm_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normal"))
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", T.normalize(F.col("text")).alias("normal"))
 
 
 @query("token_counts", f"WITH n AS (SELECT doc_id, {norm('text')} AS n FROM documents) SELECT doc_id, len({TOKENS.format(n='n')})::BIGINT AS n_tokens FROM n")
 def token_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normal"))
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", T.normalize(F.col("text")).alias("normal"))
     return docs.select("doc_id", T.token_count(F.col("normal")).cast("long").alias("n_tokens"))
 
 
@@ -42,7 +47,7 @@ def sentence_split(spark, sf_dir):
     f"t AS (SELECT doc_id, len({TOKENS.format(n='n')}) AS k FROM n) SELECT doc_id, count(*) AS sentences, count(*) FILTER (k >= 5) AS checked, coalesce(sum(k) FILTER (k >= 5), 0)::BIGINT AS checked_tokens FROM t GROUP BY doc_id",
 )
 def sentence_min_tokens(spark, sf_dir):
-    rows = coverage.sentence_rows(table(spark, sf_dir, "documents"), least=0)
+    rows = coverage.sentence_rows(documents(spark, sf_dir, "doc_id", "text"), least=0)
     checked = F.col("n_tokens") >= coverage.MIN_TOKENS
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(checked).alias("checked"), F.sum(F.when(checked, F.col("n_tokens")).otherwise(0).cast("long")).alias("checked_tokens"))
 
@@ -52,8 +57,8 @@ def sentence_min_tokens(spark, sf_dir):
     f"WITH n AS (SELECT doc_id, {norm('text')} AS n FROM documents), t AS (SELECT doc_id, {TOKENS.format(n='n')} AS t FROM n) SELECT doc_id, len({SHINGLES.format(t='t')})::BIGINT AS n_shingles FROM t",
 )
 def shingle_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(T.shingles(T.tokens(F.col("text")))).cast("long").alias("n_shingles"))
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return docs.select("doc_id", F.size(T.shingle_hashes(T.tokens(F.col("text")))).cast("long").alias("n_shingles"))
 
 
 LINES = "SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents"
@@ -65,7 +70,7 @@ LINES = "SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM
     "SELECT sig, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM s WHERE sig <> '' GROUP BY sig",
 )
 def line_signature(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.select("doc_id", T.signature(F.col("line")).alias("sig")).where("sig <> ''").groupBy("sig").agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -95,7 +100,7 @@ SHINGLE_COVERAGE = f"""
 
 @query("shingle_coverage", SHINGLE_COVERAGE)
 def shingle_coverage(spark, sf_dir):
-    return coverage.containment(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return coverage.containment(table(spark, sf_dir, "benchmark"), documents(spark, sf_dir, "doc_id", "text"))
 
 
 @query(
@@ -114,7 +119,7 @@ def sentence_coverage(spark, sf_dir):
     """For each sentence of a benchmark item, how many documents cover it."""
     rows = coverage.sentence_rows(table(spark, sf_dir, "benchmark"), key="item_id").where(F.col("n_tokens") > coverage.SHORT_TOKENS)
     wanted = rows.select(F.struct("item_id", "sentence_no").alias("item_id"), F.col("sentence").alias("text"))
-    held = coverage.containment(wanted, table(spark, sf_dir, "documents")).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    held = coverage.containment(wanted, documents(spark, sf_dir, "doc_id", "text")).groupBy("item_id").agg(F.count("*").alias("n_docs"))
     sizes = wanted.select("item_id", F.col("text").alias("sentence"), F.size(T.shingles(T.tokens(F.col("text")))).cast("long").alias("shingles"))
     return sizes.join(held, "item_id", "left").select("item_id.item_id", "sentence", "shingles", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"))
 
@@ -170,17 +175,23 @@ OUTPUTS = Inline("outputs", "doc_id int, text string", [
 ])
 
 
+def coverage_sql(sources: str, outputs: str) -> str:
+    """Tables up to ``f`` (doc_id, sentence, covered) for tables ``sources`` and ``outputs`` (doc_id, text) of these names."""
+    return f"""si AS (SELECT doc_id, unnest({SENTENCES.format(x='text')}) AS sentence FROM {sources}),
+    sn AS (SELECT row_number() OVER () AS k, doc_id, sentence, {norm('sentence')} AS n FROM si), st AS (SELECT k, doc_id, sentence, {TOKENS.format(n='n')} AS need FROM sn), s AS (SELECT * FROM st WHERE len(need) >= 5),
+    ox AS (SELECT doc_id, regexp_replace(text, '(?s)<!-- (?:repair|postfix): missing-text (?:recovery|rescue) -->.*', '', 'g') AS x FROM {outputs}), op AS (SELECT doc_id, {plain_sql('x')} AS p FROM ox),
+    o1 AS (SELECT doc_id, {norm('p')} AS n FROM op), o2 AS (SELECT doc_id, {TOKENS.format(n='n')} AS o FROM o1), o AS (SELECT doc_id, o, {SHINGLES.format(t='o')} AS os FROM o2),
+    j AS (SELECT k, s.doc_id, sentence, need, coalesce(o, []::VARCHAR[]) AS o, coalesce(os, []::VARCHAR[]) AS os FROM s LEFT JOIN o USING (doc_id)),
+    sh AS (SELECT *, {SHINGLES.format(t='need')} AS ns, list_distinct(need) AS d FROM j),
+    ct AS (SELECT *, CASE WHEN len(need) > 7 THEN []::BIGINT[] ELSE [len(list_filter(o, lambda y: y = x)) FOR x IN d] END AS c FROM sh),
+    f AS (SELECT doc_id, sentence, CASE WHEN len(need) > 7 THEN len(list_intersect(ns, os)) >= 0.5 * len(ns) WHEN len(o) = 0 OR list_min(c) = 0 THEN false
+        ELSE len(list_filter(range(1, len(o) + 1), lambda q: list_contains(d, o[q]) AND c[list_position(d, o[q])] = list_min(c) AND len(list_intersect(d, o[greatest(1, q - len(need) - 5):q + len(need) + 5])) >= 0.8 * len(d))) > 0 END AS covered FROM ct)"""
+
+
 @query(
     "coverage_summary",
     f"""
-    WITH {SOURCES.cte}, {OUTPUTS.cte}, si AS (SELECT doc_id, unnest({SENTENCES.format(x='text')}) AS sentence FROM sources),
-    sn AS (SELECT row_number() OVER () AS k, doc_id, {norm('sentence')} AS n FROM si), st AS (SELECT k, doc_id, {TOKENS.format(n='n')} AS need FROM sn), s AS (SELECT * FROM st WHERE len(need) >= 5),
-    ox AS (SELECT doc_id, regexp_replace(text, '(?s)<!-- (?:repair|postfix): missing-text (?:recovery|rescue) -->.*', '', 'g') AS x FROM outputs), op AS (SELECT doc_id, {plain_sql('x')} AS p FROM ox),
-    o1 AS (SELECT doc_id, {norm('p')} AS n FROM op), o AS (SELECT doc_id, {TOKENS.format(n='n')} AS o FROM o1),
-    j AS (SELECT k, s.doc_id, need, coalesce(o, []::VARCHAR[]) AS o FROM s LEFT JOIN o USING (doc_id)),
-    sh AS (SELECT *, {SHINGLES.format(t='need')} AS ns, {SHINGLES.format(t='o')} AS os, list_distinct(need) AS d FROM j),
-    f AS (SELECT doc_id, CASE WHEN len(need) > 7 THEN len(list_intersect(ns, os)) >= 0.5 * len(ns)
-        ELSE len(list_filter(range(1, len(o) + 1), lambda q: list_contains(d, o[q]) AND len(list_intersect(d, o[greatest(1, q - len(need) - 5):q + len(need) + 5])) >= 0.8 * len(d))) > 0 END AS covered FROM sh)
+    WITH {SOURCES.cte}, {OUTPUTS.cte}, {coverage_sql('sources', 'outputs')}
     SELECT doc_id, count(*) AS total, count(*) FILTER (covered) AS covered, count(*) FILTER (NOT covered) AS missing, 100.0::DOUBLE * count(*) FILTER (covered) / count(*) AS percent,
         CASE WHEN count(*) FILTER (NOT covered) = 0 THEN 'ok' ELSE 'warn' END AS status FROM f GROUP BY doc_id""",
 )
@@ -188,6 +199,17 @@ def coverage_summary(spark, sf_dir):
     return coverage.coverage_summary(coverage.sentence_coverage(SOURCES.df(spark), OUTPUTS.df(spark)))
 
 
+@query(
+    "sentence_coverage_half",
+    f"WITH half AS (SELECT doc_id, left(text, length(text) // 2) AS text FROM documents), {coverage_sql('documents', 'half')} SELECT doc_id, count(*) AS total, count(*) FILTER (covered) AS covered FROM f GROUP BY doc_id",
+)
+def sentence_coverage_half(spark, sf_dir):
+    """How many checked sentences of each document the first half of it covers."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    half = docs.select("doc_id", F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("text"))
+    return coverage.coverage_summary(coverage.sentence_coverage(docs, half)).select("doc_id", "total", "covered")
+
+
 @query(
     "running_line_by_source",
     f"""
@@ -197,7 +219,7 @@ def coverage_summary(spark, sf_dir):
 )
 def running_line_by_source(spark, sf_dir):
     """Lines that run over a tenth of a source's documents: a source is the document here, a document the page."""
-    lines = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.explode(F.split("text", "\n")).alias("text"))
+    lines = documents(spark, sf_dir, "doc_id", "source", "text").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.explode(F.split("text", "\n")).alias("text"))
     return chrome.running_lines(lines, share=0.1).withColumnRenamed("doc_id", "source").select("source", "normal", "n_pages", "total_pages")
 
 
@@ -207,6 +229,6 @@ def running_line_by_source(spark, sf_dir):
 )
 def running_line_vote(spark, sf_dir):
     """Lines that more than one document has."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     normal = lines.select("doc_id", T.normalize(F.col("line")).alias("normal")).where("normal <> ''")
     return normal.groupBy("normal").agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_docs")).where("n_docs >= 2")
