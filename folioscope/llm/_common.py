@@ -57,6 +57,18 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system: it outlives the task, and what it keeps the next ones lack."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Rows that pass between a task and its Python worker at a time.
 BATCH_ROWS = 1000
 

@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, release
 
 #: Text bytes tokenised at once, tokens and examples of a block, and cached words: these bound a task's memory.
-SLICE_BYTES, BLOCK_TOKENS, BLOCK_EXAMPLES, CACHED_WORDS = 1 << 20, 2_000_000, 8192, 250_000
+SLICE_BYTES, BLOCK_TOKENS, BLOCK_EXAMPLES, CACHED_WORDS = 1 << 20, 2_000_000, 8192, 150_000
 
 
 @dataclass(frozen=True)
@@ -141,10 +141,22 @@ def pack_block(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool =
     return out
 
 
+#: How a tokenizer cuts words that the way by words was made for (fixed value).
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A letter beside an ASCII sign or digit other than an apostrophe, either way round.
 _BORDERS = (r"([a-z])([!-&(-/:-@\[-`{-~0-9])", r"([!-&(-/:-@\[-`{-~0-9])([a-z])")
 
 
+def _parts_by_word(parts: dict) -> bool:
+    """Whether a tokenizer's parts are those that the way by words was made for: lower case, spaces and signs as word ends, no more."""
+    normal, cut = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+    steps = {p.get("type") for p in normal.get("normalizers", [normal])}
+    cuts = cut.get("pretokenizers", [cut])
+    known = "Lowercase" in steps and steps <= {"Lowercase", "NFC", "Replace"} and {p.get("type") for p in cuts} <= {"Split", "ByteLevel"}
+    known = known and [p["pattern"].get("Regex") for p in cuts if p.get("type") == "Split"] == [WORD_SPLIT]
+    return known and parts["model"].get("end_of_word_suffix") == "</w>"
+
+
 class _Words:
     """Token ids of texts, by way of the ids of their words.
 
@@ -159,18 +171,15 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") == "</w>"
+        self.by_word = _parts_by_word(json.loads(self.tokenizer.to_str()))
         self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> _Words:
         """The words of this worker process, which outlives a task: later tasks find what earlier ones learned."""
-        import tokenizers
-
-        kept = tokenizers.__dict__.setdefault("_words_by_path", {})
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
+        if path not in _KEPT:
+            _KEPT[path] = cls(path)
+        return _KEPT[path]
 
     def _learn(self, words: list[str]) -> None:
         if len(self.known) > CACHED_WORDS:
@@ -212,6 +221,10 @@ class _Words:
         return pool[take], np.diff(bounds)
 
 
+#: The words of each tokenizer that this worker process has learned.
+_KEPT: dict[str, _Words] = {}
+
+
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of at most SLICE_BYTES of text, or of one row."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -262,6 +275,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     if size >= BLOCK_TOKENS or len(ids) >= BLOCK_EXAMPLES:
                         yield flush()
                         names, ids, size = [], [], 0
+            release()
         if ids:
             yield flush()
 
