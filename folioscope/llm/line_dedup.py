@@ -46,7 +46,7 @@ from .url_filter import blocked_filter, possible_hits
 MAX_EDITS, MIN_CHARS = 2, 16
 #: Columns of the band after which hopeless pairs are dropped.
 ROUNDS = (16, 64)
-#: Blocks of the bloom filter of wanted lines: at least and at most (32 bytes each).
+#: Blocks of the bloom filters of entries and lines that are wanted: at least and at most (32 bytes each).
 FEWEST_BLOCKS, MOST_BLOCKS = 1 << 10, 1 << 18
 
 
@@ -91,6 +91,10 @@ def _entries(distinct: DataFrame, name: str, places: list[tuple[int, int, int]],
     return df.select(name, F.xxhash64("other", "i", F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("entry"), "less")
 
 
+def _blocks_for(keys: DataFrame) -> int:
+    return max(FEWEST_BLOCKS, min(MOST_BLOCKS, keys.count() // 24))
+
+
 def meetings(distinct: DataFrame, max_edits: int) -> tuple[DataFrame, DataFrame]:
     """Rows (entry, a) and (entry, b) of the lines that share a segment with another where they may; ``distinct`` has id and line.
 
@@ -103,7 +107,8 @@ def meetings(distinct: DataFrame, max_edits: int) -> tuple[DataFrame, DataFrame]
     right = entered.withColumnRenamed("entry", "e")
     probing = materialize(probing.join(right, (F.col("entry") == F.col("e")) & (F.shiftright("b", 1) != F.col("a")), "left_semi"), "line-probing")
     hit = materialize(probing.select("entry").distinct(), "line-entries")
-    return materialize(entered.join(hit, "entry", "left_semi"), "line-entered"), probing
+    blocks = _blocks_for(hit)
+    return materialize(possible_hits(entered, "entry", blocked_filter(hit, "entry", blocks), blocks).join(hit, "entry"), "line-entered"), probing
 
 
 def with_bigrams(lines: DataFrame) -> DataFrame:
@@ -240,11 +245,12 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = materialize(found.select(F.monotonically_increasing_id().alias("id"), digest_of(F.col("line")).alias("digest"), "line", "place", "copies"), "line-distinct")
     entered, probing = meetings(distinct.where(F.length("line") >= min_chars), max_edits)
 
-    ends = entered.select(F.col("a").alias("id")).unionAll(probing.select(F.shiftright("b", 1).alias("id"))).distinct().withColumn("key", F.col("id").cast("string"))
+    ends = entered.select(F.col("a").alias("id")).unionAll(probing.select(F.shiftright("b", 1).alias("id"))).distinct()
     wanted = materialize(ends, "line-wanted")
-    blocks = max(FEWEST_BLOCKS, min(MOST_BLOCKS, wanted.count() // 24))
-    told = possible_hits(distinct.select("id", "line", F.col("id").cast("string").alias("key")), "key", blocked_filter(wanted, "key", blocks), blocks)
-    texts = materialize(told.join(wanted.select("id"), "id", "left_semi").select("id", "line"), "line-texts")
+    blocks = _blocks_for(wanted)
+    # the filter comes first: a semi-join would be moved below it
+    told = possible_hits(distinct.select("id", "line"), "id", blocked_filter(wanted, "id", blocks), blocks)
+    texts = materialize(told.join(wanted, "id").select("id", "line"), "line-texts")
     pairs = materialize(candidates(entered, probing, materialize(with_bigrams(texts), "line-bigrams"), max_edits), "line-candidates")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("left")), texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
     met = without_common_ends(pairs.join(left, "a").join(right, "b"), "left", "right")
