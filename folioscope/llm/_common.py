@@ -16,31 +16,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of local sessions without a shared one, by application, and the tables written by each application.
+_LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only a local session may lack it: a temporary folder serves there, as driver and
+    executors are one process.  On a cluster that would lose tables, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+        root = _LOCAL[app]
     return root.rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this session has written: once the results are stored elsewhere."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        discard(spark, path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, into: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; the path is added to ``into``.
 
     This cuts the lineage in a way that survives lost executors, and gives the
     planner the true size, so that it broadcasts the table only where it is small.
     """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
+    if into is not None:
+        into.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,15 +33,17 @@ def connected_components(links: DataFrame, left: str, right: str, label: str = "
     Only nodes with a link to another node appear.  Links to itself, repeated
     links and links with a null end are ignored; no links give no rows.
     """
+    spark, written = links.sparkSession, []
     edges = links.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, label)
+    edges = materialize(edges, label, written)
     before = None
     while True:
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first()
         if row[0] == 0 or tuple(row) == before:
             break
         before = tuple(row)
-        edges = materialize(_small_star(_large_star(edges).where("u <> v").distinct()).where("u <> v").distinct(), label)
+        edges = materialize(_small_star(_large_star(edges).where("u <> v").distinct()).where("u <> v").distinct(), label, written)
+        discard(spark, written.pop(0))  # the round before
     # at the fixed point every node points at its component's smallest node
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

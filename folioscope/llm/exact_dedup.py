@@ -69,7 +69,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256; ids of any type that can be ordered."""
     classes = text_classes(docs, id_col, text_col, salts)
     rows = _rows(docs, id_col, text_col)
     plain = classes.where("variants = 1").drop("norm", "variants")
@@ -90,14 +90,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row for each distinct text, all columns as they were."""
     classes = text_classes(docs, id_col, text_col, salts)
     names = docs.columns
-    row_key = lambda c: (F.coalesce(F.col(c), F.lit(0)).alias("id_key"), F.col(c).isNull().alias("no_id"))
     inner = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-        *row_key(id_col),
+        F.col(id_col).alias("own_id"),
         F.length(text_or_empty(text_col)).cast("long").alias("chars"),
         F.unhex(F.sha2(normalized(text_col), 256)).alias("digest"),
     )
-    winners = classes.select("digest", *row_key("keep_id"), F.col("keep_chars").alias("chars"), F.col("norm").alias("same_norm"))
-    keys = ["digest", "id_key", "no_id", "chars"]
-    kept = inner.join(winners, keys).where(F.col("same_norm").isNull() | (F.col("same_norm") == normalized(F.col(f"row.`{text_col}`"))))
-    return kept.dropDuplicates([*keys, "same_norm"]).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    winners = classes.select(F.col("digest").alias("w_digest"), "keep_id", "keep_chars", F.col("norm").alias("same_norm"))
+    met = (F.col("digest") == F.col("w_digest")) & (F.col("chars") == F.col("keep_chars")) & F.col("own_id").eqNullSafe(F.col("keep_id"))
+    kept = inner.join(winners, met).where(F.col("same_norm").isNull() | (F.col("same_norm") == normalized(F.col(f"row.`{text_col}`"))))
+    return kept.dropDuplicates(["digest", "own_id", "chars", "same_norm"]).select(*[F.col(f"row.`{c}`").alias(c) for c in names])

@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, crc_bucket
+from ._common import bounded_batches, crc_bucket, release
 
 UNDETERMINED = "und"
 #: Documents of each language, and windows of each, that are learned from at most: the bound of the sample.
@@ -187,12 +187,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((crc_bucket("id", 4) != 2) & F.col("lang").isNotNull())
     labels = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    picked = None
-    for label in labels:
-        ids = rows.where(F.col("lang") == label).select(F.col("id").alias("picked_id")).distinct().orderBy(F.xxhash64("picked_id"), "picked_id").limit(SAMPLE_DOCUMENTS)
-        picked = ids if picked is None else picked.unionAll(ids)
-    if picked is None:
+    if not labels:
         return None
+    # the first of each language by hash, in one pass: what is beyond the bound leaves before the shuffle
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    picked = rows.select("id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_DOCUMENTS).select(F.col("id").alias("picked_id"))
 
     @F.pandas_udf("array<binary>")
     def cut(texts: pd.Series) -> pd.Series:
@@ -228,6 +227,7 @@ def identify(text: Column, net: Network | None) -> Column:
                 preds += [net.labels[k] if ok else UNDETERMINED for k, ok in zip(p.argmax(axis=1), known)]
                 scores += [float(min(1.0, x)) if ok else 0.0 for x, ok in zip(p.max(axis=1), known)]
             yield pd.DataFrame({"lang_pred": preds, "score": np.array(scores, float)})
+            release()
 
     return predict(text)
 

@@ -4,8 +4,10 @@ A text's paragraphs (newline blocks, cut after sentence ends) are digested; the
 digests are hashed into a small table of cells, each with a count, an xor of
 digests and an xor of check sums.  The tables of two versions subtract cell by
 cell, and peeling cells of count 1 recovers the digests that only one version
-has.  Where peeling stalls, both versions are sketched again four times larger
-until it succeeds, so the difference is always exact.
+has.  Where peeling stalls, both versions are sketched again four times larger.  A table
+of more than ``MOST_LOAD`` cells a digest that still can't be peeled (two digests alike in
+every cell, a collision) isn't made larger: that difference is taken from the sorted digests
+themselves.  So the difference is always exact, and its memory bounded.
 
 The fingerprint is the smallest table, written out; equal texts have equal
 fingerprints.  Likeness is 1 - differing / (paragraphs of both), 1.0 for two
@@ -14,7 +16,8 @@ in numpy; a batch is bounded in rows and characters.
 
 Defined results: null text counts as empty; a paragraph that repeats counts each
 time; rows are ordered by id descending, null ids last, ties by text; a single
-document is its own next one; an empty table gives no rows.
+document is its own next one; an empty table gives no rows; ids that aren't whole numbers
+are refused by ``sketch_documents``, whose order is that of numbers.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._common import bounded_batches, parallelism
 
@@ -35,6 +39,8 @@ PARAGRAPH_END = re.compile(r"\n+|(?<=[.!?])\s+")
 PARTS = 3
 #: Cells of a part at first, and the growth from one try to the next.
 FIRST_CELLS, GROWTH = 4, 4
+#: Cells for each digest beyond which a table isn't made larger.
+MOST_LOAD = 64
 BATCH_ROWS, BATCH_CHARS = 1000, 8_000_000
 #: Multipliers of a published 64-bit mixer (fixed values).
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -142,6 +148,10 @@ def differences(old: list[np.ndarray], new: list[np.ndarray]) -> list[tuple[np.n
             k, s = key[bounds[j] : bounds[j + 1]], sign[bounds[j] : bounds[j + 1]]
             out[open_[j]] = (k[s > 0], k[s < 0])
         open_, cells = open_[~done], cells * GROWTH
+        sizes = np.array([len(old[i]) + len(new[i]) for i in open_], np.int64)
+        for i in open_[PARTS * cells > MOST_LOAD * GROWTH * np.maximum(sizes, 1)].tolist():
+            out[i] = (np.setdiff1d(old[i], new[i]), np.setdiff1d(new[i], old[i]))
+        open_ = open_[PARTS * cells <= MOST_LOAD * GROWTH * np.maximum(sizes, 1)]
     return out
 
 
@@ -215,6 +225,8 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The edited text has its last third replaced by as much of the start of the
     next document, by descending id.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError("ids must be whole numbers")
     bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = parallelism(docs.sparkSession)

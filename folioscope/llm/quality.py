@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, crc_bucket
+from ._common import bounded_batches, crc_bucket, release
 
 #: Bytes of a block, documents of each label and blocks of each that are learned from at most: the bound of the sample.
 BLOCK, SAMPLE_DOCUMENTS, SAMPLE_BLOCKS = 512, 2000, 12
@@ -139,6 +139,7 @@ def score(text: Column, model: Model | None) -> Column:
         compressors = model.compressors()
         for batch in batches:
             yield pd.Series([model.score(difference(compressors, blocks_of((t or "").encode("utf-8", "replace")))) for t in batch], dtype="float64")
+            release()
 
     return scored(text)
 
