@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from json import loads
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +67,122 @@ def cover_fields(reply: Column) -> Column:
     json = F.coalesce(tolerant_json(last_fence(reply)), tolerant_json(reply), tolerant_json(whole))
     get = lambda k: F.coalesce(F.try_variant_get(F.try_parse_json(json), f"$.{k}", "string"), F.lit(""))
     return F.struct(*[get(k).alias(k) for k in ("title", "subtitle", "date", "version")])
+
+
+def _balanced(text: Column, opens: str, closes: str) -> Column:
+    """The outermost balanced spans between two brackets, in order."""
+    marks = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda m: m["c"].isin(opens, closes))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.array().cast("array<string>").alias("spans"))
+
+    def step(s: Column, m: Column) -> Column:
+        up, down = m["c"] == opens, (m["c"] == closes) & (s["depth"] > 0)
+        depth = s["depth"] + up.cast("int") - down.cast("int")
+        span = F.substring(text, s["start"] + 1, m["i"] - s["start"] + 1)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(up & (s["depth"] == 0), m["i"]).otherwise(s["start"]).alias("start"),
+            F.when(down & (depth == 0), F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
+        )
+
+    return F.aggregate(marks, start, step, lambda s: s["spans"])
+
+
+def reply_json(reply: Column) -> Column:
+    """The JSON of a model's reply among its prose; null without any.
+
+    Tried in this order: the whole, fenced blocks from the last on, lists, objects; the first that
+    parses and names figures, boxes or excluded tables, else the first that parses.
+    """
+    fences = F.reverse(F.regexp_extract_all(reply, F.lit(r"(?is)```(?:json)?\s*(.*?)```"), F.lit(1)))
+    tried = F.concat(F.array(reply), fences, _balanced(reply, "[", "]"), _balanced(reply, "{", "}"))
+    parsed = F.filter(F.transform(tried, lambda t: tolerant_json(F.regexp_replace(t, r"\A\s+|\s+\z", ""))), lambda j: j.isNotNull())
+    named = F.filter(parsed, lambda j: j.rlike("figures|bbox|excluded_tables"))
+    return F.coalesce(F.get(named, F.lit(0)), F.get(parsed, F.lit(0)))
+
+
+#: Lists of a reply that hold no figures (fixed values).
+NO_FIGURES = ("excluded_tables", "tables", "chrome")
+
+
+def reply_boxes(json: Column) -> Column:
+    """Array of (bbox, type, confidence, caption): the ``figures`` of a reply, else whatever carries a box outside the lists of other things.
+
+    The walk through a reply of any shape is what Python is for here.
+    """
+
+    @F.pandas_udf("array<struct<bbox: array<double>, type: string, confidence: double, caption: string>>")
+    def boxes(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[dict]:
+            data = loads(text) if text else None
+            if isinstance(data, dict) and isinstance(data.get("figures"), list):
+                found = [b for b in data["figures"] if isinstance(b, dict) and "bbox" in b]
+            else:
+                found, open_ = [], [v for k, v in reversed(data.items()) if k.lower() not in NO_FIGURES] if isinstance(data, dict) and "bbox" not in data else [data]
+                while open_:
+                    node = open_.pop()
+                    if isinstance(node, dict) and "bbox" in node:
+                        found.append(node)
+                    elif isinstance(node, (dict, list)):
+                        open_ += reversed(list(node.values()) if isinstance(node, dict) else node)
+            number = lambda v: float(v) if isinstance(v, (int, float)) else None
+            sides = lambda b: [number(v) for v in b["bbox"]] if isinstance(b["bbox"], list) else None
+            text_of = lambda v: None if v is None else str(v)
+            return [{"bbox": sides(b), "type": text_of(b.get("type")), "confidence": number(b.get("confidence")), "caption": text_of(b.get("caption"))} for b in found]
+
+        return texts.map(of)
+
+    return boxes(json)
+
+
+def manifest(reply: Column) -> Column:
+    """Struct (body, entries): what stands before the last json fence, and its list; the whole reply and null where that is no list."""
+    fence = r"(?is)\A(.*)```json\s*(.*?)```.*\z"
+    inner = F.regexp_replace(F.regexp_extract(reply, fence, 2), r"\A\s+|\s+\z", "")
+    listed = reply.rlike(fence) & inner.startswith("[") & F.try_parse_json(inner).isNotNull()
+    body = F.when(listed, F.regexp_extract(reply, fence, 1)).otherwise(reply)
+    return F.struct(F.regexp_replace(body, r"\s+\z", "").alias("body"), F.when(listed, inner).alias("entries"))
+
+
+def _with_field(block: Column, name: str, value: Column, always: bool = True) -> Column:
+    """The block with ``name: value`` in place of its first line of that name, or below; unchanged where value is null or, not ``always``, the name is there."""
+    line = rf"(?sm)\A(.*?)^[ \t]*{name}[ \t]*:[^\n]*(.*)\z"
+    there = F.coalesce(block.rlike(line), F.lit(False))
+    told = F.concat(F.lit(f"{name}: "), value)
+    changed = F.concat(F.regexp_extract(block, line, 1), told, F.regexp_extract(block, line, 2)) if always else block
+    added = F.concat_ws("\n", F.nullif(F.regexp_replace(block, r"\s+\z", ""), F.lit("")), told)
+    return F.when(value.isNull(), block).when(there, changed).otherwise(added)
+
+
+def quoted(value: Column) -> Column:
+    return F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
+def normalized_front_matter(text: Column, category: Column, date: Column, cover: Column) -> Column:
+    """The document with the front matter that it needs; ``cover`` is a struct (title, subtitle, date, version).
+
+    The category is forced; what the cover says of title, subtitle and version wins; the date is
+    the document's, else the cover's, else ``date``, as YYYY-MM-DD; the subtitle may be empty.
+    """
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"\A\s+", "")
+    whole = r"(?s)\A---\s*\n(.*?)\n---\s*\n?(.*)\z"
+    has = body.rlike(whole)
+    block = F.when(has, F.regexp_extract(body, whole, 1)).otherwise("")
+    said = lambda name: F.nullif(F.coalesce(cover[name], F.lit("")), F.lit(""))
+    block = _with_field(block, "category", category)
+    for name in ("title", "subtitle", "version"):
+        block = _with_field(block, name, F.when(has | (F.lit(name) != "subtitle"), quoted(said(name))))
+    block = _with_field(block, "date", quoted(F.coalesce(said("date"), F.nullif(date, F.lit("")))), always=False)
+    own = field(block, "date")
+    block = _with_field(block, "date", F.when(own.isNotNull(), quoted(coerce_date(own))))
+    block = _with_field(block, "subtitle", quoted(F.when(has, F.lit("")).otherwise(F.coalesce(said("subtitle"), F.lit("")))), always=False)
+    rest = F.when(has, F.regexp_extract(body, whole, 2)).otherwise(F.concat(F.lit("\n"), body))
+    return F.concat(F.lit("---\n"), block, F.lit("\n---\n"), rest)
+
+
+def template_front_matter(text: Column, keys: list[str], defaults: dict[str, str]) -> Column:
+    """The document under a template's front matter: its keys in their order, each with the document's value, else the template's."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"\A\s+", "")
+    block = front_matter(body)
+    lines = [F.concat(F.lit(f"{k}: "), quoted(merged(field(block, k), F.lit(defaults.get(k, "")), F.lit("")))) for k in keys]
+    rest = F.regexp_replace(body, r"(?s)\A---\s*\n.*?\n---\s*\n?", "")
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"), rest)

@@ -9,7 +9,7 @@ from .text import let
 
 #: Names that are no entities, and what was meant (fixed values).
 ENTITIES = {"&sqrt;": "√"}
-EMPTY_ROW = r"(?is)<tr\b[^>]*>(?:(?!<t[dh]\b|</tr).)*</tr\s*>"
+EMPTY_ROW = r"(?is)[ \t]*<tr\b[^>]*>\s*(?:<!--(?:(?!-->).)*-->\s*)*</tr\s*>\s*\n?"
 EMPTY_IMAGE = r"^!\[\]\(([^)]+)\)(\{[^}]*\})?\s*$"
 FIGURE_CAPTION = r"^\s*(?:Figure|Fig\.?)\s+\d+\s*[:.]\s*\S"
 
@@ -19,7 +19,7 @@ def _result(text: Column, n: Column) -> Column:
 
 
 def drop_empty_rows(text: Column) -> Column:
-    """Table rows without a cell go."""
+    """Table rows that hold nothing but white space and comments go, with the blanks around them; a row with any text stays."""
     return _result(F.regexp_replace(text, EMPTY_ROW, ""), F.regexp_count(text, F.lit(EMPTY_ROW)))
 
 

@@ -89,16 +89,21 @@ def heading_matches(titles: DataFrame, headings: DataFrame, by_ratio: bool = Tru
 
     titles: doc_id, title_no, title_key; headings: doc_id, heading_no, heading_key (normalised, without
     numbers).  Equal, contained (six characters at least) or of a high ratio.  Pairs are made within
-    a document only.
+    a document only; the ratio is taken of those alone that come before the first equal or contained
+    heading and whose lengths allow it.
     """
     pairs = titles.join(headings, "doc_id").where("title_key <> '' and heading_key <> ''")
     short = F.when(F.length("title_key") <= F.length("heading_key"), F.col("title_key")).otherwise(F.col("heading_key"))
     long = F.when(F.length("title_key") <= F.length("heading_key"), F.col("heading_key")).otherwise(F.col("title_key"))
     plain = pairs.withColumn("alike", (F.col("title_key") == F.col("heading_key")) | ((F.length(short) >= CONTAINED) & F.contains(long, short)))
+    found = plain.where("alike").groupBy("doc_id", "title_no").agg(F.min("heading_no").alias("heading_no"))
     if by_ratio:
-        plain = plain.withColumn("alike", F.col("alike") | (similarity(F.col("title_key"), F.col("heading_key")) >= SIMILAR))
-    first = plain.where("alike").groupBy("doc_id", "title_no").agg(F.min("heading_no").alias("heading_no"))
-    return titles.select("doc_id", "title_no").join(first, ["doc_id", "title_no"], "left")
+        before = plain.where("not alike").join(found.withColumnRenamed("heading_no", "known"), ["doc_id", "title_no"], "left").where("known is null or heading_no < known")
+        # the ratio is at most twice the shorter length over both
+        possible = before.where(2 * F.length(short) >= SIMILAR * (F.length("title_key") + F.length("heading_key")))
+        near = possible.where(similarity(F.col("title_key"), F.col("heading_key")) >= SIMILAR).select("doc_id", "title_no", "heading_no")
+        found = found.unionByName(near).groupBy("doc_id", "title_no").agg(F.min("heading_no").alias("heading_no"))
+    return titles.select("doc_id", "title_no").join(found, ["doc_id", "title_no"], "left")
 
 
 def longest_increasing(values: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from . import accounting, checks, corpus, figures, layout, markup, tables, text, verify
+from . import accounting, checks, corpus, figures, layout, markup, regions, table_rewrites, tables, text, verify
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "accounting", "checks", "corpus", "figures", "layout", "markup", "tables", "text", "verify"]
+__all__ = ["ORACLE_SQL", "QUERIES", "accounting", "checks", "corpus", "figures", "layout", "markup", "regions", "table_rewrites", "tables", "text", "verify"]
