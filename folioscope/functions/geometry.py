@@ -17,8 +17,10 @@ def area(r) -> Column:
 
 
 def overlap(a, b) -> Column:
-    """Area of the intersection; 0 where there is none."""
-    return F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0])) * F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
+    """Area of the intersection; 0 where there is none, as of a rectangle with a null side."""
+    both = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0])) * F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
+    # least and greatest pass over nulls, a sum does not
+    return F.when(sum([*a[1:], *b], a[0]).isNull(), 0.0).otherwise(both)
 
 
 def share_inside(a, b) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from json import loads
 
 import pandas as pd
@@ -143,14 +144,20 @@ def manifest(reply: Column) -> Column:
     return F.struct(F.regexp_replace(body, r"\s+\z", "").alias("body"), F.when(listed, inner).alias("entries"))
 
 
-def _with_field(block: Column, name: str, value: Column, always: bool = True) -> Column:
-    """The block with ``name: value`` in place of its first line of that name, or below; unchanged where value is null or, not ``always``, the name is there."""
+def _with_field(block: Column, name: str, value: Callable[[Column], Column], always: bool = True) -> Column:
+    """The block with ``name: value`` in place of its first line of that name, or below; unchanged where value is null or, not ``always``, the name is there.
+
+    ``value`` is a function of the block.  Steps are nested, so the block is bound once, or the expression would grow with a power of them.
+    """
     line = rf"(?sm)\A(.*?)^[ \t]*{name}[ \t]*:[^\n]*(.*)\z"
-    there = F.coalesce(block.rlike(line), F.lit(False))
-    told = F.concat(F.lit(f"{name}: "), value)
-    changed = F.concat(F.regexp_extract(block, line, 1), told, F.regexp_extract(block, line, 2)) if always else block
-    added = F.concat_ws("\n", F.nullif(F.regexp_replace(block, r"\s+\z", ""), F.lit("")), told)
-    return F.when(value.isNull(), block).when(there, changed).otherwise(added)
+
+    def step(b: Column) -> Column:
+        told = F.concat(F.lit(f"{name}: "), value(b))
+        changed = F.concat(F.regexp_extract(b, line, 1), told, F.regexp_extract(b, line, 2)) if always else b
+        added = F.concat_ws("\n", F.nullif(F.regexp_replace(b, r"\s+\z", ""), F.lit("")), told)
+        return F.when(told.isNull(), b).when(F.coalesce(b.rlike(line), F.lit(False)), changed).otherwise(added)
+
+    return F.element_at(F.transform(F.array(block), step), 1)
 
 
 def quoted(value: Column) -> Column:
@@ -168,13 +175,12 @@ def normalized_front_matter(text: Column, category: Column, date: Column, cover:
     has = body.rlike(whole)
     block = F.when(has, F.regexp_extract(body, whole, 1)).otherwise("")
     said = lambda name: F.nullif(F.coalesce(cover[name], F.lit("")), F.lit(""))
-    block = _with_field(block, "category", category)
+    block = _with_field(block, "category", lambda b: category)
     for name in ("title", "subtitle", "version"):
-        block = _with_field(block, name, F.when(has | (F.lit(name) != "subtitle"), quoted(said(name))))
-    block = _with_field(block, "date", quoted(F.coalesce(said("date"), F.nullif(date, F.lit("")))), always=False)
-    own = field(block, "date")
-    block = _with_field(block, "date", F.when(own.isNotNull(), quoted(coerce_date(own))))
-    block = _with_field(block, "subtitle", quoted(F.when(has, F.lit("")).otherwise(F.coalesce(said("subtitle"), F.lit("")))), always=False)
+        block = _with_field(block, name, lambda b, name=name: F.when(has | (F.lit(name) != "subtitle"), quoted(said(name))))
+    block = _with_field(block, "date", lambda b: quoted(F.coalesce(said("date"), F.nullif(date, F.lit("")))), always=False)
+    block = _with_field(block, "date", lambda b: F.when(field(b, "date").isNotNull(), quoted(coerce_date(field(b, "date")))))
+    block = _with_field(block, "subtitle", lambda b: quoted(F.when(has, F.lit("")).otherwise(F.coalesce(said("subtitle"), F.lit("")))), always=False)
     rest = F.when(has, F.regexp_extract(body, whole, 2)).otherwise(F.concat(F.lit("\n"), body))
     return F.concat(F.lit("---\n"), block, F.lit("\n---\n"), rest)
 

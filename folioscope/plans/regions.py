@@ -105,7 +105,7 @@ def template_front_matter(spark, sf_dir):
 
 
 REPLIES = Inline("replies", "reply_id int, reply string, json string, n int, body string, entries string", [
-    (1, 'I think {x} so: {"figures": [{"bbox": [1, 2, 3, 4], "type": "figure"}], "excluded_tables": [{"bbox": [0, 0, 1, 1]}]} ok', '{"figures": [{"bbox": [1, 2, 3, 4], "type": "figure"}], "excluded_tables": [{"bbox": [0, 0, 1, 1]}]}', 1, None, None),
+    (1, 'I think {x} so: {"figures": [{"bbox": [1, 2, 3, 4], "type": "figure"}], "excluded_tables": [{"bbox": [0, 0, 1, 1]}]} ok', '[{"bbox": [1, 2, 3, 4], "type": "figure"}]', 1, None, None),
     (2, 'body\n```json\n[{"a": 1,}]\n```', '[{"a": 1}]', 0, None, None), (3, 'text\n```json\n[{"bbox": [1, 1, 2, 2]}]\n``` end', '[{"bbox": [1, 1, 2, 2]}]', 1, "text", '[{"bbox": [1, 1, 2, 2]}]'),
     (4, '{"tables": [{"bbox": [0, 0, 1, 1]}], "deep": {"er": [{"bbox": [1, 2, 3, 4]}]}}', '{"tables": [{"bbox": [0, 0, 1, 1]}], "deep": {"er": [{"bbox": [1, 2, 3, 4]}]}}', 1, None, None), (5, "nothing", None, 0, None, None), (6, None, None, 0, None, None),
 ])

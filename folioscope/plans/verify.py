@@ -25,7 +25,9 @@ def checks(spark):
     "verify_checks",
     """SELECT * FROM (VALUES (1, 'text_coverage', 'ok', '100.0', 0), (2, 'text_coverage', 'warn', '0.0', 1), (1, 'table_coverage', 'skipped', NULL, 0), (2, 'table_coverage', 'skipped', NULL, 0),
     (1, 'link_preservation', 'warn', '1/2 preserved', 1), (1, 'footnote_placement', 'ok', '1/1 resolved', 0), (2, 'footnote_placement', 'warn', '0/1 resolved', 1),
-    (1, 'frontmatter', 'ok', NULL, 0), (2, 'frontmatter', 'fail', NULL, 1)) t(doc_id, name, status, metric, n_findings)""",
+    (1, 'frontmatter', 'ok', NULL, 0), (2, 'frontmatter', 'fail', NULL, 1)) t(doc_id, name, status, metric, n_findings)
+    UNION ALL SELECT doc_id, name, 'skipped', NULL, 0 FROM (VALUES (1), (2)) d(doc_id), (VALUES ('code_block_presence'), ('math_presence'), ('heading_hierarchy'), ('figure_placement'), ('structural_counts'), ('oversized_tables')) c(name)
+    UNION ALL VALUES (2, 'link_preservation', 'skipped', NULL, 0), (1, 'wide_table_legibility', 'ok', NULL, 0), (2, 'wide_table_legibility', 'ok', NULL, 0)""",
 )
 def verify_checks(spark, sf_dir):
     return checks(spark).select("doc_id", "name", "status", "metric", F.size("findings").alias("n_findings"))
