@@ -1,23 +1,56 @@
-"""Intermediate tables, written once: they keep long chains of rewrites from being planned and run again."""
+"""Intermediate tables below the shared folder, written once: long chains of steps are not planned and run again."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Temporary folders of local sessions without a shared one, and the paths handed out, by application.
 _LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read back; a local session without that setting uses a temporary folder."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session may lack it: a temporary folder serves there, as driver and
+    executors are one process.  On a cluster that would lose tables, so it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="folioscope-"))
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+        root = _LOCAL[app]
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this session has put into the shared folder: once the results are stored elsewhere."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        discard(spark, path)
+
+
+def stored(df: DataFrame, label: str = "step") -> DataFrame:
+    """``df`` written below the shared folder and read back."""
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

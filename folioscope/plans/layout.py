@@ -90,7 +90,7 @@ def refine_bbox(spark, sf_dir):
     return spatial.refined(BOXES.df(spark), COVERS.df(spark), PAGES.df(spark))
 
 
-@query("covered_fraction", f"WITH {BOXES.cte}, {COVERS.cte} SELECT b.doc_id, b.page_no, box_id, coalesce(least(1.0, sum(coalesce({OVERLAP}, 0)) / nullif(any_value({AREA.format(a='b')}), 0)), 0.0)::DOUBLE AS fraction FROM boxes b LEFT JOIN covers c ON {ON_PAGE} GROUP BY ALL")
+@query("covered_fraction", f"WITH {BOXES.cte}, {COVERS.cte} SELECT b.doc_id, b.page_no, box_id, coalesce(least(1.0, sum(CASE WHEN c.doc_id IS NULL THEN 0 ELSE {OVERLAP} END) / nullif(any_value({AREA.format(a='b')}), 0)), 0.0)::DOUBLE AS fraction FROM boxes b LEFT JOIN covers c ON {ON_PAGE} GROUP BY ALL")
 def covered_fraction(spark, sf_dir):
     return spatial.covered_fraction(BOXES.df(spark), COVERS.df(spark))
 
