@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import stored
+
 #: Fields of the sidecars that are read.
 PHASE_ONE = "pages_total long, pages_candidate long, pages_skipped long, figures long, tables long"
 RESULT = "stem string, status string, cost_usd double, figures long, verify_status string, text_cov double, table_cov double, error string, phase_cost struct<cover: double, detect: double, convert: double>"
@@ -21,6 +23,18 @@ def documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     return files.select(stem.alias("doc_id"), "path", F.col("length").alias("size"), "content")
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """doc_id, path, size, index (from 0), total: the order by path in which a batch works through its files."""
+    listed = files.select("doc_id", "path", "size").repartitionByRange("path").sortWithinPartitions("path")
+    # numbers within the ranges, then those of the ranges before: one row a range
+    own = listed.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    own = stored(own, "files")
+    before = own.groupBy("part").agg(F.count("*").alias("n"))
+    ranges = before.alias("a").join(before.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
+    total = before.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return own.join(ranges, "part").join(F.broadcast(total)).select("doc_id", "path", "size", (F.col("place") + F.col("offset")).alias("index"), "total")
+
+
 def sidecars(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """doc_id (the folder) and the fields of each ``<root>/<folder>/<name>``; folders that begin with ``_`` are left out.
 
@@ -31,9 +45,8 @@ def sidecars(spark: SparkSession, root: str, name: str, schema: str) -> DataFram
     return rows.select(folder.alias("doc_id"), *[F.col(c) for c in rows.columns]).where(~F.col("doc_id").startswith("_"))
 
 
-def history(spark: SparkSession, root: str) -> DataFrame:
-    """doc_id, pages_total, pages_candidate, detect_usd, convert_usd of the runs that left both sidecars: what a calibration sums."""
-    first, result = sidecars(spark, root, "phase1.json", PHASE_ONE), sidecars(spark, root, "result.json", RESULT)
+def history(first: DataFrame, result: DataFrame) -> DataFrame:
+    """doc_id, pages_total, pages_candidate, detect_usd, convert_usd of the runs that left both sidecars (``PHASE_ONE``, ``RESULT``): what a calibration sums."""
     known = first.where("pages_total is not null or pages_candidate is not null").join(result.where("status is not null or phase_cost is not null"), "doc_id")
     zero = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind))
     return known.select("doc_id", zero("pages_total", "long").alias("pages_total"), zero("pages_candidate", "long").alias("pages_candidate"), zero("phase_cost.detect", "double").alias("detect_usd"), zero("phase_cost.convert", "double").alias("convert_usd"))
