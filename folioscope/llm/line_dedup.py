@@ -26,8 +26,8 @@ one word is changed at a time is dropped inside the join; one of n lines that ar
 within ``max_edits`` of each other has n * (n - 1) / 2 links, and each is counted.
 
 Lines are taken without white space at their ends; empty ones are no lines.  Lines
-under ``min_chars`` characters are compared for equality only, as two edits make
-another word of a short one.  Defined results: null text has no lines; repeated
+under ``min_chars`` characters are compared for equality only; the default is the least
+that the method takes, at which every segment has two characters.  Defined results: null text has no lines; repeated
 rows repeat their lines, which are equal lines; null ids come last and are
 represented by null; an empty table gives no rows.  Ids need not be unique: of
 different lines at one place the one of the smallest digest comes first; rows that
@@ -41,13 +41,11 @@ from pyspark.sql import functions as F
 
 from ._common import WHITESPACE, materialize, text_or_empty
 from .components import connected_components
-from .url_filter import blocked_filter, possible_hits
+from .url_filter import blocked_filter, blocks_for, possible_hits
 
-MAX_EDITS, MIN_CHARS = 2, 16
+MAX_EDITS, MIN_CHARS = 2, 6
 #: Columns of the band after which hopeless pairs are dropped.
 ROUNDS = (16, 64)
-#: Blocks of the bloom filters of entries and lines that are wanted: at least and at most (32 bytes each).
-FEWEST_BLOCKS, MOST_BLOCKS = 1 << 10, 1 << 18
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,10 +89,6 @@ def _entries(distinct: DataFrame, name: str, places: list[tuple[int, int, int]],
     return df.select(name, F.xxhash64("other", "i", F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("entry"), "less")
 
 
-def _blocks_for(keys: DataFrame) -> int:
-    return max(FEWEST_BLOCKS, min(MOST_BLOCKS, keys.count() // 24))
-
-
 def meetings(distinct: DataFrame, max_edits: int) -> tuple[DataFrame, DataFrame]:
     """Rows (entry, a) and (entry, b) of the lines that share a segment with another where they may; ``distinct`` has id and line.
 
@@ -107,7 +101,7 @@ def meetings(distinct: DataFrame, max_edits: int) -> tuple[DataFrame, DataFrame]
     right = entered.withColumnRenamed("entry", "e")
     probing = materialize(probing.join(right, (F.col("entry") == F.col("e")) & (F.shiftright("b", 1) != F.col("a")), "left_semi"), "line-probing")
     hit = materialize(probing.select("entry").distinct(), "line-entries")
-    blocks = _blocks_for(hit)
+    blocks = blocks_for(hit)
     return materialize(possible_hits(entered, "entry", blocked_filter(hit, "entry", blocks), blocks).join(hit, "entry"), "line-entered"), probing
 
 
@@ -247,7 +241,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ends = entered.select(F.col("a").alias("id")).unionAll(probing.select(F.shiftright("b", 1).alias("id"))).distinct()
     wanted = materialize(ends, "line-wanted")
-    blocks = _blocks_for(wanted)
+    blocks = blocks_for(wanted)
     # the filter comes first: a semi-join would be moved below it
     told = possible_hits(distinct.select("id", "line"), "id", blocked_filter(wanted, "id", blocks), blocks)
     texts = materialize(told.join(wanted, "id").select("id", "line"), "line-texts")

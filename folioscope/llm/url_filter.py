@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS = 1 << 14
+FEWEST_BLOCKS, MOST_BLOCKS = 1 << 10, 1 << 18
 WORDS = 4
 #: The alphabets of ASCII lower-casing (fixed values).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,6 +58,11 @@ def _masks(key: Column) -> list[Column]:
     return [one(2 * w).bitwiseOR(one(2 * w + 1)) for w in range(WORDS)]
 
 
+def blocks_for(keys: DataFrame) -> int:
+    """Blocks for so many keys, within ``FEWEST_BLOCKS`` and ``MOST_BLOCKS``; beyond those the filter only passes more."""
+    return max(FEWEST_BLOCKS, min(MOST_BLOCKS, keys.count() // 24))
+
+
 def blocked_filter(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
     """The filter as rows (block, w0..w3); blocks without keys are absent."""
     marked = keys.select(_block_of(F.col(key), blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(F.col(key)))])

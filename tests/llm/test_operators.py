@@ -199,7 +199,7 @@ def test_lines_against_brute_force(spark):
     rng = random.Random(3)
     lines = []
     for _ in range(40):
-        s = "".join(rng.choice("abcé") for _ in range(rng.randint(16, 22)))
+        s = "".join(rng.choice("abcé") for _ in range(rng.choice((5, 6, 7, 9, 12, rng.randint(16, 22)))))
         lines.append(s)
         for _ in range(rng.randint(0, 3)):
             t = list(s)
@@ -215,7 +215,7 @@ def test_lines_against_brute_force(spark):
             if line.strip():
                 places.setdefault(line.strip(), []).append((i, n))
     distinct = list(places)
-    near = [(a, b) for a, b in itertools.combinations(distinct, 2) if min(len(a), len(b)) >= 16 and edits(a, b) <= 2]
+    near = [(a, b) for a, b in itertools.combinations(distinct, 2) if min(len(a), len(b)) >= 6 and edits(a, b) <= 2]
     counts = {d: sum(d in pair for pair in near) for d in distinct}
     parent = {d: d for d in distinct}
 
