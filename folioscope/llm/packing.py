@@ -22,6 +22,7 @@ like any others; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -168,6 +169,8 @@ class _Words:
     """
 
     def __init__(self, path: str):
+        # a task has one core: the library's own threads would each keep memory of theirs
+        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
