@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from json import loads
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Front matter that a document needs, and its categories (fixed values).
 REQUIRED = ("title", "subtitle", "category", "date")
+BRACKET = re.compile(r"[][{}]")
 CATEGORIES = ("guidelines", "products", "uncategorized", "non-browsable")
 FRONT_MATTER = r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)"
 
@@ -70,22 +72,31 @@ def cover_fields(reply: Column) -> Column:
     return F.struct(*[get(k).alias(k) for k in ("title", "subtitle", "date", "version")])
 
 
-def _balanced(text: Column, opens: str, closes: str) -> Column:
-    """The outermost balanced spans between two brackets, in order."""
-    marks = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda m: m["c"].isin(opens, closes))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.array().cast("array<string>").alias("spans"))
+def balanced(text: Column) -> Column:
+    """The outermost balanced spans between square brackets, then those between braces, in order; found in one pass over the brackets."""
+
+    @F.pandas_udf("array<string>")
+    def spans(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            depth, start, found = {"]": 0, "}": 0}, {"]": 0, "}": 0}, {"]": [], "}": []}
+            for m in BRACKET.finditer(text):
+                sign = m[0]
+                if sign in depth:
+                    if depth[sign] == 1:
+                        found[sign].append(text[start[sign] : m.end()])
+                    depth[sign] -= depth[sign] > 0
+                else:
+                    end = "]" if sign == "[" else "}"
+                    if not depth[end]:
+                        start[end] = m.start()
+                    depth[end] += 1
+            return found["]"] + found["}"]
 
-    def step(s: Column, m: Column) -> Column:
-        up, down = m["c"] == opens, (m["c"] == closes) & (s["depth"] > 0)
-        depth = s["depth"] + up.cast("int") - down.cast("int")
-        span = F.substring(text, s["start"] + 1, m["i"] - s["start"] + 1)
-        return F.struct(
-            depth.alias("depth"),
-            F.when(up & (s["depth"] == 0), m["i"]).otherwise(s["start"]).alias("start"),
-            F.when(down & (depth == 0), F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
-        )
+        return texts.map(of)
 
-    return F.aggregate(marks, start, step, lambda s: s["spans"])
+    return spans(text)
 
 
 def reply_json(reply: Column) -> Column:
@@ -95,7 +106,7 @@ def reply_json(reply: Column) -> Column:
     parses and names figures, boxes or excluded tables, else the first that parses.
     """
     fences = F.reverse(F.regexp_extract_all(reply, F.lit(r"(?is)```(?:json)?\s*(.*?)```"), F.lit(1)))
-    tried = F.concat(F.array(reply), fences, _balanced(reply, "[", "]"), _balanced(reply, "{", "}"))
+    tried = F.concat(F.array(reply), fences, balanced(reply))
     parsed = F.filter(F.transform(tried, lambda t: tolerant_json(F.regexp_replace(t, r"\A\s+|\s+\z", ""))), lambda j: j.isNotNull())
     named = F.filter(parsed, lambda j: j.rlike("figures|bbox|excluded_tables"))
     return F.coalesce(F.get(named, F.lit(0)), F.get(parsed, F.lit(0)))

@@ -47,30 +47,20 @@ def strip_fence(text: Column) -> Column:
 
 def thematic_breaks(text: Column) -> Column:
     """Rules of dashes in the body become asterisks: outside fences and the leading front matter."""
-
-    def over(lines: Column) -> Column:
-        first = F.trim(F.element_at(lines, 1)) == "---"
-        ends = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(lines))), lambda i: F.coalesce(F.trim(F.get(lines, i - 1)).isin("---", "..."), F.lit(False)))
-        start = F.when(first & (F.size(ends) > 0), F.element_at(F.concat(ends, F.array(F.lit(0))), 1)).otherwise(0)
-
-        def body(s: Column) -> Column:
-            empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"), F.lit(0).alias("n"))
-
-            def step(state: Column, line: Column) -> Column:
-                fence = F.ltrim(line).startswith("```")
-                dashes = ~fence & ~state["inside"] & line.rlike(r"^\s*-{3,}\s*$")
-                return F.struct(
-                    F.concat(state["out"], F.array(F.when(dashes, "***").otherwise(line))).alias("out"),
-                    F.when(fence, ~state["inside"]).otherwise(state["inside"]).alias("inside"),
-                    (state["n"] + dashes.cast("int")).alias("n"),
-                )
-
-            rest = F.slice(lines, s + 1, F.size(lines))
-            return F.aggregate(rest, empty, step, lambda e: _result(F.array_join(F.concat(F.slice(lines, 1, s), e["out"]), "\n"), e["n"]))
-
-        return let(start, body)
-
-    return let(F.split(text, "\n"), over)
+    front = F.regexp_extract(text, r"(?s)\A[^\S\n]*---[^\S\n]*\n.*?(?<=\n)[^\S\n]*(?:---|\.\.\.)[^\S\n]*(?:\n|\z)", 0)
+    # the body is cut before and after each fence line; between the lines, every second stretch is a block's inside
+    body = F.substring(text, F.length(front) + 1, F.length(text))
+    stretches = F.split(body, r"(?md)^[^\S\n]*```[^\n]*(?:\n|\z)", -1)
+    fences = F.regexp_extract_all(body, F.lit(r"(?md)^[^\S\n]*```[^\n]*(?:\n|\z)"), F.lit(0))
+    rule = r"(?md)^[^\S\n]*-{3,}[^\S\n]*$"
+
+    def over(parts: Column, lines: Column) -> Column:
+        outside = lambda i: i % 2 == 0
+        changed = F.transform(parts, lambda p, i: F.concat(F.when(outside(i), F.regexp_replace(p, rule, "***")).otherwise(p), F.coalesce(F.get(lines, i), F.lit(""))))
+        n = F.aggregate(F.transform(parts, lambda p, i: F.when(outside(i), F.regexp_count(p, F.lit(rule))).otherwise(0)), F.lit(0), lambda x, y: x + y)
+        return _result(F.concat(front, F.array_join(changed, "")), n)
+
+    return let(F.struct(stretches.alias("parts"), fences.alias("lines")), lambda s: over(s["parts"], s["lines"]))
 
 
 def fold_captions(text: Column) -> Column:

@@ -38,19 +38,30 @@ def _folds() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(one), "".join(to), more
 
 
+def _runs(characters: list[str]) -> list[tuple[str, str]]:
+    """First and last of each run of neighbouring code points."""
+    out: list[tuple[str, str]] = []
+    for c in characters:
+        if out and ord(c) == ord(out[-1][1]) + 1:
+            out[-1] = out[-1][0], c
+        else:
+            out.append((c, c))
+    return out
+
+
 def fold_ascii(text: Column) -> Column:
-    """Accents, ligatures and width variants folded to ASCII; what has no ASCII form is dropped."""
+    """Accents, ligatures and width variants folded to ASCII; what has no ASCII form is dropped.
+
+    Characters that become one are translated; of those that become more, a text goes through
+    those alone that it has, looked up by their place in one string of all.
+    """
     one, to, more = _folds()
-    several = "".join(a for a, _ in more)
+    several, left = F.lit("".join(a for a, _ in more)), F.split(F.lit("\n".join(b for _, b in more)), "\n")
+    kinds = "[" + "".join(f"\\x{{{ord(a):X}}}" if a == b else f"\\x{{{ord(a):X}}}-\\x{{{ord(b):X}}}" for a, b in _runs([a for a, _ in more])) + "]"
 
     def folded(t: Column) -> Column:
-        # ligatures and the like become several characters: only texts that have one go through them
-        spread = F.aggregate(
-            F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in more]),
-            t,
-            lambda x, p: F.replace(x, p["a"], p["b"]),
-        )
-        wide = F.when(F.length(F.translate(t, several, "")) < F.length(t), spread).otherwise(t)
+        had = F.array_distinct(F.regexp_extract_all(t, F.lit(kinds), F.lit(0)))
+        wide = F.aggregate(had, t, lambda x, c: F.replace(x, c, F.element_at(left, F.instr(several, c))))
         return F.regexp_replace(F.translate(wide, one, to), r"[^\x00-\x7F]+", "")
 
     # most texts are ASCII as they stand

@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .store import stored
 
 #: Values of the check (fixed values).
 MIN_TOKENS, SHORT_TOKENS, SHINGLE_HIT, CONTAIN_HIT, WINDOW_SLACK = 5, 7, 0.5, 0.8, 5
+#: Places of a text that are one block of the positional index.
+BLOCK = 16
 RECOVERY = r"(?s)<!-- (?:repair|postfix): missing-text (?:recovery|rescue) -->.*"
 
 
@@ -37,7 +40,9 @@ def containment(items: DataFrame, docs: DataFrame, least: float = SHINGLE_HIT) -
     met = shingle_rows(docs, "doc_id", "text").join(wanted, "shingle").groupBy("doc_id", "item_id").agg(F.count("*").alias("met"))
     met = met.join(sizes, "item_id").where(F.col("met") >= F.lit(least) * F.col("least")).select("doc_id", "item_id")
     of = lambda name: T.shingles(T.tokens(F.col("text"))).alias(name)
-    pairs = met.join(docs.select("doc_id", of("held")), "doc_id").join(known.select("item_id", of("asked")), "item_id")
+    met = stored(met, "containment")
+    held = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", of("held"))
+    pairs = met.join(held, "doc_id").join(known.select("item_id", of("asked")), "item_id")
     hits = pairs.select("doc_id", "item_id", F.size(F.array_intersect("held", "asked")).cast("long").alias("hits"), F.size("asked").cast("long").alias("shingles"))
     return hits.where((F.col("shingles") > 0) & (F.col("hits") >= F.lit(least) * F.col("shingles")))
 
@@ -93,6 +98,37 @@ def _short_lines(short: DataFrame, plain: DataFrame) -> DataFrame:
     return short.join(near.select("doc_id", "sentence_no", F.lit(True).alias("hit")).distinct(), ["doc_id", "sentence_no"], "left").withColumn("covered", F.col("hit").isNotNull()).drop("hit")
 
 
+def short_lines_anywhere(needles: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(needle_id, doc_id) of the short lines that an output covers, by the rule of ``short_covered``, each against every output.
+
+    needles: needle_id (unique), tokens; outputs: doc_id (unique), output (tokens).  A positional index
+    holds the places of the needles' words alone.  A needle is looked up by its rarest word of all
+    outputs; outputs that lack any of its words are out; then the places of the words that are
+    rarest in that very output are anchors, and what stands near them is found by blocks of places.
+    Needles without words are covered nowhere here, nor is anything by outputs without words.
+    """
+    asked = needles.select("needle_id", F.size("tokens").alias("n"), F.array_distinct("tokens").alias("need"))
+    asked = asked.select("needle_id", (F.col("n") + WINDOW_SLACK).alias("window"), F.size("need").alias("needed"), F.explode("need").alias("token"))
+    index = outputs.select("doc_id", F.posexplode("output").alias("place", "token")).join(asked.select("token").distinct(), "token", "left_semi")
+    index = stored(index, "short-index")
+    times = stored(index.groupBy("doc_id", "token").agg(F.count("*").alias("times")), "short-times")
+    spread = times.groupBy("token").agg(F.count("*").alias("docs"))
+    # a word that no output has rules its needle out
+    rarest = asked.join(spread, "token", "left").groupBy("needle_id").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "token")).alias("rare")).where("rare.docs > 0")
+    near = rarest.select("needle_id", F.col("rare.token").alias("token")).join(times.select("doc_id", "token"), "token").select("needle_id", "doc_id")
+    words = near.join(asked, "needle_id").join(times, ["doc_id", "token"])
+    whole = words.groupBy("needle_id", "doc_id").agg(F.count("*").alias("n"), F.min("times").alias("least"), F.first("needed").alias("needed")).where("n = needed")
+    anchors = words.join(whole.select("needle_id", "doc_id", "least"), ["needle_id", "doc_id"]).where("times = least")
+    anchors = anchors.join(index, ["doc_id", "token"]).select("needle_id", "doc_id", "needed", "window", F.col("place").alias("at"))
+    block = lambda c: F.floor(c / BLOCK).cast("int")
+    around = anchors.withColumn("block", F.explode(F.sequence(block(F.col("at") - F.col("window")), block(F.col("at") + F.col("window")))))
+    blocks = index.withColumn("block", block(F.col("place")))
+    met = around.join(blocks, ["doc_id", "block"]).where(F.abs(F.col("place") - F.col("at")) <= F.col("window"))
+    met = met.join(asked.select("needle_id", "token"), ["needle_id", "token"])
+    counted = met.groupBy("needle_id", "doc_id", "at", "needed").agg(F.countDistinct("token").alias("n"))
+    return counted.where(F.col("n") >= CONTAIN_HIT * F.col("needed")).select("needle_id", "doc_id").distinct()
+
+
 def sentence_coverage(sources: DataFrame, outputs: DataFrame) -> DataFrame:
     """For each checked sentence of a document, whether the document's output covers it.
 

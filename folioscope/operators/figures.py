@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import longest_increasing
+from .similar import similar_pairs
+
 #: The token of a figure, the shortest contained title and the least similarity (fixed values).
 TOKEN, CONTAINED, SIMILAR = r"\bFIG_\d+\b", 6, 0.85
 
@@ -74,23 +74,13 @@ def captions_of(lines: DataFrame) -> DataFrame:
     return near.where("kind = 'caption'").select("doc_id", "line_no", F.coalesce("above", "below", F.lit("none")).alias("owner"))
 
 
-def similarity(left: Column, right: Column) -> Column:
-    """The matching-blocks ratio of two strings: of its kind there is no built-in function."""
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
-
-    return ratio(left, right)
-
-
 def heading_matches(titles: DataFrame, headings: DataFrame, by_ratio: bool = True) -> DataFrame:
     """doc_id, title_no, heading_no: the first heading of the document that is like the title; null where there is none.
 
     titles: doc_id, title_no, title_key; headings: doc_id, heading_no, heading_key (normalised, without
     numbers).  Equal, contained (six characters at least) or of a high ratio.  Pairs are made within
-    a document only; the ratio is taken of those alone that come before the first equal or contained
-    heading and whose lengths allow it.
+    a document only; of those that are neither equal nor contained, ``similar_pairs`` finds the ones
+    of a high ratio.
     """
     pairs = titles.join(headings, "doc_id").where("title_key <> '' and heading_key <> ''")
     short = F.when(F.length("title_key") <= F.length("heading_key"), F.col("title_key")).otherwise(F.col("heading_key"))
@@ -98,24 +88,15 @@ def heading_matches(titles: DataFrame, headings: DataFrame, by_ratio: bool = Tru
     plain = pairs.withColumn("alike", (F.col("title_key") == F.col("heading_key")) | ((F.length(short) >= CONTAINED) & F.contains(long, short)))
     found = plain.where("alike").groupBy("doc_id", "title_no").agg(F.min("heading_no").alias("heading_no"))
     if by_ratio:
-        before = plain.where("not alike").join(found.withColumnRenamed("heading_no", "known"), ["doc_id", "title_no"], "left").where("known is null or heading_no < known")
-        # the ratio is at most twice the shorter length over both
-        possible = before.where(2 * F.length(short) >= SIMILAR * (F.length("title_key") + F.length("heading_key")))
-        near = possible.where(similarity(F.col("title_key"), F.col("heading_key")) >= SIMILAR).select("doc_id", "title_no", "heading_no")
+        texts = lambda df, c: df.select("doc_id", F.col(c).alias("text"))
+        like = similar_pairs(texts(titles, "title_key"), texts(headings, "heading_key"), SIMILAR, ["doc_id"])
+        like = like.select(F.col("doc_id").alias("of"), "left", "right")
+        near = titles.join(like, (F.col("doc_id") == F.col("of")) & (F.col("title_key") == F.col("left"))).select("of", "title_no", "right")
+        near = headings.join(near, (F.col("doc_id") == F.col("of")) & (F.col("right") == F.col("heading_key"))).select("doc_id", "title_no", "heading_no")
         found = found.unionByName(near).groupBy("doc_id", "title_no").agg(F.min("heading_no").alias("heading_no"))
     return titles.select("doc_id", "title_no").join(found, ["doc_id", "title_no"], "left")
 
 
-def longest_increasing(values: Column) -> Column:
-    """Length of the longest strictly increasing subsequence of an array: the least last value of each length is kept."""
-
-    def place(tails: Column, x: Column) -> Column:
-        at = F.size(F.filter(tails, lambda t: t < x))
-        return F.concat(F.slice(tails, 1, at), F.array(x), F.slice(tails, at + 2, F.size(tails) + 1))
-
-    return F.size(F.aggregate(values, F.array().cast("array<int>"), place))
-
-
 def outline_stats(matches: DataFrame) -> DataFrame:
     """doc_id, titles, missing, reordered: titles without a heading, and those out of order among the matched."""
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("heading_no").isNotNull(), F.struct("title_no", "heading_no")))), lambda s: s["heading_no"].cast("int"))

@@ -6,6 +6,9 @@ unless a docstring says otherwise, empty tables give no rows.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ PAGE = spatial.PAGE
 BAND, CAPTION, CAPTION_CHARS = 45.0, r"(?i)\b(?:figure|table)\s+\d+\b", 140
 TOKENS_A_PAGE, MARGIN_SHARE, LEAST_PAGES = 650, 0.6, 10
 MONO_SPANS, MONO_SHARE, CODE_GAP, CODE_CHARS, PROBE_CHARS = 2, 0.6, 40.0, 12, 8
+TABLE_TAG = re.compile(r"<table\b|</table>", re.I)
 RECOVERED = "<!-- postfix: code-block recovery -->"
 
 
@@ -132,25 +136,36 @@ def output_grids(outputs: DataFrame) -> DataFrame:
 
 
 def outermost_tables(text: Column) -> Column:
-    """The HTML of each table that stands in no other; one that isn't closed is left out."""
-    pieces = F.split(text, r"(?i)(?=<table\b)|(?<=</table>)")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth"))
+    """The HTML of each table that stands in no other; one that isn't closed is left out.  One pass over the tags."""
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            depth, start, out = 0, 0, []
+            for m in TABLE_TAG.finditer(text):
+                if not m[0].startswith("</"):
+                    start, depth = (start if depth else m.start()), depth + 1
+                elif depth:
+                    depth -= 1
+                    if not depth:
+                        out.append(text[start : m.end()])
+            return out
 
-    def step(s: Column, piece: Column) -> Column:
-        opens, ends = piece.rlike(r"(?i)\A<table\b").cast("int"), F.lower(piece).endswith("</table>").cast("int")
-        inside = (s["depth"] + opens) > 0
-        depth = F.greatest(F.lit(0), s["depth"] + opens - ends)
-        whole = F.concat(s["open"], F.when(inside, piece).otherwise(""))
-        closed = inside & (depth == 0)
-        return F.struct(F.when(closed, F.concat(s["done"], F.array(whole))).otherwise(s["done"]).alias("done"), F.when(closed, "").otherwise(whole).alias("open"), depth.alias("depth"))
+        return texts.map(of)
 
-    return F.aggregate(pieces, start, step, lambda s: s["done"])
+    return found(text)
 
 
 def div_depths(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, depth: how many fenced divs are open after each line; a close without an open counts for nothing."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    change = lambda x: F.when(T.strip(x).rlike(r"^:::+ +\S"), 1).when(T.strip(x).rlike(r"^:::+$"), -1).otherwise(0)
-    start = F.array().cast("array<int>")
-    depths = F.aggregate(F.transform(lines, change), start, lambda a, c: F.concat(a, F.array(F.greatest(F.lit(0), F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), a), -1), F.lit(0)) + c))))
-    return docs.select("doc_id", F.posexplode(depths).alias("line_no", "depth"))
+    """doc_id, line_no, depth: how many fenced divs are open after each line; a close without an open counts for nothing.
+
+    The running sum of opens and closes, less the lowest it has been below zero.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    line = T.strip(F.col("line"))
+    change = F.when(line.rlike(r"^:::+ +\S"), 1).when(line.rlike(r"^:::+$"), -1).otherwise(0)
+    down = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = lines.select("doc_id", "line_no", F.sum(change).over(down).alias("sum"))
+    return summed.select("doc_id", "line_no", (F.col("sum") - F.least(F.lit(0), F.min("sum").over(down))).cast("int").alias("depth"))
