@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ ZERO_BORDER = r"(?i)\s*border(?:-(?:top|right|bottom|left))?(?:-width)?\s*:\s*(?
 HTML_FENCE = r"(?s)```\{=html\}\n(.*?)\n```"
 CAPTION = r"(?is)[ \t]*<caption\b[^>]*>(.*?)</caption>\s*"
 CAPTION_FILL = "#3E6893"
+FIGURE_IMAGE = r"!\[(.+?)\]\s*\.?\s*\(\s*(FIG_\d+)[^)]*\)"
+FIGURE_SOURCE = r"(?i)(<img\b[^>]*\bsrc\s*=\s*[\"'])\s*(FIG_\d+)\s*([\"'])"
+CENTRED, FIRST_ROW = re.compile(r"\s*text-align\s*:\s*center\s*;?", re.I), re.compile(r"<tr\b.*?</tr\s*>", re.I | re.S)
+TABLE_TAG = re.compile(r"<table\b|</table\s*>", re.I)
+EMPTY_STYLE = re.compile(r"style\s*=\s*([\"'])\s*;?\s*\1")
 LEFTOVER_FIGURE = r"(?<![a-zA-Z])FIG_(\d+)(?![/\w-])"
 
 
@@ -132,3 +139,72 @@ def leftover_figures(text: Column, figures: Column, media: str) -> Column:
     # a bare number needs its token's surroundings to match again: they are part of the pattern only as look-arounds
     n = F.size(F.filter(matches(text, LEFTOVER_FIGURE), lambda t: F.coalesce(of(t)["file"], F.lit("")) != ""))
     return F.struct(replace_each(text, LEFTOVER_FIGURE, image).alias("text"), n.alias("n"))
+
+
+def resolved_figures(text: Column, figures: Column, media: str) -> Column:
+    """Struct (text, resolved, hallucinated, unreferenced): figure tokens in images and image tags replaced by their files.
+
+    figures: array of structs (fig_id, file, caption); of equal ids the last counts, null ids don't.
+    A token without a figure that has a file becomes a visible mark, in a tag a name that is not
+    found; figures that no token names are listed in a comment at the end.  Null text counts as empty.
+    """
+
+    def over(s: Column) -> Column:
+        body, known = s["text"], s["figures"]
+        of = lambda token: F.get(F.reverse(F.filter(known, lambda f: f["fig_id"] == token)), F.lit(0))
+        held = lambda token: F.coalesce(of(token)["file"], F.lit("")) != ""
+        path = lambda f: F.concat(F.lit(f"{media}/"), f["file"])
+
+        def image(found: Column) -> Column:
+            caption, token = F.regexp_extract(found, FIGURE_IMAGE, 1), F.regexp_extract(found, FIGURE_IMAGE, 2)
+            shown = F.concat(F.lit("!["), caption, F.lit("]("), path(of(token)), F.lit(")"))
+            return F.when(held(token), shown).otherwise(F.concat(F.lit("*⚠ figure not found: "), caption, F.lit("*")))
+
+        def tag(found: Column) -> Column:
+            part = lambda i: F.regexp_extract(found, FIGURE_SOURCE, i)
+            return F.concat(part(1), F.when(held(part(2)), path(of(part(2)))).otherwise(F.concat(part(2), F.lit("-NOT-FOUND"))), part(3))
+
+        once = replace_each(body, FIGURE_IMAGE, image)
+        named = F.concat(matches(body, FIGURE_IMAGE, 2), matches(once, FIGURE_SOURCE, 2))
+        # one of each id, in the order in which ids come first
+        ids = F.array_distinct(F.transform(known, lambda f: f["fig_id"]))
+        left = F.filter(ids, lambda i: ~F.array_contains(named, i))
+        row = lambda i: F.concat(F.lit("       "), i, F.lit(": "), F.coalesce(F.nullif(of(i)["caption"], F.lit("")), F.lit("(no caption)")), F.lit(" -> "), F.coalesce(path(of(i)), F.lit("(no file)")))
+        head = "<!-- figures detected in Phase 1 but not placed by the converter\n     (review and place manually if any is a real figure):"
+        whole = replace_each(once, FIGURE_SOURCE, tag)
+        noted = F.concat(F.regexp_replace(whole, r"\s+\z", ""), F.lit("\n\n"), F.array_join(F.concat(F.array(F.lit(head)), F.transform(left, row), F.array(F.lit("-->"))), "\n"), F.lit("\n"))
+        return F.struct(
+            F.when(F.size(left) > 0, noted).otherwise(whole).alias("text"),
+            F.filter(named, held).alias("resolved"),
+            F.filter(named, lambda t: ~held(t)).alias("hallucinated"),
+            left.alias("unreferenced"),
+        )
+
+    empty = F.array().cast("array<struct<fig_id:string,file:string,caption:string>>")
+    usable = F.filter(F.coalesce(figures, empty), lambda f: f["fig_id"].isNotNull() & (f["fig_id"] != ""))
+    return let(F.struct(F.coalesce(text, F.lit("")).alias("text"), usable.alias("figures")), over)
+
+
+def uncentred_headers(text: Column) -> Column:
+    """Struct (text, n): centring leaves the first row of each outermost table, with what it leaves of its style; ``n`` counts the declarations."""
+
+    @F.pandas_udf("text string, n int")
+    def cleaned(texts: pd.Series) -> pd.DataFrame:
+        def of(text: str | None) -> tuple[str | None, int]:
+            out, at, depth, start, n = [], 0, 0, 0, 0
+            for m in TABLE_TAG.finditer(text or ""):
+                if not m[0].startswith("</"):
+                    start, depth = (start if depth else m.start()), depth + 1
+                    continue
+                if depth == 1 and (row := FIRST_ROW.search(text, start, m.end())):
+                    bare, times = CENTRED.subn("", row[0])
+                    if times:
+                        bare = EMPTY_STYLE.sub("", re.sub(r"\s*;\s*;", ";", bare))
+                        out += [text[at : row.start()], bare]
+                        at, n = row.end(), n + times
+                depth = max(0, depth - 1)
+            return (None, 0) if text is None else ("".join([*out, text[at:]]), n)
+
+        return pd.DataFrame([of(t) for t in texts], columns=["text", "n"])
+
+    return cleaned(text)

@@ -197,6 +197,30 @@ def code_language(code: Column) -> Column:
 
 
 def chunks(text: Column, size: int) -> Column:
+    """Pieces of ``size`` characters, the last one as long as what is left."""
     count = F.ceil(F.length(text) / size).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
     return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+
+def clipped(text: Column, width: int) -> Column:
+    return F.when(F.length(text) <= width, text).otherwise(F.concat(F.substring(text, 1, width - 1), F.lit("…")))
+
+
+def fitted(name: Column, width: int) -> Column:
+    """Exactly ``width`` characters: filled with blanks, or with an ellipsis for the middle, so that beginning and end stay."""
+    head = width // 2
+    tail = width - 1 - head
+    return F.when(F.length(name) <= width, F.rpad(name, width, " ")).otherwise(F.concat(F.substring(name, 1, head), F.lit("…"), F.right(name, F.lit(tail))))
+
+
+def filled(template: Column, values: dict[str, Column]) -> Column:
+    """``template`` with each ``{{NAME}}`` replaced; others stay."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit(f"{{{{{name}}}}}"), F.coalesce(value, F.lit("")))
+    return template
+
+
+def stable_seed(text: Column) -> Column:
+    """The sum of the characters' code points: the same in every run."""
+    return F.aggregate(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)

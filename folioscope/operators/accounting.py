@@ -32,7 +32,10 @@ def estimates(jobs: DataFrame, rates: DataFrame) -> DataFrame:
     """doc_id, expected_usd, low_usd, high_usd of each job (pages, candidate_pages); the rates are one row."""
     fixed = F.col("cover_usd") + F.col("candidate_pages") * F.col("detect_usd_per_candidate")
     convert = F.col("pages") * F.col("convert_usd_per_page")
-    priced = jobs.join(F.broadcast(rates.limit(1)), F.lit(True))
+    # one row by contract: a second one is an error, not a second price
+    one = rates.agg(F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("cover_usd", "detect_usd_per_candidate", "convert_usd_per_page")])
+    one = one.where(F.when(F.col("rows") == 1, True).otherwise(F.raise_error(F.lit("rates must be one row")).cast("boolean")))
+    priced = jobs.join(F.broadcast(one), F.lit(True))
     return priced.select("doc_id", (fixed + convert).alias("expected_usd"), (fixed + BAND_LOW * convert).alias("low_usd"), (fixed + BAND_HIGH * convert).alias("high_usd"))
 
 
@@ -104,3 +107,15 @@ def usage_cost(usage: Column) -> Column:
 def cost_rollup(usage: DataFrame, *keys: str) -> DataFrame:
     """Sums of cost_usd by every prefix of ``keys`` (null: all)."""
     return usage.rollup(*keys).agg(F.count("*").alias("n"), F.sum("cost_usd").alias("cost_usd"))
+
+
+def usd(amount_eur: Column) -> Column:
+    """EUR as USD; null (no limit) stays null."""
+    return amount_eur / USD_TO_EUR
+
+
+def retry_delay(message: Column, default: float = 60.0) -> Column:
+    """Seconds to wait that a service's message tells: after ``retry after`` or ``retry in``, else before ``s``, else ``default``."""
+    told = F.regexp_extract(message, r"(?i)retry[_\s]+(?:after|in)[:\s]+(\d+(?:\.\d+)?)", 1)
+    other = F.regexp_extract(message, r"(?i)(\d+(?:\.\d+)?)\s*s(?:ec(?:onds?)?)?", 1)
+    return F.coalesce(F.nullif(told, F.lit("")).try_cast("double"), F.nullif(other, F.lit("")).try_cast("double"), F.lit(default))

@@ -115,6 +115,11 @@ def recover_code(outputs: DataFrame, groups: DataFrame) -> DataFrame:
     return outputs.join(blocks, "doc_id", "left").select("doc_id", F.when(F.col("blocks").isNull(), F.col("text")).otherwise(added).alias("text"), F.when(F.col("blocks").isNull(), 0).otherwise(F.size("blocks")).alias("n"))
 
 
+def figure_regions(regions: DataFrame, media: str) -> DataFrame:
+    """The regions that are figures, with ``path``: their file below the media folder, as it is written into a document."""
+    return regions.where("rtype = 'figure'").withColumn("path", F.concat(F.lit(f"{media}/"), "file"))
+
+
 def output_grids(outputs: DataFrame) -> DataFrame:
     """doc_id, table_no, text: the output's pipe tables and outermost HTML tables, numbered in that order, normalised; empty ones are left out."""
     lines = markup.md_lines(outputs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))

@@ -8,6 +8,7 @@ one document's lines and nothing larger.  Null text counts as empty.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import markup_rewrites as rewrites
 from ..functions import text as T
 from . import tables
+from .store import stored
+
+log = logging.getLogger(__name__)
 
 #: Patterns of the markup (fixed values).
 ROW, DIVIDER, CAPTION = r"^\s*\|.*\|\s*$", r"^\s*\|[:\-\s|]*-[:\-\s|]*\|\s*$", r"^:\s+\S"
@@ -312,23 +316,162 @@ def strip_bleed(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", "r.text", "r.n")
 
 
+OLD_DIV, DIV_OPEN, DIV_CLOSE = r"^::: +\{#tbl-[^}]*\}\s*$", r"^:::+ +\S", r"^:::+\s*$"
+IMAGE_LINE, BARE_CAPTION = r"^\s*!\[([^\]]*)\]\(([^)]*)\)(\{[^}]*\})?\s*$", r"^\*{0,2}(?:Table|Figure)\s+\d+\s*[:.]\s*\S"
+#: So many bare captions in a row are a list of tables or figures.
+INDEX_RUN = 3
+
+
+def migrated_captions(docs: DataFrame) -> DataFrame:
+    """Cross-reference divs around raw tables give way to caption blocks above their tables; captions that a page reset has cut off go before it.
+
+    A div ends where the opens and closes after it balance.  Of divs in divs the outermost counts;
+    one without a raw fence stays.  Its caption is the last run of prose lines at its own level.
+    """
+    first = _migrated_divs(docs)
+    second = _rejoined_captions(first.select("doc_id", "text"))
+    return second.join(first.select("doc_id", F.col("n").alias("m")), "doc_id").select("doc_id", "text", (F.col("n") + F.col("m")).alias("n"))
+
+
+def _migrated_divs(docs: DataFrame) -> DataFrame:
+    stripped = T.strip(F.col("line"))
+    opens, closes = stripped.rlike(DIV_OPEN), stripped.rlike(DIV_CLOSE) & ~stripped.rlike(DIV_OPEN)
+    upto = _doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = numbered(docs).withColumn("level", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(upto)).withColumn("old", F.col("line").rlike(OLD_DIV))
+    # a div ends at the first later line that is one level lower than the div itself
+    starts = lines.where("old").select("doc_id", F.col("line_no").alias("start"), (F.col("level") - 1).alias("level"))
+    ends = lines.where(closes).select("doc_id", F.col("line_no").alias("stop"), "level")
+    spans = starts.join(ends, ["doc_id", "level"], "left").where("stop is null or stop > start").groupBy("doc_id", "start").agg(F.min("stop").alias("stop"))
+    spans = starts.select("doc_id", "start").join(spans, ["doc_id", "start"], "left").select("doc_id", "start", F.coalesce("stop", F.lit(1 << 30)).alias("stop"))
+    covered = F.max("stop").over(Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("covered", covered).where("covered is null or covered < start").select(F.col("doc_id").alias("of"), "start", "stop")
+    inside = lines.join(spans, (F.col("doc_id") == F.col("of")) & (F.col("line_no") >= F.col("start")) & (F.col("line_no") <= F.col("stop")), "left").drop("of")
+    own = Window.partitionBy("doc_id", "start")
+    down = own.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    body = (F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("stop"))
+    told = inside.withColumn("body", F.coalesce(body, F.lit(False))).withColumn("fires", F.max((F.col("body") & stripped.startswith("```{=html}")).cast("int")).over(own) == 1)
+    told = told.withColumn("fires", F.col("fires") & F.col("start").isNotNull())
+    # a fence ends at the first bare fence line after it begins: the last mark before a line tells
+    mark = F.when(F.col("body") & stripped.startswith("```{="), 1).when(F.col("body") & (stripped == "```"), 0)
+    told = told.withColumn("mark", mark).withColumn("fence", (F.coalesce(F.last("mark", ignorenulls=True).over(down), F.lit(0)) == 1) | F.coalesce(F.col("mark") == 0, F.lit(False)))
+    change = F.when(F.col("body") & ~F.col("fence"), F.when(opens, 1).when(closes, -1).otherwise(0)).otherwise(0)
+    told = told.withColumn("sum", F.sum(change).over(down)).withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(down)))
+    prose = F.col("fires") & F.col("body") & ~F.col("fence") & ~opens & ~closes & ~F.col("blank") & (F.col("depth") == 0)
+    told = told.withColumn("prose", prose).withColumn("island", F.when(F.col("prose"), F.col("line_no") - F.sum(F.col("prose").cast("int")).over(down)))
+    told = told.withColumn("last_island", F.max("island").over(own))
+    named = F.col("prose") & (F.col("island") == F.col("last_island"))
+    told = told.withColumn("named", named)
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("named"), F.struct("line_no", stripped.alias("s")))).over(own)), lambda x: x["s"]), " ")
+    told = told.withColumn("caption", F.when(F.col("fires"), words))
+    # what is left of the body, without blank lines at its ends
+    left = F.col("fires") & F.col("body") & ~F.col("named")
+    solid = F.when(left & ~F.col("blank"), F.col("line_no"))
+    told = told.withColumn("kept", left & (F.col("line_no") >= F.min(solid).over(own)) & (F.col("line_no") <= F.max(solid).over(own)))
+    head = F.col("fires") & (F.col("line_no") == F.col("start"))
+    out = F.when(head, divs_of(F.nullif(F.col("caption"), F.lit("")))).when(F.col("fires") & ~F.coalesce("kept", F.lit(False)), None).otherwise(F.col("line"))
+    return rebuilt(told.withColumn("out", out).withColumn("place", F.col("line_no")).withColumn("head", head), F.col("head"))
+
+
+def _rejoined_captions(docs: DataFrame) -> DataFrame:
+    lines = numbered(docs).withColumn("stripped", T.strip(F.col("line")))
+    resets = F.lit(False)
+    for k in range(1, 5):
+        resets = resets | F.coalesce(F.lead("line", k).over(_doc()).contains("#set page(flipped: false"), F.lit(False))
+    lines = lines.withColumn("opens", F.when(F.col("stripped").startswith("```{=typst}") & resets, F.col("line_no")))
+    # the first bare fence line after a reset opens is its end
+    lines = lines.withColumn("opened", F.last("opens", ignorenulls=True).over(_before()))
+    bare = F.when(F.col("stripped") == "```", F.col("line_no"))
+    lines = lines.withColumn("bare", bare).withColumn("nth", F.sum(F.col("bare").isNotNull().cast("int")).over(Window.partitionBy("doc_id", "opened").orderBy("line_no")))
+    lines = lines.withColumn("reset_end", F.col("bare").isNotNull() & F.col("opened").isNotNull() & (F.col("nth") == 1))
+    solid = F.when(~F.col("blank"), F.struct("reset_end", "opened", F.col("caption").alias("caption")))
+    lines = lines.withColumn("above", F.last(solid, ignorenulls=True).over(_before())).withColumn("below", F.first(solid, ignorenulls=True).over(_after()))
+    after_reset = F.coalesce(F.col("above.reset_end"), F.lit(False))
+    moved = F.col("caption") & after_reset
+    gap = F.col("blank") & after_reset & F.coalesce(F.col("below.caption"), F.lit(False))
+    out = F.when(moved, F.concat("line", F.lit("\n"))).when(gap, None).otherwise(F.col("line"))
+    place = F.when(moved, F.col("above.opened") - 0.5).otherwise(F.col("line_no").cast("double"))
+    return rebuilt(lines.withColumn("moved", moved).withColumn("out", out).withColumn("place", place), F.col("moved"))
+
+
+def promoted_captions(docs: DataFrame) -> DataFrame:
+    """Paragraphs that are captions (``Table N:``, ``Figure N:``, also in asterisks) are joined to what they name.
+
+    A table's becomes a caption block above the pipe table or image next to it, below it first, else
+    above; a figure's becomes the text of the image without one next to it, above it first, else below.
+    Three or more in a row are an index and stay; so does one below images that stand together, of
+    which it can't be told which is meant, and one inside a caption block.  Lines of one paragraph are joined.
+    """
+    lines = numbered(docs)
+    stripped = T.strip(F.col("line"))
+    image, names = F.col("line").rlike(IMAGE_LINE), stripped.rlike(BARE_CAPTION)
+    mark = F.when(stripped.rlike(DIV_OPEN), 1).when(stripped.rlike(DIV_CLOSE), -1).otherwise(0)
+    upto = _doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fence = F.sum(stripped.startswith("```").cast("int")).over(upto) % 2 == 1
+    lines = lines.withColumn("inside", fence | stripped.startswith("```") | (F.sum(mark).over(upto) > 0) | (mark != 0))
+    kind = F.when(F.col("blank"), "blank").when(F.col("inside"), "closed").when(F.col("row"), "table").when(image, "image").otherwise("text")
+    lines = lines.withColumn("kind", kind)
+    # an image is a block of its own; others run on while their kind does
+    begins = (F.col("kind") != F.lag("kind", 1, "").over(_doc())) | (F.col("kind") == "image")
+    lines = lines.withColumn("block", F.sum(begins.cast("int")).over(upto))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", stripped.alias("s")))), lambda x: x["s"]), " ")
+    blocks = lines.where("kind <> 'blank'").groupBy("doc_id", "block", "kind").agg(joined.alias("text"), F.min("line_no").alias("first"), F.min_by("line", "line_no").alias("line"), F.min_by(names, "line_no").alias("names"))
+    blocks = blocks.withColumn("kind", F.when((F.col("kind") == "text") & F.col("names"), "caption").otherwise(F.col("kind")))
+    w = Window.partitionBy("doc_id").orderBy("block")
+    blocks = blocks.withColumn("run", F.sum((F.col("kind") != F.lag("kind", 1, "").over(w)).cast("int")).over(w)).withColumn("in_run", F.count("*").over(Window.partitionBy("doc_id", "run")))
+    side = lambda f, n: f(F.struct("block", "kind", "first", "line"), n).over(w)
+    blocks = blocks.withColumn("above", side(F.lag, 1)).withColumn("above2", side(F.lag, 2)).withColumn("below", side(F.lead, 1))
+    said = F.regexp_replace("text", r"^\*+|\*+$", "")
+    captions = blocks.where(f"kind = 'caption' and in_run < {INDEX_RUN}").withColumn("said", said)
+    figure = F.col("said").startswith("Figure")
+    bare = lambda s: F.coalesce((F.col(f"{s}.kind") == "image") & (F.regexp_extract(F.col(f"{s}.line"), IMAGE_LINE, 1) == ""), F.lit(False))
+    target = lambda s: F.coalesce(F.col(f"{s}.kind").isin("table", "image"), F.lit(False))
+    together = (F.col("above.kind") == "image") & (F.col("above2.kind") == "image")
+    to_table = F.when(target("below"), F.col("below")).when(target("above") & ~F.coalesce(together, F.lit(False)), F.col("above"))
+    to_image = F.when(bare("above") & ~F.coalesce(together, F.lit(False)), F.col("above")).when(bare("below"), F.col("below"))
+    captions = captions.withColumn("to", F.when(figure, to_image).otherwise(to_table)).where("to is not null").withColumn("figure", figure)
+    gone = captions.select("doc_id", "block", F.lit(True).alias("gone"))
+    given = captions.groupBy("doc_id", F.col("to.block").alias("block")).agg(F.min_by("said", "block").alias("said"), F.min_by("figure", "block").alias("figure"))
+    told = lines.join(gone, ["doc_id", "block"], "left").join(given, ["doc_id", "block"], "left")
+    head = F.col("said").isNotNull() & (F.col("line_no") == F.min("line_no").over(Window.partitionBy("doc_id", "block")))
+    part = lambda i: F.regexp_extract("line", IMAGE_LINE, i)
+    alt = F.replace(F.replace(F.col("said"), F.lit("["), F.lit("\\[")), F.lit("]"), F.lit("\\]"))
+    pictured = F.concat(F.lit("!["), alt, F.lit("]("), part(2), F.lit(")"), part(3))
+    # the blank line after a caption that moves goes with it
+    orphan = F.col("blank") & F.coalesce(F.lag("gone").over(_doc()), F.lit(False))
+    above = F.concat(divs_of(F.col("said")), F.lit("\n"), F.col("line"))
+    out = F.when(F.col("gone") | orphan, None).when(head & F.col("figure"), pictured).when(head, above).otherwise(F.col("line"))
+    told = told.withColumn("head", head).withColumn("orphan", orphan)
+    return rebuilt(told.withColumn("out", out).withColumn("place", F.col("line_no")), F.col("head"))
+
+
 #: The table passes in their order; each finds what the ones before it left.
 PASSES: list[tuple[str, Callable[[DataFrame], DataFrame]]] = [
     ("grid_normalized", rebuild_headers),
     ("tables_unwrapped", unwrap_titles),
+    ("captions_normalized", migrated_captions),
     ("captions_moved", captions_above),
+    ("captions_promoted", promoted_captions),
     ("captions_redistributed", spread_captions),
     ("colgroups_stamped", stamp_widths),
     ("tables_oriented", orient_wide),
 ]
 
 
-def fix_tables(docs: DataFrame, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """doc_id, text and a count for each pass.  ``settle`` writes an intermediate table and reads it back, to keep plans short."""
+def fix_tables(docs: DataFrame, settle: Callable[[DataFrame], DataFrame] = stored, passes: list[tuple[str, Callable[[DataFrame], DataFrame]]] = PASSES) -> DataFrame:
+    """doc_id, text and a count for each pass.
+
+    ``settle`` writes the result of a pass and reads it back.  A pass that fails is left out, with a
+    warning and null counts; the others go on from the text before it.
+    """
     done, counts = docs.select("doc_id", "text"), []
-    for name, rewrite in PASSES:
-        told = rewrite(done.select("doc_id", "text")).withColumnRenamed("n", name)
-        done = told.join(done.drop("text"), "doc_id") if counts else told
-        done = settle(done) if settle else done
+    for name, rewrite in passes:
+        try:
+            told = settle(rewrite(done.select("doc_id", "text")))
+        except Exception as failure:  # whatever it is, a table pass must not cost the document
+            log.warning("table pass %s failed: %s", name, str(failure).splitlines()[0] if str(failure) else type(failure).__name__)
+            done = done.withColumn(name, F.lit(None).cast("int"))
+        else:
+            told = told.withColumnRenamed("n", name)
+            done = told.join(done.drop("text"), "doc_id") if counts else told
         counts.append(name)
     return done.select("doc_id", "text", *counts)

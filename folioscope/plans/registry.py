@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+#: What stands for inline tables, by name, while a query of theirs is built over given tables.
+_GIVEN: ContextVar[dict[str, Callable[[SparkSession], DataFrame]]] = ContextVar("given", default={})
+
+
 class Inline:
     """A small table written once: a DataFrame here, a common table expression there."""
 
@@ -42,7 +48,8 @@ class Inline:
         self.name, self.schema, self.rows = name, schema, rows
 
     def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+        given = _GIVEN.get().get(self.name)
+        return given(spark) if given else spark.createDataFrame(self.rows, self.schema)
 
     def _type(self, kind: str) -> str:
         if kind.startswith("array<"):
@@ -67,3 +74,33 @@ class Inline:
         casts = ", ".join(f"CAST({c} AS {self._type(t)}) AS {c}" for c, t in columns)
         values = ", ".join("(" + ", ".join(map(self._literal, row)) + ")" for row in self.rows)
         return f"{self.name} AS (SELECT {casts} FROM (VALUES {values}) t({', '.join(c for c, _ in columns)}))"
+
+
+class Derived:
+    """A table made of given ones by SQL that both engines read; given tables stand in braces, ``{array}`` makes an array."""
+
+    def __init__(self, sql: str):
+        self.sql = " ".join(sql.split())
+        self.tables = sorted(set(re.findall(r"{(\w+)}", self.sql)) - {"array"})
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(self.sql.replace("{array}", "array"), **{t: table(spark, sf_dir, t) for t in self.tables})
+
+    def cte(self, name: str) -> str:
+        return f"{name} AS ({self.sql.format(array='list_value', **{t: t for t in self.tables})})"
+
+
+def on_tables(name: str, given: dict[Inline, Derived], suffix: str = "_on_tables") -> None:
+    """Register the query ``name`` once more, with derived tables in place of its inline ones, in both engines."""
+    sql = ORACLE_SQL[name]
+    for inline, derived in given.items():
+        assert inline.cte in sql, (name, inline.name)
+        sql = sql.replace(inline.cte, derived.cte(inline.name))
+
+    @query(name + suffix, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _GIVEN.set({i.name: lambda s, d=d: d.df(s, sf_dir) for i, d in given.items()})
+        try:
+            return QUERIES[name](spark, sf_dir)
+        finally:
+            _GIVEN.reset(token)
