@@ -55,11 +55,11 @@ def covered_fraction(boxes: DataFrame, covers: DataFrame) -> DataFrame:
     return sums.select(*PAGE, "box_id", F.coalesce(F.least(F.lit(1.0), F.try_divide("inside", "area")), F.lit(0.0)).alias("fraction"))
 
 
-def lines_in_boxes(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``lines`` whose centre stands in a box of their page (one row each)."""
+def lines_in_boxes(lines: DataFrame, boxes: DataFrame, outside: bool = False) -> DataFrame:
+    """``lines`` whose centre stands in a box of their page (one row each); with ``outside`` all others."""
     b = _sided(boxes, "b_").withColumnsRenamed({"doc_id": "b_doc", "page_no": "b_page"})
     hit = (F.col("doc_id") == F.col("b_doc")) & (F.col("page_no") == F.col("b_page")) & G.centre_inside(G.rect(), G.rect("b_"))
-    return lines.join(b, hit, "left_semi")
+    return lines.join(b, hit, "left_anti" if outside else "left_semi")
 
 
 def text_edges(boxes: DataFrame, lines: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata
 from ..functions import text as T
-from . import accounting, coverage, figures, markup, tables
+from . import accounting, chrome, coverage, figures, markup, spatial, tables
 
 #: How many findings a report lists, and the forms of the report (fixed values).
 TEXT_LISTED, LINKS_LISTED = 40, 30
@@ -37,6 +37,10 @@ class DocSet:
 
     outputs, sources: text; links: uri; source_tables, output_tables: table_no, text; figures: fig_id, file, origin;
     spans: page_no, text, flags, font; lines: line_no, text; titles: title_no, title; grids: table_no, grid.
+
+    Instead of sources: source_lines (page_no, line_no, text, x0, y0, x1, y1), with exclusions (page_no and
+    box: figures and running chrome) and covers (doc_id: documents whose first page is a cover).  Instead of
+    source_tables: source_grids (table_no, grid) with pages (total_pages).
     """
 
     outputs: DataFrame
@@ -49,6 +53,52 @@ class DocSet:
     lines: DataFrame | None = None
     titles: DataFrame | None = None
     grids: DataFrame | None = None
+    source_lines: DataFrame | None = None
+    exclusions: DataFrame | None = None
+    covers: DataFrame | None = None
+    source_grids: DataFrame | None = None
+    pages: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.sources is None and self.source_lines is not None:
+            self.sources = source_text(self.source_lines, self.exclusions, self.covers)
+        if self.source_tables is None and self.source_grids is not None and self.pages is not None:
+            self.source_tables = source_tables(self.source_grids, self.pages)
+
+
+def source_text(lines: DataFrame, exclusions: DataFrame | None = None, covers: DataFrame | None = None) -> DataFrame:
+    """doc_id, text: what of a source's lines the output has to hold, in order.
+
+    Left out are lines whose centre stands in an excluded box, those of a cover page (a document in
+    ``covers``, its page 0), lines that run over half of the pages that are left (two at least), and
+    bare page numbers.  Null texts count as empty; a document of which nothing is left has no row.
+    """
+    kept = lines if exclusions is None else spatial.lines_in_boxes(lines, exclusions, outside=True)
+    if covers is not None:
+        cover = covers.select(F.col("doc_id").alias("c_doc")).distinct()
+        kept = kept.join(cover, (F.col("doc_id") == F.col("c_doc")) & (F.col("page_no") == 0), "left_anti")
+    told = kept.select("doc_id", "page_no", "line_no", F.coalesce("text", F.lit("")).alias("text")).withColumn("normal", T.normalize(F.col("text")))
+    # pages are counted up to the last one that has a line
+    totals = told.groupBy("doc_id").agg((F.max("page_no") + 1).alias("total"))
+    seen = told.where("normal <> ''").groupBy("doc_id", "normal").agg(F.countDistinct("page_no").alias("n")).where(F.col("n") >= chrome.MIN_PAGES)
+    running = seen.join(totals, "doc_id").where(F.col("n") >= chrome.MAJORITY * F.col("total")).select("doc_id", "normal")
+    body = told.join(running, ["doc_id", "normal"], "left_anti").where(~T.is_ignorable(F.col("normal")))
+    # a document's lines: it is one text in the end
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", "line_no", "text")))
+    return body.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))
+
+
+def source_tables(grids: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, table_no, text: the source's tables without oversized ones and without those that are running headers.
+
+    grids: doc_id, table_no, grid (rows of cells); pages: doc_id, total_pages.  A running header is known by
+    its first two filled cells; a table without filled cells is none.
+    """
+    filled = F.filter(F.transform(F.flatten(F.filter("grid", lambda r: r.isNotNull())), lambda c: T.normalize(F.coalesce(c, F.lit("")))), lambda c: c != "")
+    told = grids.where(~tables.is_oversized(F.col("grid"))).select("doc_id", "table_no", filled.alias("cells")).where(F.size("cells") > 0)
+    told = told.withColumn("fingerprint", F.array_join(F.slice("cells", 1, 2), " "))
+    running = tables.running_headers(told, pages).select("doc_id", "fingerprint")
+    return told.join(running, ["doc_id", "fingerprint"], "left_anti").select("doc_id", "table_no", F.array_join("cells", " ").alias("text"))
 
 
 CHECKS: dict[str, tuple[tuple[str, ...], Callable[[DocSet], DataFrame]]] = {}

@@ -32,9 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores where its files give fewer tasks than that, as one small file of a single row group does."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    """``df`` dealt to all cores if one task alone would read it, as it does a file of a single row group; else as it is."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 #: What stands for inline tables, by name, while a query of theirs is built over given tables.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chrome, coverage
+from ..operators import chrome, coverage, verify
 from .registry import Inline, query, spread, table
 
 #: The other engine's way to normalise ``{x}``.
@@ -232,3 +232,30 @@ def running_line_vote(spark, sf_dir):
     lines = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     normal = lines.select("doc_id", T.normalize(F.col("line")).alias("normal")).where("normal <> ''")
     return normal.groupBy("normal").agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_docs")).where("n_docs >= 2")
+
+
+#: Documents as pages of ten lines under a running header and above a page number; every fourth line of a page stands in a figure's box, every fifth document begins with a cover.
+PAGED = """l AS (SELECT doc_id, (i - 1) // 10 AS page_no, (i - 1) % 10 + 1 AS line_no, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+    p AS (SELECT DISTINCT doc_id, page_no FROM l), paged AS (SELECT * FROM l UNION ALL SELECT doc_id, page_no, 0, 'The Running  Header of Páge' FROM p UNION ALL SELECT doc_id, page_no, 99, 'Page ' || (page_no + 1)::VARCHAR FROM p)"""
+
+
+@query(
+    "source_text_of_pages",
+    f"""WITH {PAGED}, k AS (SELECT *, {norm('text')} AS n FROM paged WHERE line_no <> 4 AND NOT (doc_id % 5 = 0 AND page_no = 0)),
+    t AS (SELECT doc_id, max(page_no) + 1 AS total FROM k GROUP BY doc_id), r AS (SELECT doc_id, n FROM k JOIN t USING (doc_id) WHERE n <> '' GROUP BY doc_id, n, total HAVING count(DISTINCT page_no) >= 2 AND count(DISTINCT page_no) >= 0.5 * total)
+    SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY page_no, line_no)) AS text_sha256, count(*) AS n_lines FROM k
+    WHERE NOT regexp_matches(n, '^page [0-9]+$') AND NOT regexp_matches(n, '^[0-9]+$') AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = k.doc_id AND r.n = k.n) GROUP BY doc_id""",
+)
+def source_text_of_pages(spark, sf_dir):
+    """What text coverage asks for of paged documents: without figures' insides, cover pages, running lines and page numbers."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("doc_id", F.floor(F.col("i") / 10).cast("int").alias("page_no"), (F.col("i") % 10 + 1).alias("line_no"), "text")
+    pages = lines.select("doc_id", "page_no").distinct()
+    header = pages.select("doc_id", "page_no", F.lit(0).alias("line_no"), F.lit("The Running  Header of Páge").alias("text"))
+    footer = pages.select("doc_id", "page_no", F.lit(99).alias("line_no"), F.concat(F.lit("Page "), (F.col("page_no") + 1).cast("string")).alias("text"))
+    y = F.col("line_no").cast("double") * 10
+    placed = lines.unionAll(header).unionAll(footer).select("*", F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 8).alias("y1"))
+    boxes = pages.select("doc_id", "page_no", F.lit(0.0).alias("x0"), F.lit(39.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(49.0).alias("y1"))
+    covers = docs.where("doc_id % 5 = 0").select("doc_id")
+    told = verify.source_text(placed, boxes, covers)
+    return told.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))

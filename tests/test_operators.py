@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import metadata, rewrites
 from folioscope.functions import text as T
-from folioscope.operators import blocks, coverage, figures, regions, sequences, similar, spatial
+from folioscope.operators import blocks, coverage, figures, regions, sequences, similar, spatial, verify
 
 SF = "/root/testdata/sf0.001"
 
@@ -222,3 +222,33 @@ def test_offsets(spark):
 def test_list_order(spark):
     found = blocks.page_elements(spark.createDataFrame([(1, "<ol><li>a</li><li>b</li></ol><ul><li>c</li></ul>")], "page_id long, html string"))
     assert rows(blocks.list_items(found)) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 3, 0, "c")]
+
+
+# sources of the coverage checks
+
+
+def test_source_text(spark):
+    schema = "doc_id int, page_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double"
+    line = lambda d, p, n, t, y: (d, p, n, t, 50.0, y, 300.0, y + 10)
+    rows_ = [line(1, p, 0, "Annual Report", 10.0) for p in range(3)] + [line(1, p, 9, f"Page {p + 1}", 800.0) for p in range(3)]
+    rows_ += [line(1, 0, 1, "The cover's title", 100.0), line(1, 1, 1, "A sentence that has to be there.", 100.0), line(1, 1, 2, "inside the figure", 300.0), line(1, 2, 1, "42", 100.0), line(1, 2, 2, None, 120.0), line(2, 0, 1, "No cover here.", 100.0), line(3, 0, 1, "7", 100.0)]
+    lines = spark.createDataFrame(rows_, schema)
+    boxes = spark.createDataFrame([(1, 1, 0.0, 290.0, 400.0, 320.0)], "doc_id int, page_no int, x0 double, y0 double, x1 double, y1 double")
+    covers = spark.createDataFrame([(1,), (1,)], "doc_id int")
+    got = {r["doc_id"]: r["text"] for r in verify.source_text(lines, boxes, covers).collect()}
+    assert got == {1: "A sentence that has to be there.\n", 2: "No cover here."}
+    # a source whose running lines the output rightly lacks is covered
+    outputs = spark.createDataFrame([(1, "A sentence that has to be there."), (2, "other words"), (3, "x")], "doc_id int, text string")
+    checks = {(r["doc_id"], r["status"], r["metric"]) for r in verify.run(verify.DocSet(outputs, source_lines=lines, exclusions=boxes, covers=covers), ["text_coverage"]).collect()}
+    assert (1, "ok", "100.0") in checks
+    plain = {r["doc_id"]: r["text"] for r in verify.source_text(lines).collect()}
+    assert plain[1].startswith("The cover's title\nA sentence") and "inside the figure" in plain[1]
+    assert verify.source_text(lines.limit(0)).collect() == []
+
+
+def test_source_tables(spark):
+    header = [["Head", "Page"], [None, "1"]]
+    grids = [(1, i, header) for i in range(4)] + [(1, 8, [["a", ""], ["b", "ç"]]), (1, 9, [["x"] * 50]), (1, 10, [["", None]]), (2, 1, [["a", "b"]]), (2, 2, [])]
+    df = spark.createDataFrame(grids, "doc_id int, table_no int, grid array<array<string>>")
+    pages = spark.createDataFrame([(1, 6), (2, 1)], "doc_id int, total_pages int")
+    assert rows(verify.source_tables(df, pages)) == [(1, 8, "a b c"), (2, 1, "a b")]
