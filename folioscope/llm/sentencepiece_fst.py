@@ -18,8 +18,9 @@ The encoding is the shortest path in the tropical semiring: weights add along a
 the least of those into a state stays, the longest arc of equals.  In either kind the
 best path to a position depends only on what stands before it, so one state a position
 is kept.  In a merge model all finite weights are 0, so the first finite arc is the
-least.  An input is cut where no piece can cross (before spaces, around characters that
-only stand alone), and each distinct cut is composed once while it is cached.
+least, and an input is cut where no piece can cross (before spaces, around characters that
+only stand alone); each distinct cut is composed once while it is cached.  In a unigram
+model weights add up in single precision, as they do where such models are made.
 
 Defined results: null text counts as empty and has no ids; a space symbol in the
 text decodes as a space; decoding skips control pieces; repeated rows are encoded
@@ -32,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -47,6 +49,7 @@ SPACE, UNKNOWN_WEIGHT = "▁", 10.0
 #: Cached cuts and junctions of a worker: these bound its memory.
 CACHED, ROWS = 600_000, 1000
 INFINITY = float("inf")
+_SINGLE = struct.Struct("f")
 
 
 class Normaliser:
@@ -104,6 +107,11 @@ class Normaliser:
         return text.rstrip(SPACE) if self.squeeze else text
 
 
+def _single(weight: float) -> float:
+    """In single precision, in which models are scored: it decides between paths that are almost equal."""
+    return _SINGLE.unpack(_SINGLE.pack(weight))[0]
+
+
 class Transducer:
     """A compiled model."""
 
@@ -137,7 +145,8 @@ class Transducer:
         #: by its last two characters, the lengths that an arc may have, the longest first
         self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
         shared = {c for p in self.arcs if len(p) > 1 for c in p} - {SPACE}
-        self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.arcs)
+        # weights of a unigram model are rounded as they add up, from the beginning of a text
+        self.crossing = not self.merges or any(SPACE in p.lstrip(SPACE) for p in self.arcs)
         inner = "[" + "".join(map(re.escape, sorted(shared))) + "]" if shared else "(?!)"
         self.cut = re.compile(f"{SPACE}+{inner}*|{inner}+|.", re.DOTALL)
         self.junctions: dict[tuple[str, str], float] = {}
@@ -183,7 +192,7 @@ class Transducer:
             # the arc of one character, which in a merge model is the one where no longer arc is finite
             by = text[end - 1]
             arc = arcs.get(by) or self.arc(by)
-            single = least[end - 1] + arc[0]
+            single = least[end - 1] + arc[0] if merges else _single(least[end - 1] + arc[0])
             best = INFINITY if merges else single
             for size in lengths.get(text[end - 2 : end], ()):
                 at = end - size
@@ -191,7 +200,7 @@ class Transducer:
                 arc = arcs.get(piece)
                 if arc is None or at < 0:
                     continue
-                weight = least[at] + arc[0]
+                weight = least[at] + arc[0] if merges else _single(least[at] + arc[0])
                 if merges:
                     left = entered[at]
                     join = known.get((left, piece))
@@ -233,6 +242,9 @@ class Transducer:
         self.compose(itertools.chain.from_iterable(cut))
         paths, chain = self.paths, itertools.chain.from_iterable
         found = [list(chain([paths[c] for c in cuts])) for cuts in cut]
+        if self.crossing:
+            # whole texts are no cuts to keep
+            paths.clear()
         if self.byte_ids:
             return found
         # a run of unknown characters is one unknown id
