@@ -24,9 +24,11 @@ from __future__ import annotations
 import json
 import os
 import struct
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +160,23 @@ def _parts_by_word(parts: dict) -> bool:
     return known and parts["model"].get("end_of_word_suffix") == "</w>"
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign that a byte-level tokenizer has for each byte: printable ones stand for themselves, the others follow from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_SIGNS = _byte_signs()
+#: Letters before this one are the same in every version of the character tables.
+LATIN_END = "\u0250"
+
+
+@lru_cache(maxsize=None)
+def _pack(n: int) -> Callable[..., bytes]:
+    return struct.Struct(f"{n}I").pack
+
+
 class _Words:
     """Token ids of texts, by way of the ids of their words.
 
@@ -176,6 +195,7 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = _parts_by_word(json.loads(self.tokenizer.to_str()))
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> _Words:
@@ -186,12 +206,24 @@ class _Words:
 
     def _learn(self, words: list[str]) -> None:
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        missing = [w for w in words if w not in self.known]
-        model, plain = self.tokenizer.model, []
-        for w in missing:
-            if w.isascii() and w.isalpha() and w.islower():
-                self.known[w] = struct.pack(f"{len(t := model.tokenize(w))}I", *[x.id for x in t])
+            # words that were asked for since the last time stay known
+            self.known, self.before = {}, self.known
+        known, before, tokenize, plain = self.known, self.before, self.tokenizer.model.tokenize, []
+        for w in words:
+            if w in known:
+                continue
+            if w in before:
+                known[w] = before[w]
+                continue
+            if w.isalpha() and w.islower():
+                if w.isascii():
+                    found = tokenize(w)
+                elif max(w) < LATIN_END and unicodedata.is_normalized("NFC", w):
+                    found = tokenize(w.encode().decode("latin-1").translate(BYTE_SIGNS))
+                else:
+                    plain.append(w)
+                    continue
+                known[w] = _pack(len(found))(*[t.id for t in found])
             else:
                 plain.append(w)
         for at in range(0, len(plain), 20_000):
