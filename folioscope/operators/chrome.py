@@ -16,10 +16,21 @@ MAJORITY, MIN_PAGES, MAX_BAND, RASTER_BAND, RASTER_SHARE, MIN_PIXELS = 0.5, 2, 0
 DIGITS_ONLY = "__digits__"
 
 
-def with_signature(lines: DataFrame, text: str = "text") -> DataFrame:
-    """Adds sig: the letters of the text, or a mark for a text of digits alone."""
-    letters = T.signature(F.col(text))
-    return lines.withColumn("sig", F.when(letters != "", letters).when(F.col(text).rlike(r"\d"), DIGITS_ONLY).otherwise(""))
+def page_elements(blocks: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, kind, sig, band, x0, y0, x1, y1: what may run over pages, from text blocks (text) and images (digest) with their boxes.
+
+    A text's signature is its letters, or a mark where it has none; an image's its digest.  The band is
+    'top' or 'bottom' where the centre lies in the outer fifth of the page.  Blank texts are no elements,
+    and null ones neither.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    letters = T.signature(F.col("text"))
+    texts = blocks.where(T.strip(F.col("text")) != "").select("doc_id", "page_no", F.lit("text").alias("kind"), F.when(letters != "", letters).otherwise(DIGITS_ONLY).alias("sig"), *box)
+    rasters = images.select("doc_id", "page_no", F.lit("image").alias("kind"), F.concat(F.lit("img:"), "digest").alias("sig"), *box)
+    placed = texts.unionByName(rasters).join(pages.select("doc_id", "page_no", "height"), ["doc_id", "page_no"])
+    centre = (F.col("y0") + F.col("y1")) / 2 / F.when(F.col("height") > 0, F.col("height")).otherwise(1.0)
+    band = F.when(centre < MAX_BAND, "top").when(centre > 1.0 - MAX_BAND, "bottom")
+    return placed.select("doc_id", "page_no", "kind", "sig", band.alias("band"), *box)
 
 
 def running_keys(elements: DataFrame, pages: DataFrame) -> DataFrame:

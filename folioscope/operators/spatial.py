@@ -28,6 +28,12 @@ def without_overlapping(regions: DataFrame, others: DataFrame, share: float = OV
     return regions.join(b, hit, "left_anti")
 
 
+def graphics(drawings: DataFrame, images: DataFrame) -> DataFrame:
+    """doc_id, page_no and box of all drawings and images that are no thin rules: 3 points at least either way."""
+    both = drawings.select(*PAGE, *G.SIDES).unionByName(images.select(*PAGE, *G.SIDES))
+    return both.where((F.col("x1") - F.col("x0") >= MIN_GRAPHIC) & (F.col("y1") - F.col("y0") >= MIN_GRAPHIC))
+
+
 def refined(boxes: DataFrame, graphics: DataFrame, pages: DataFrame) -> DataFrame:
     """Each box (box_id) grown to the graphics that lie in it by three tenths, with a margin, within the page.
 

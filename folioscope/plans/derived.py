@@ -7,8 +7,11 @@ those of the inline queries, over the same derived tables.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import chrome, spatial
 from . import checks, figures, layout, markup, regions, tables, text
-from .registry import Derived, on_tables
+from .registry import Derived, on_tables, query, table
 
 # regions: whole numbers, so that areas are exact
 BOXES = Derived("""SELECT l_orderkey AS doc_id, CAST(min(l_linenumber) % 2 AS INT) AS page_no, l_partkey AS box_id, min(l_quantity) * 8 AS x0, CAST(min(l_suppkey) % 40 AS DOUBLE) * 15 AS y0,
@@ -124,3 +127,44 @@ for name in ("math_presence", "figure_placement", "structural_counts", "oversize
 SOURCES = Derived("SELECT conv_id * 1000 + turn AS doc_id, text FROM {conversations}")
 OUTPUTS = Derived("SELECT conv_id * 1000 + turn AS doc_id, CASE WHEN turn % 3 = 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) ELSE '# ' END || substr(text, 1, CAST(floor(length(text) * (turn % 4 + 1) / 5) AS INT)) AS text FROM {conversations}")
 on_tables("coverage_summary", {text.SOURCES: SOURCES, text.OUTPUTS: OUTPUTS})
+
+
+# elements, graphics and covers, which no inline table has
+BLOCKS = Derived("""SELECT doc_id, CAST(doc_id % 3 AS INT) AS page_no, CASE doc_id % 7 WHEN 0 THEN ' ' WHEN 1 THEN '12 - 34' ELSE substr(text, 1, 80) END AS text, CAST(50 AS DOUBLE) AS x0, CAST(doc_id % 80 AS DOUBLE) * 10 AS y0, CAST(500 AS DOUBLE) AS x1, CAST(doc_id % 80 AS DOUBLE) * 10 + 12 AS y1 FROM {documents}""")
+BLOCK_IMAGES = Derived("""SELECT doc_id, CAST(doc_id % 2 AS INT) AS page_no, source AS digest, CAST(10 AS DOUBLE) AS x0, CAST(doc_id % 70 AS DOUBLE) * 11 AS y0, CAST(20 AS DOUBLE) AS x1, CAST(doc_id % 70 AS DOUBLE) * 11 + CAST(doc_id % 9 AS DOUBLE) AS y1 FROM {documents}""")
+BLOCK_PAGES = Derived("SELECT doc_id, 0 AS page_no, CAST(842 AS DOUBLE) AS height FROM {documents} UNION ALL SELECT doc_id, 1, CAST(800 AS DOUBLE) FROM {documents} UNION ALL SELECT doc_id, 2, CAST(0 AS DOUBLE) FROM {documents}")
+SIGNATURE = r"regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[^a-z]+', '', 'g')"
+
+
+@query(
+    "page_elements",
+    f"""WITH {BLOCKS.cte('blocks')}, {BLOCK_IMAGES.cte('images')}, {BLOCK_PAGES.cte('pages_')},
+    e AS (SELECT doc_id, page_no, 'text' AS kind, coalesce(nullif({SIGNATURE}, ''), '__digits__') AS sig, x0, y0, x1, y1 FROM blocks WHERE trim(text) <> '' UNION ALL SELECT doc_id, page_no, 'image', 'img:' || digest, x0, y0, x1, y1 FROM images),
+    c AS (SELECT e.*, (y0 + y1) / 2 / CASE WHEN height > 0 THEN height ELSE 1 END AS centre FROM e JOIN pages_ USING (doc_id, page_no))
+    SELECT doc_id, page_no, kind, sig, CASE WHEN centre < 0.2 THEN 'top' WHEN centre > 0.8 THEN 'bottom' END AS band, x0, y0, x1, y1 FROM c""",
+)
+def page_elements(spark, sf_dir):
+    return chrome.page_elements(*[d.df(spark, sf_dir) for d in (BLOCKS, BLOCK_IMAGES, BLOCK_PAGES)])
+
+
+@query("graphic_boxes", f"WITH {COVERS.cte('a')}, {BLOCK_IMAGES.cte('b')}, u AS (SELECT * FROM a UNION ALL SELECT doc_id, page_no, x0, y0, x1, y1 FROM b) SELECT * FROM u WHERE x1 - x0 >= 3 AND y1 - y0 >= 3")
+def graphic_boxes(spark, sf_dir):
+    """Drawings and images that are no thin rules."""
+    return spatial.graphics(COVERS.df(spark, sf_dir), BLOCK_IMAGES.df(spark, sf_dir))
+
+
+COVER_LINES = """l AS (SELECT doc_id, (i - 1) // 32 AS page_no, i AS line_no, CASE WHEN i % 97 = 5 THEN '3.1 Scope' ELSE l[i] END AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS rn FROM l WHERE regexp_matches(text, '[^\\s]'))"""
+
+
+@query(
+    "cover_pages",
+    f"""WITH {COVER_LINES}, f AS (SELECT doc_id, page_no, count(*) AS n, bool_or(rn <= 10 AND regexp_matches(text, '^\\s*\\d+(\\.\\d+)*\\s+\\S')) AS numbered FROM n GROUP BY ALL), p AS (SELECT DISTINCT doc_id, page_no FROM l)
+    SELECT doc_id, page_no, coalesce(n, 0) <= 30 AND NOT coalesce(numbered, false) AND NOT (doc_id % 4 = 0 AND page_no = 0) AS is_cover FROM p LEFT JOIN f USING (doc_id, page_no)""",
+)
+def cover_pages(spark, sf_dir):
+    """Which pages of 32 lines look like covers: few lines, no numbered heading near the top, no table."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = lines.select("doc_id", F.floor(F.col("i") / 32).alias("page_no"), (F.col("i") + 1).alias("line_no"), F.when((F.col("i") + 1) % 97 == 5, "3.1 Scope").otherwise(F.col("line")).alias("text"))
+    pages = lines.select("doc_id", "page_no").distinct()
+    return spatial.cover_pages(lines, pages.where("doc_id % 4 = 0 and page_no = 0"), pages)
