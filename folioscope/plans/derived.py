@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chrome, spatial
+from ..operators import chrome, spatial, verify
+from ..operators.store import stored
 from . import checks, figures, layout, markup, regions, tables, text
-from .registry import Derived, on_tables, query, table
+from .registry import ORACLE_SQL, Derived, on_tables, query, table
 
 # regions: whole numbers, so that areas are exact
 BOXES = Derived("""SELECT l_orderkey AS doc_id, CAST(min(l_linenumber) % 2 AS INT) AS page_no, l_partkey AS box_id, min(l_quantity) * 8 AS x0, CAST(min(l_suppkey) % 40 AS DOUBLE) * 15 AS y0,
@@ -168,3 +169,63 @@ def cover_pages(spark, sf_dir):
     lines = lines.select("doc_id", F.floor(F.col("i") / 32).alias("page_no"), (F.col("i") + 1).alias("line_no"), F.when((F.col("i") + 1) % 97 == 5, "3.1 Scope").otherwise(F.col("line")).alias("text"))
     pages = lines.select("doc_id", "page_no").distinct()
     return spatial.cover_pages(lines, pages.where("doc_id % 4 = 0 and page_no = 0"), pages)
+
+
+@query(
+    "heading_outline",
+    f"""{figures.MATCHES.replace("WITH ", "WITH RECURSIVE ", 1).replace(figures.TITLES.cte, TITLES.cte("titles")).replace(figures.HEADS.cte, HEADS.cte("heads"))},
+    o AS (SELECT doc_id, heading_no, row_number() OVER (PARTITION BY doc_id ORDER BY title_no) AS i FROM r WHERE heading_no IS NOT NULL),
+    w AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, []::INTEGER[] AS tails FROM r UNION ALL
+        SELECT w.doc_id, o.i, list_concat(list_filter(w.tails, lambda x: x < o.heading_no), [o.heading_no], w.tails[len(list_filter(w.tails, lambda x: x < o.heading_no)) + 2:]) FROM w JOIN o ON w.doc_id = o.doc_id AND o.i = w.i + 1),
+    l AS (SELECT doc_id, max(i) AS matched, arg_max(len(tails), i) AS longest FROM w GROUP BY doc_id), c AS (SELECT doc_id, count(*) AS titles, count(*) FILTER (heading_no IS NULL) AS missing FROM r GROUP BY doc_id)
+    SELECT doc_id, titles, missing, (matched - longest)::INTEGER AS reordered FROM c JOIN l USING (doc_id)""",
+)
+def heading_outline(spark, sf_dir):
+    """Titles without a heading, and headings out of order: those outside the longest increasing run."""
+    return figures.figures.outline_stats(figures.figures.heading_matches(TITLES.df(spark, sf_dir), HEADS.df(spark, sf_dir), by_ratio=False))
+
+
+KINDS = Derived("SELECT conv_id AS doc_id, CAST(turn AS INT) AS seq, CASE (conv_id + turn + turn * turn * length(text)) % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'caption' WHEN 2 THEN 'caption' ELSE 'table' END AS kind FROM {conversations}")
+
+
+@query(
+    "caption_runs",
+    f"""WITH {KINDS.cte('blocks')}, t AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM (SELECT *, (kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY seq))::INT AS new FROM blocks)),
+    g AS (SELECT doc_id, run, kind, count(*) AS n, list(seq ORDER BY seq) AS seqs FROM t GROUP BY ALL), p AS (SELECT a.doc_id, a.seqs AS captions, b.seqs AS tables_ FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.run = a.run + 1 WHERE a.kind = 'caption' AND b.kind = 'table' AND a.n = b.n AND a.n > 1)
+    SELECT doc_id, captions[i]::BIGINT AS caption_no, tables_[i]::BIGINT AS table_no FROM (SELECT *, unnest(range(1, len(captions) + 1)) AS i FROM p)""",
+)
+def caption_runs(spark, sf_dir):
+    """Runs of captions paired with as many tables that follow them."""
+    return figures.figures.caption_zip(KINDS.df(spark, sf_dir))
+
+
+CAPTION_LINES = Derived("SELECT conv_id AS doc_id, CAST(turn AS INT) AS line_no, CASE (conv_id + turn + turn * turn * length(text)) % 6 WHEN 0 THEN '' WHEN 1 THEN ': ' || role WHEN 2 THEN '  | ' || role || ' |' WHEN 3 THEN '![](' || role || '.png)' WHEN 4 THEN ' ' ELSE role END AS line FROM {conversations}")
+
+
+@query(
+    "caption_owners",
+    f"""WITH {CAPTION_LINES.cte('lines_')}, k AS (SELECT *, CASE WHEN starts_with(ltrim(line), '|') THEN 'table' WHEN starts_with(ltrim(line), '![') THEN 'image' WHEN regexp_matches(line, '^:\\s+\\S') THEN 'caption' ELSE 'text' END AS kind FROM lines_ WHERE trim(line) <> ''),
+    n AS (SELECT *, lag(kind) OVER w AS above, lead(kind) OVER w AS below FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+    SELECT doc_id, line_no, CASE WHEN above IN ('table', 'image') THEN above WHEN below IN ('table', 'image') THEN below ELSE 'none' END AS owner FROM n WHERE kind = 'caption'""",
+)
+def caption_owners(spark, sf_dir):
+    """What stands next to each caption line."""
+    return figures.figures.captions_of(CAPTION_LINES.df(spark, sf_dir))
+
+
+CHECKED = ("math_presence", "figure_placement", "structural_counts", "oversized_tables", "wide_table_legibility", "footnote_placement")
+
+
+@query(
+    "check_reports",
+    "WITH c AS (" + " UNION ALL ".join(f"SELECT doc_id, status FROM ({ORACLE_SQL[f'check_{name}_on_tables']})" for name in CHECKED) + ") "
+    "SELECT doc_id, CASE max(CASE status WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'ok' END AS status, count(*) AS checks FROM c GROUP BY doc_id",
+)
+def check_reports(spark, sf_dir):
+    """The reports of six checks over all documents, written as Markdown and JSON and read back."""
+    grid = F.array_repeat(F.array_repeat(F.lit("x"), F.col("n_columns")), F.col("n_rows"))
+    grids = CHECK_GRIDS.df(spark, sf_dir).select("doc_id", "table_no", grid.alias("grid"))
+    docs = verify.DocSet(OUT.df(spark, sf_dir), figures=CHECK_FIGS.df(spark, sf_dir), lines=CHECK_LINES.df(spark, sf_dir), grids=grids)
+    told = stored(verify.reports(verify.run(docs, list(CHECKED))), "reports")
+    n = F.size(F.from_json("payload", "checks array<struct<name: string>>")["checks"]).cast("long")
+    return verify.parse_reports(told).select("doc_id", "status").join(told.select("doc_id", n.alias("checks")), "doc_id")
