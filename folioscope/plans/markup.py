@@ -18,9 +18,16 @@ def pages(spark, sf_dir):
 HREF = "regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1)"
 
 
-@query("links_extracted", f"WITH u AS (SELECT page_id, trim(unnest({HREF})) AS uri FROM pages) SELECT DISTINCT page_id, uri FROM u WHERE regexp_matches(lower(uri), '^(http://|https://|ftp://|mailto:|www\\.)')")
+@query(
+    "links_extracted",
+    f"""WITH r AS (SELECT page_id, replace(html, 'href="/', 'href="' || regexp_extract(coalesce(url, ''), '^(https?://[^/]+)', 1) || '/') AS html FROM pages), u AS (SELECT page_id, trim(unnest({HREF})) AS uri FROM r)
+    SELECT DISTINCT page_id, uri FROM u WHERE regexp_matches(lower(uri), '^(http://|https://|ftp://|mailto:|www\\.)')""",
+)
 def links_extracted(spark, sf_dir):
-    return markup.links(pages(spark, sf_dir), *PAGE_DOCS)
+    """The addresses of each page's anchors, relative ones made whole by the page's own."""
+    origin = F.regexp_extract(F.coalesce("url", F.lit("")), "^(https?://[^/]+)", 1)
+    whole = pages(spark, sf_dir).select("page_id", F.replace("html", F.lit('href="/'), F.concat(F.lit('href="'), origin, F.lit("/"))).alias("html"))
+    return markup.links(whole, *PAGE_DOCS)
 
 
 @query("html_tag_counts", "WITH t AS (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)\\b', 1))) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL")
