@@ -102,7 +102,7 @@ def stream_progress(spark, sf_dir):
     """The rows that each run of a stream took in, by its listener."""
     with ProgressLog(spark, scratch(spark, "progress")) as log:
         in_waves(spark, sf_dir, lambda e: jobs.timed(e, late=LATE).select("event_id", "ts"), "stream_progress", log=log)
-    batches = log.table().where("kind = 'batch'").groupBy("run").agg(F.sum("input_rows").alias("input_rows"), F.min("batch").alias("first"))
+    batches = log.table().where("kind = 'batch' and input_rows > 0").groupBy("run").agg(F.sum("input_rows").alias("input_rows"), F.min("batch").alias("first"))
     # a handful of rows: one a run
     runs = [r["run"] for r in batches.orderBy("first").collect()]
     number = F.array_position(F.array(*map(F.lit, runs)), F.col("run")) - 1
