@@ -49,7 +49,6 @@ SPACE, UNKNOWN_WEIGHT = "▁", 10.0
 #: Cached cuts and junctions of a worker: these bound its memory.
 CACHED, ROWS = 600_000, 1000
 INFINITY = float("inf")
-_SINGLE = struct.Struct("f")
 
 
 class Normaliser:
@@ -109,7 +108,7 @@ class Normaliser:
 
 def _single(weight: float) -> float:
     """In single precision, in which models are scored: it decides between paths that are almost equal."""
-    return _SINGLE.unpack(_SINGLE.pack(weight))[0]
+    return struct.unpack("f", struct.pack("f", weight))[0]
 
 
 class Transducer:
