@@ -78,25 +78,36 @@ def heading_matches(titles: DataFrame, headings: DataFrame, by_ratio: bool = Tru
     """doc_id, title_no, heading_no: the first heading of the document that is like the title; null where there is none.
 
     titles: doc_id, title_no, title_key; headings: doc_id, heading_no, heading_key (normalised, without
-    numbers).  Equal, contained (six characters at least) or of a high ratio.  Pairs are made within
-    a document only; of those that are neither equal nor contained, ``similar_pairs`` finds the ones
-    of a high ratio.
+    numbers).  Equal, contained (six characters at least) or of a high ratio.  Only different texts of a
+    document meet, each text once, and a contained one meets where the rarest piece of it stands;
+    ``similar_pairs`` finds those of a high ratio.
     """
-    pairs = titles.join(headings, "doc_id").where("title_key <> '' and heading_key <> ''")
-    short = F.when(F.length("title_key") <= F.length("heading_key"), F.col("title_key")).otherwise(F.col("heading_key"))
-    long = F.when(F.length("title_key") <= F.length("heading_key"), F.col("heading_key")).otherwise(F.col("title_key"))
-    plain = pairs.withColumn("alike", (F.col("title_key") == F.col("heading_key")) | ((F.length(short) >= CONTAINED) & F.contains(long, short)))
-    found = plain.where("alike").groupBy("doc_id", "title_no").agg(F.min("heading_no").alias("heading_no"))
+    asked = titles.where("title_key <> ''").select("doc_id", "title_key").distinct()
+    heads = headings.where("heading_key <> ''").groupBy("doc_id", "heading_key").agg(F.min("heading_no").alias("heading_no"))
+    keyed = lambda df, c: df.select("doc_id", F.col(c).alias("text")).distinct()
+    a, b = keyed(asked, "title_key"), keyed(heads, "heading_key")
+    named = lambda df, left, right: df.select("doc_id", F.col(left).alias("title_key"), F.col(right).alias("heading_key"))
+    alike = asked.join(b, (asked.doc_id == b.doc_id) & (asked.title_key == b.text)).select(asked.doc_id, "title_key", F.col("text").alias("heading_key"))
+    alike = alike.unionByName(named(_contained(a, b), "short", "long")).unionByName(named(_contained(b, a), "long", "short"))
     if by_ratio:
-        texts = lambda df, c: df.select("doc_id", F.col(c).alias("text"))
-        like = similar_pairs(texts(titles, "title_key"), texts(headings, "heading_key"), SIMILAR, ["doc_id"])
-        like = like.select(F.col("doc_id").alias("of"), "left", "right")
-        near = titles.join(like, (F.col("doc_id") == F.col("of")) & (F.col("title_key") == F.col("left"))).select("of", "title_no", "right")
-        near = headings.join(near, (F.col("doc_id") == F.col("of")) & (F.col("right") == F.col("heading_key"))).select("doc_id", "title_no", "heading_no")
-        found = found.unionByName(near).groupBy("doc_id", "title_no").agg(F.min("heading_no").alias("heading_no"))
+        alike = alike.unionByName(named(similar_pairs(a, b, SIMILAR, ["doc_id"]), "left", "right"))
+    found = alike.join(heads, ["doc_id", "heading_key"]).groupBy("doc_id", "title_key").agg(F.min("heading_no").alias("heading_no"))
+    found = titles.join(found, ["doc_id", "title_key"]).groupBy("doc_id", "title_no").agg(F.min("heading_no").alias("heading_no"))
     return titles.select("doc_id", "title_no").join(found, ["doc_id", "title_no"], "left")
 
 
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """doc_id, short, long: texts (doc_id, text; distinct) of ``CONTAINED`` characters or more that stand in another text of their document."""
+    places = F.sequence(F.lit(1), F.length("text") - (CONTAINED - 1))
+    pieces = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(CONTAINED))))
+    cut = lambda df, name: df.where(F.length("text") >= CONTAINED).select("doc_id", F.col("text").alias(name), F.explode(pieces).alias("piece"))
+    index = cut(long, "long")
+    times = index.groupBy("doc_id", "piece").agg(F.count("*").alias("n"))
+    rarest = cut(short, "short").join(times, ["doc_id", "piece"]).groupBy("doc_id", "short").agg(F.min(F.struct("n", "piece")).alias("rare"))
+    asked = rarest.select(F.col("doc_id").alias("of"), "short", F.col("rare.piece").alias("rare"))
+    return index.join(asked, (F.col("doc_id") == F.col("of")) & (F.col("piece") == F.col("rare")) & F.contains("long", "short")).select("doc_id", "short", "long")
+
+
 def outline_stats(matches: DataFrame) -> DataFrame:
     """doc_id, titles, missing, reordered: titles without a heading, and those out of order among the matched."""
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("heading_no").isNotNull(), F.struct("title_no", "heading_no")))), lambda s: s["heading_no"].cast("int"))
