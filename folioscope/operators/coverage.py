@@ -19,6 +19,8 @@ from .store import stored
 MIN_TOKENS, SHORT_TOKENS, SHINGLE_HIT, CONTAIN_HIT, WINDOW_SLACK = 5, 7, 0.5, 0.8, 5
 #: Places of a text that are one block of the positional index.
 BLOCK = 16
+#: Sentences of a document that are looked up together.
+GROUP = 16
 RECOVERY = r"(?s)<!-- (?:repair|postfix): missing-text (?:recovery|rescue) -->.*"
 
 
@@ -62,9 +64,16 @@ def short_covered(needle: Column, output: Column) -> Column:
     """
 
     def of(need: Column, found: Column, window: Column) -> Column:
-        times = F.transform(need, lambda t: F.size(F.filter(found, lambda o: o == t)))
+        # one pass over the output; what follows sees the places of the needle's tokens alone
+        places = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>"))
+        at = F.filter(places, lambda i: F.array_contains(need, F.element_at(found, i)))
+        return T.let(at, lambda a: around(need, found, window, a))
+
+    def around(need: Column, found: Column, window: Column, at: Column) -> Column:
+        words = F.transform(at, lambda i: F.element_at(found, i))
+        times = T.let(words, lambda w: F.transform(need, lambda t: F.size(F.filter(w, lambda o: o == t))))
         rare = T.let(times, lambda n: F.filter(need, lambda t, i: F.element_at(n, i + 1) == F.array_min(n)))
-        places = T.let(rare, lambda r: F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: F.array_contains(r, F.element_at(found, i))))
+        places = T.let(rare, lambda r: F.filter(at, lambda i: F.array_contains(r, F.element_at(found, i))))
 
         def near(p: Column) -> Column:
             low = F.greatest(F.lit(1), p - window)
@@ -76,28 +85,6 @@ def short_covered(needle: Column, output: Column) -> Column:
     return T.let(bound, lambda s: of(s["need"], s["found"], s["window"]))
 
 
-def _short_lines(short: DataFrame, plain: DataFrame) -> DataFrame:
-    """``short`` (doc_id, sentence_no, sentence, normal, n_tokens) with ``covered``: the rule of ``short_covered`` as a join.
-
-    Only places of a needle's tokens in its document's output are rows; the tokens around an
-    anchor are counted in a frame of positions, one for each length that a short line may have.
-    """
-    need = short.select("doc_id", "sentence_no", "n_tokens", F.array_distinct(T.tokens_of_normal(F.col("normal"))).alias("need"))
-    asked = need.select("doc_id", "sentence_no", "n_tokens", F.size("need").alias("needed"), F.explode("need").alias("token"))
-    placed = plain.join(need.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode("output").alias("place", "token"))
-    line = Window.partitionBy("doc_id", "sentence_no")
-    hits = asked.join(placed, ["doc_id", "token"]).withColumn("times", F.count("*").over(Window.partitionBy("doc_id", "sentence_no", "token")))
-    # a token that is nowhere is the rarest, and stands in no window
-    hits = hits.withColumn("found", F.size(F.collect_set("token").over(line))).where("found = needed").withColumn("rarest", F.min("times").over(line))
-    around = None
-    for n in range(MIN_TOKENS, SHORT_TOKENS + 1):
-        frame = line.orderBy("place").rangeBetween(-(n + WINDOW_SLACK), n + WINDOW_SLACK)
-        near = F.size(F.collect_set("token").over(frame))
-        around = F.when(F.col("n_tokens") == n, near) if around is None else around.when(F.col("n_tokens") == n, near)
-    near = hits.withColumn("near", around).where((F.col("times") == F.col("rarest")) & (F.col("near") >= CONTAIN_HIT * F.col("needed")))
-    return short.join(near.select("doc_id", "sentence_no", F.lit(True).alias("hit")).distinct(), ["doc_id", "sentence_no"], "left").withColumn("covered", F.col("hit").isNotNull()).drop("hit")
-
-
 def short_lines_anywhere(needles: DataFrame, outputs: DataFrame) -> DataFrame:
     """(needle_id, doc_id) of the short lines that an output covers, by the rule of ``short_covered``, each against every output.
 
@@ -134,16 +121,33 @@ def sentence_coverage(sources: DataFrame, outputs: DataFrame) -> DataFrame:
 
     sources: doc_id, text; outputs: doc_id, text (markup); a doc_id stands once in each.  A document
     without output, or with a null one, covers nothing; null sources have no sentences.  Rows:
-    doc_id, sentence_no, sentence, n_tokens, covered.
+    doc_id, sentence_no, sentence, n_tokens, covered.  Only the two texts of a document are shuffled, once;
+    sentences are looked up in groups: what a group has in common with the output is a small array
+    that each of its sentences is compared with.
     """
-    wanted = sentence_rows(sources)
-    plain = outputs.select("doc_id", T.tokens(T.plain_text(F.regexp_replace(F.coalesce("text", F.lit("")), RECOVERY, ""))).alias("output"))
-    told = ["doc_id", "sentence_no", "sentence", "n_tokens"]
-    short = _short_lines(wanted.where(F.col("n_tokens") <= SHORT_TOKENS), plain).select(*told, "covered")
-    pieces = wanted.where(F.col("n_tokens") > SHORT_TOKENS).select(*told, F.explode(T.shingle_hashes(T.tokens_of_normal(F.col("normal")))).alias("shingle"))
-    held = plain.select("doc_id", F.explode(T.shingle_hashes(F.col("output"))).alias("shingle"), F.lit(1).alias("hit"))
-    long = pieces.join(held, ["doc_id", "shingle"], "left").groupBy(*told).agg((F.count("hit") >= SHINGLE_HIT * F.count("*")).alias("covered"))
-    return short.unionByName(long)
+    met = sources.select("doc_id", F.col("text").alias("source")).join(outputs.select("doc_id", F.col("text").alias("markup")), "doc_id", "left")
+    plain = T.tokens(T.plain_text(F.regexp_replace(F.coalesce("markup", F.lit("")), RECOVERY, "")))
+    cut = F.transform(T.sentences(F.col("source")), lambda s, i: F.struct(i.alias("sentence_no"), s.alias("sentence"), T.tokens(s).alias("need")))
+    cut = met.select("doc_id", F.filter(cut, lambda s: F.size(s["need"]) >= MIN_TOKENS).alias("cut"), plain.alias("output")).where("size(cut) > 0")
+    long = lambda s: F.size(s["need"]) > SHORT_TOKENS
+    hashed = F.transform("cut", lambda s: s.withField("hashes", F.when(long(s), T.shingle_hashes(s["need"])).otherwise(F.array().cast("array<long>"))))
+    told = cut.select("doc_id", hashed.alias("cut"), "output", T.shingle_hashes(F.col("output")).alias("held"))
+
+    def covered(s: Column, hits: Column) -> Column:
+        words = F.array_distinct(s["need"])
+        there = F.size(F.array_intersect(s["need"], hits["words"])) == F.size(words)
+        short = F.when(there, short_covered(s["need"], F.col("output"))).otherwise(False)
+        return F.when(long(s), F.size(F.array_intersect(s["hashes"], hits["held"])) >= SHINGLE_HIT * F.size(s["hashes"])).otherwise(short)
+
+    def grouped(group: Column) -> Column:
+        asked = F.flatten(F.transform(F.filter(group, lambda s: ~long(s)), lambda s: s["need"]))
+        held = F.array_intersect(F.flatten(F.transform(group, lambda s: s["hashes"])), F.col("held"))
+        # most groups have no short line
+        hits = F.struct(held.alias("held"), T.let(asked, lambda a: F.when(F.size(a) > 0, F.array_intersect(a, F.col("output"))).otherwise(a)).alias("words"))
+        return T.let(hits, lambda h: F.transform(group, lambda s: F.struct(s["sentence_no"].alias("sentence_no"), s["sentence"].alias("sentence"), F.size(s["need"]).alias("n_tokens"), covered(s, h).alias("covered"))))
+
+    firsts = F.sequence(F.lit(1), F.size("cut"), F.lit(GROUP))
+    return told.select("doc_id", F.inline(F.flatten(F.transform(firsts, lambda i: T.let(F.slice("cut", i, F.lit(GROUP)), grouped)))))
 
 
 def coverage_summary(sentences: DataFrame) -> DataFrame:
