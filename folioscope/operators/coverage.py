@@ -125,7 +125,9 @@ def sentence_coverage(sources: DataFrame, outputs: DataFrame) -> DataFrame:
     sentences are looked up in groups: what a group has in common with the output is a small array
     that each of its sentences is compared with.
     """
-    met = sources.select("doc_id", F.col("text").alias("source")).join(outputs.select("doc_id", F.col("text").alias("markup")), "doc_id", "left")
+    # dealt out by document whatever the size: what follows is far more work than the join
+    markup = outputs.select("doc_id", F.col("text").alias("markup")).hint("merge")
+    met = sources.select("doc_id", F.col("text").alias("source")).join(markup, "doc_id", "left")
     plain = T.tokens(T.plain_text(F.regexp_replace(F.coalesce("markup", F.lit("")), RECOVERY, "")))
     cut = F.transform(T.sentences(F.col("source")), lambda s, i: F.struct(i.alias("sentence_no"), s.alias("sentence"), T.tokens(s).alias("need")))
     cut = met.select("doc_id", F.filter(cut, lambda s: F.size(s["need"]) >= MIN_TOKENS).alias("cut"), plain.alias("output")).where("size(cut) > 0")

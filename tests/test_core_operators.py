@@ -252,3 +252,50 @@ def test_source_tables(spark):
     df = spark.createDataFrame(grids, "doc_id int, table_no int, grid array<array<string>>")
     pages = spark.createDataFrame([(1, 6), (2, 1)], "doc_id int, total_pages int")
     assert rows(verify.source_tables(df, pages)) == [(1, 8, "a b c"), (2, 1, "a b")]
+
+
+# figures of larger tables
+
+
+def test_sentence_coverage_moves_texts_alone(spark):
+    """The two texts of a document are shuffled, no row for each shingle or token."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    plan = coverage.coverage_summary(coverage.sentence_coverage(docs, docs))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("SortMergeJoin") and "Window" not in plan
+
+
+def test_short_covered_without_output(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "d", "e"], []), (["a", "b", "c", "d", "e"], ["e", "d", "x", "b", "a", "c"]), ([], ["a"])], "n array<string>, o array<string>")
+    assert [r[0] for r in df.select(coverage.short_covered(F.col("n"), F.col("o"))).collect()] == [False, True, True]
+
+
+def test_normalize(spark):
+    """As the single steps say, with every ASCII character beside others; no pattern tries what is not in a class."""
+    texts = [None, "", " ", "a-\n b", "a - \n\n b-c", "x  ,y", ", ,", "É-\nß ﬁ9", *["A" + chr(c) + " b" + chr(c) * 2 + "c" for c in range(128)]]
+
+    def plain(t):
+        t = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+        return re.sub(r"[ \t\n\v\f\r]+", " ", re.sub("[^a-z0-9 ]+", " ", re.sub(r"-[ \t\n\v\f\r]*\n[ \t\n\v\f\r]*", "", t).lower())).strip(" ")
+
+    normal = T.normalize(F.col("t"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", normal.alias("n"))
+    assert all(n == (None if t is None else plain(t)) for t, n in df.collect())
+    assert "[^" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_heading_matches_of_copies(spark):
+    """Copies of a text don't meet one by one: candidates are pairs of different texts."""
+    titles = spark.range(300).selectExpr("1L as doc_id", "int(id) as title_no", "concat('title of ', id % 3) as title_key")
+    headings = spark.range(300).selectExpr("1L as doc_id", "int(id) as heading_no", "concat('the title of ', id % 5) as heading_key")
+    got = figures.heading_matches(titles, headings, by_ratio=False)
+    assert rows(got) == rows(spark.createDataFrame([(1, i, i % 3) for i in range(300)], "a long, b int, c int"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(heading_key" not in plan and "Contains(title_key" not in plan
+
+
+def test_quota_code(spark):
+    from folioscope.operators import accounting
+
+    told = {"Error 429": "quota", "429 Too many": "quota", "http 429 sent": "quota", "no answer in 429 s": "other", "no answer in 1429 s": "other", "wait 429.5 seconds": "other", "user 14290": "other", "(429)": "quota", "429.": "quota"}
+    df = spark.createDataFrame(list(told.items()), "m string, c string")
+    assert [r["m"] for r in df.where(accounting.error_class(F.lit(500), F.col("m")) != F.col("c")).collect()] == []
