@@ -62,6 +62,17 @@ def test_similar_pairs_of_pages(spark):
     assert {(r["left"], r["right"]) for r in got} == brute_pairs(left, right, 0.85)
 
 
+def test_few_pairs_are_measured(spark):
+    """Of strings over the same letters hardly any pair is measured, though most share rare bigrams; repeats and characters of any plane count."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("etaoinshrdlu ", [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 18], k=60)) for _ in range(300)] + ["😀😀😀😀😀é", "😀😀😀😀é", "x" * 90, "x" * 80]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    met = {(r["left"], r["right"]) for r in similar.candidates(df, df, 0.85, []).collect()}
+    assert len(met) < 0.05 * len(texts) ** 2
+    assert {(r["left"], r["right"]) for r in similar.similar_pairs(df, df).collect()} == brute_pairs(set(texts), set(texts), 0.85) <= met
+    assert similar.common("abcde", "xbxde") == 3
+
+
 def test_similar_within_keys(spark):
     left = spark.createDataFrame([(1, "one title"), (2, "one title"), (None, "one title")], "doc_id long, text string")
     right = spark.createDataFrame([(1, "one titles"), (2, "another"), (None, "one title")], "doc_id long, text string")
