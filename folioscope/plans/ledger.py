@@ -96,12 +96,13 @@ def report_payloads(spark, sf_dir):
 )
 def detection_payloads(spark, sf_dir):
     """Detections of each document as one JSON object in reading order, read back."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").alias("is_figure"), "l_linenumber", F.col("l_suppkey").cast("int").alias("page_no"), "l_partkey")
+    lines = lines.join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     boxes = lines.select(
-        F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("FIG_"), "l_linenumber").alias("fig_id"), F.lit("figure").alias("rtype"), F.concat("l_linenumber", F.lit(".png")).alias("file"), "l_returnflag",
-        F.col("l_suppkey").cast("int").alias("page_no"), F.col("l_linenumber").cast("double").alias("x0"), F.col("l_partkey").cast("double").alias("y0"), F.lit(1.0).alias("x1"), F.lit(2.0).alias("y1"),
+        F.col("l_orderkey").alias("doc_id"), "is_figure", F.concat(F.lit("FIG_"), "l_linenumber").alias("fig_id"), F.lit("figure").alias("rtype"), F.concat("l_linenumber", F.lit(".png")).alias("file"),
+        "page_no", F.col("l_linenumber").cast("double").alias("x0"), F.col("l_partkey").cast("double").alias("y0"), F.lit(1.0).alias("x1"), F.lit(2.0).alias("y1"),
     )
-    told = sinks.detections(boxes.where("l_returnflag = 'R'"), boxes.where("l_returnflag <> 'R'"))
+    told = sinks.region_payloads(boxes)
     r = F.from_json("payload", "figures array<struct<fig_id: string, file: string, page_no: int>>, other_detections array<struct<page_no: int>>")
     numbers = F.transform("r.figures", lambda f: F.replace(f["fig_id"], F.lit("FIG_"), F.lit("")))
     return told.select("doc_id", r.alias("r")).select("doc_id", F.when(F.col("r.figures").isNotNull(), F.array_join(numbers, ",")).alias("figures"), F.greatest(F.lit(0), F.coalesce(F.size("r.other_detections"), F.lit(0))).cast("long").alias("others"))

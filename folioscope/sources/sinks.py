@@ -6,7 +6,7 @@ their table, which writing that run again replaces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,23 @@ def write_run(df: DataFrame, path: str, run_id: str) -> None:
 def detections(figures: DataFrame, others: DataFrame) -> DataFrame:
     """doc_id, payload: one JSON object a document with its ``figures`` and ``other_detections`` in reading order."""
     box = ("page_no", "x0", "y0", "x1", "y1")
-    row = lambda *more: F.struct(*[F.struct("page_no", "y0", "x0").alias("at")], F.struct(*more, *box).alias("row"))
-    # as many as a document has regions
-    listed = lambda df, *more: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(row(*more))), lambda r: r["row"]).alias("rows"))
-    both = listed(figures, "fig_id", "file").withColumnRenamed("rows", "figures").join(listed(others, "rtype").withColumnRenamed("rows", "other_detections"), "doc_id", "full_outer")
+    found = figures.select("doc_id", F.lit(True).alias("is_figure"), "fig_id", "file", F.lit(None).cast("string").alias("rtype"), *box)
+    return region_payloads(found.unionByName(others.select("doc_id", F.lit(False).alias("is_figure"), "rtype", *box), allowMissingColumns=True))
+
+
+def region_payloads(regions: DataFrame) -> DataFrame:
+    """``detections`` of figures and others in one table (doc_id, is_figure, fig_id, file, rtype and box), grouped once.
+
+    A document whose regions are neither (is_figure null) has an empty object.
+    """
+
+    def listed(chosen: Column, *more: str) -> Column:
+        # as many as a document has regions; the fields of the order stand first
+        rows = F.array_sort(F.collect_list(F.when(chosen, F.struct("page_no", "y0", "x0", *more, "x1", "y1"))))
+        told = F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in (*more, "page_no", "x0", "y0", "x1", "y1")]))
+        return F.when(F.size(rows) > 0, told)
+
+    both = regions.groupBy("doc_id").agg(listed(F.col("is_figure"), "fig_id", "file").alias("figures"), listed(~F.col("is_figure"), "rtype").alias("other_detections"))
     return both.select("doc_id", F.to_json(F.struct("figures", "other_detections")).alias("payload"))
 
 

@@ -115,3 +115,20 @@ def test_report_and_detections(spark):
     got = {r["doc_id"]: json.loads(r["payload"]) for r in sinks.detections(figures, others).collect()}
     assert [f["fig_id"] for f in got[1]["figures"]] == ["FIG_0", "FIG_1", "FIG_2"] and "other_detections" not in got[1]
     assert got[2]["other_detections"][0]["rtype"] == "table"
+
+
+def test_detections_of_unflagged_lines(spark, tmp_path):
+    """A document whose lines have no flag has a row without figures, as in the SQL; lines meet their orders once."""
+    import duckdb
+
+    from folioscope.plans import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame([(1,), (2,), (3,)], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 7, 2, 1, "R"), (1, 5, 2, 2, "R"), (1, 5, 2, 3, "N"), (2, 1, 1, 1, None), (3, 1, 1, 1, "A"), (9, 1, 1, 1, "R")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = QUERIES["detection_payloads"](spark, str(tmp_path))
+    sql = ORACLE_SQL["detection_payloads"]
+    for t in ("orders", "lineitem"):
+        sql = sql.replace(f" {t} ", f" '{tmp_path}/{t}.parquet/*.parquet' ", 1)
+    assert sorted(map(tuple, df.collect())) == sorted(duckdb.sql(sql).fetchall()) == [(1, "2,1", 1), (2, None, 0), (3, None, 1)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
