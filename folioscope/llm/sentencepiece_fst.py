@@ -133,7 +133,12 @@ class Transducer:
         self.unknown = next((i for i, _ in of_type(kinds.UNKNOWN)), 0)
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in of_type(kinds.BYTE)} if spec.byte_fallback else {}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
-        self.unknown_text = spec.unk_surface
+        #: what each id is decoded to; control pieces to nothing
+        self.raw = [b"" if i in self.control else p.encode() for i, p in enumerate(self.pieces)]
+        for i, b in self.bytes_of.items():
+            self.raw[i] = bytes([b])
+        if self.unknown not in self.bytes_of and self.unknown not in self.control:
+            self.raw[self.unknown] = spec.unk_surface.encode()
         #: piece -> weight, ids written
         self.arcs = {p.piece: (0.0 if self.merges else -p.score, (i,)) for i, p in of_type(kinds.NORMAL)}
         self.fallback = 0.0 if self.merges else UNKNOWN_WEIGHT - min(self.scores.values(), default=0.0)
@@ -148,7 +153,9 @@ class Transducer:
         self.crossing = not self.merges or any(SPACE in p.lstrip(SPACE) for p in self.arcs)
         inner = "[" + "".join(map(re.escape, sorted(shared))) + "]" if shared else "(?!)"
         self.cut = re.compile(f"{SPACE}+{inner}*|{inner}+|.", re.DOTALL)
-        self.junctions: dict[tuple[str, str], float] = {}
+        #: by the right piece, the left ones whose junction is known, and how many are
+        self.junctions: dict[str, dict[str, float]] = {p: {} for p in self.arcs}
+        self.known = 0
         self.paths: dict[str, tuple[int, ...]] = {}
 
     def arc(self, piece: str) -> tuple[float, tuple[int, ...]] | None:
@@ -176,39 +183,53 @@ class Transducer:
         """Weight at which the arc of ``right`` leaves the state entered by ``left`` ('' at the start)."""
         if not self.merges:
             return 0.0
-        weight = self.junctions.get((left, right))
+        found = self.junctions.get(right)
+        weight = None if found is None else found.get(left)
         if weight is None:
-            if len(self.junctions) > CACHED:
-                self.junctions.clear()
             weight = 0.0 if self.merged(left + right) == ([left, right] if left else [right]) else INFINITY
-            self.junctions[left, right] = weight
+            if found is not None:
+                if self.known > CACHED:
+                    for other in self.junctions.values():
+                        other.clear()
+                    self.known = 0
+                found[left] = weight
+                self.known += 1
         return weight
 
+    def enter(self, text: str, entered: list[str], begin: int) -> None:
+        """``extend`` for a merge model: all finite weights are 0, so the longest arc whose junction is finite enters a position, else that of one character."""
+        junctions, lengths = self.junctions.get, self.lengths.get
+        for end in range(begin + 1, len(text) + 1):
+            by = text[end - 1]
+            for size in lengths(text[end - 2 : end], ()):
+                if size > end:
+                    continue
+                piece = text[end - size : end]
+                found = junctions(piece)
+                if found is None:
+                    continue
+                left = entered[end - size]
+                weight = found.get(left)
+                if (self.junction(left, piece) if weight is None else weight) == 0.0:
+                    by = piece
+                    break
+            entered[end] = by
+
     def extend(self, text: str, entered: list[str], least: list[float], begin: int) -> None:
-        """Least weight of, and piece that enters, each position after ``begin``: the composition with ``text``, forwards."""
-        arcs, known, merges, lengths = self.arcs, self.junctions, self.merges, self.lengths
+        """Least weight of, and piece that enters, each position after ``begin``: the composition of a unigram model with ``text``, forwards."""
+        arcs, lengths = self.arcs, self.lengths
         for end in range(begin + 1, len(text) + 1):
-            # the arc of one character, which in a merge model is the one where no longer arc is finite
             by = text[end - 1]
-            arc = arcs.get(by) or self.arc(by)
-            single = least[end - 1] + arc[0] if merges else _single(least[end - 1] + arc[0])
-            best = INFINITY if merges else single
+            best = _single(least[end - 1] + self.arc(by)[0])
             for size in lengths.get(text[end - 2 : end], ()):
                 at = end - size
-                piece = text[at:end]
-                arc = arcs.get(piece)
-                if arc is None or at < 0:
+                arc = arcs.get(text[at:end]) if at >= 0 else None
+                if arc is None:
                     continue
-                weight = least[at] + arc[0] if merges else _single(least[at] + arc[0])
-                if merges:
-                    left = entered[at]
-                    join = known.get((left, piece))
-                    weight += self.junction(left, piece) if join is None else join
+                weight = _single(least[at] + arc[0])
                 if weight < best or (weight == best < INFINITY and size > len(by)):
-                    best, by = weight, piece
-                    if merges:
-                        break
-            least[end], entered[end] = min(best, single), by
+                    best, by = weight, text[at:end]
+            least[end], entered[end] = best, by
 
     def compose(self, cuts: Iterable[str]) -> None:
         """Find and cache the shortest path of each cut that isn't known yet.
@@ -227,14 +248,18 @@ class Transducer:
             while same < most and last[same] == text[same]:
                 same += 1
             entered[same + 1 :] = [""] * (len(text) - same)
-            least[same + 1 :] = [INFINITY] * (len(text) - same)
-            self.extend(text, entered, least, same)
+            if self.merges:
+                self.enter(text, entered, same)
+            else:
+                least[same + 1 :] = [INFINITY] * (len(text) - same)
+                self.extend(text, entered, least, same)
             last = text
             path, at = [], len(text)
             while at:
-                path.append(arcs[entered[at]][1])
-                at -= len(entered[at])
-            self.paths[text] = tuple(itertools.chain.from_iterable(reversed(path)))
+                by = entered[at]
+                path.append((arcs.get(by) or self.arc(by))[1])
+                at -= len(by)
+            self.paths[text] = path[0] if len(path) == 1 else tuple(itertools.chain.from_iterable(reversed(path)))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [[normal] if self.crossing else self.cut.findall(normal) for normal in map(self.normalise, texts)]
@@ -253,20 +278,22 @@ class Transducer:
         """The inverse of the composition: pieces to characters, byte pieces to UTF-8, the dummy space dropped."""
         if not ids:
             return ""
-        pieces, bytes_of, out = self.pieces, self.bytes_of, []
+        out = []
         # spaces that begin the text: all of them if the model squeezes, else the dummy one
         begins = self.normalise.dummy or self.normalise.squeeze
-        for i in ids:
-            if i in bytes_of:
-                out.append(bytes([bytes_of[i]]))
+        for at, i in enumerate(ids):
+            if not begins:
+                out += map(self.raw.__getitem__, ids[at:])
+                break
+            piece = self.raw[i]
+            if i in self.bytes_of:
                 begins = False
             elif i not in self.control:
-                piece = self.unknown_text if i == self.unknown else pieces[i]
-                if begins and i != self.unknown and piece.startswith(SPACE):
-                    piece = piece[1:]
+                if i != self.unknown and piece.startswith(SPACE.encode()):
+                    piece = piece[len(SPACE.encode()) :]
                     begins = self.normalise.squeeze
                 begins = begins and not piece
-                out.append(piece.encode())
+            out.append(piece)
         return b"".join(out).decode("utf-8", "replace").replace(SPACE, " ")
 
 

@@ -62,3 +62,20 @@ def test_refused_models(tmp_path):
     (tmp_path / "u.model").write_bytes(m.SerializeToString())
     with pytest.raises(ValueError, match="defined by the user"):
         sentencepiece_fst.Transducer(str(tmp_path / "u.model"))
+
+
+def test_merge_model_with_few_junctions_kept(monkeypatch):
+    """Ids and decoded texts of the merge model are the same however few junctions are kept, and those known are counted."""
+    from folioscope.llm import sentencepiece_fst
+    from folioscope.llm.queries import tokenizer_path
+
+    texts = ["Hello  world, the quick brown fox", "", " lead and trail ", "naïve 日本語 text\twith\ntabs ▁ 😀😀", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    wanted = sentencepiece_fst.Transducer(tokenizer_path("piece_bpe_32k.model")).encode(texts)
+    monkeypatch.setattr(sentencepiece_fst, "CACHED", 3)
+    fst = sentencepiece_fst.Transducer(tokenizer_path("piece_bpe_32k.model"))
+    assert [fst.encode([t])[0] for t in texts] == wanted
+    assert sum(map(len, fst.junctions.values())) == fst.known <= 4
+    import sentencepiece
+
+    peer = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    assert wanted == peer.encode(texts) and [fst.decode(i) for i in wanted] == peer.decode(wanted)
