@@ -185,7 +185,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, text
 
 
 def _asked(asking: DataFrame, members: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Links between each asking node and the members of its hub; ``asking`` and ``members``: node, hub."""
+    """A link from each asking node to its hub if a member of it is near; ``asking`` and ``members``: node, hub.  One is enough to join the components."""
     members = members.join(asking.select("hub").distinct(), "hub", "left_semi")
     both = materialize(asking.select("node").unionAll(members.select("node")).distinct(), "similar-asked")
     told = _sets(both, docs, found, id_col, text_col, words).join(found.select("node", *WORD_NAMES).dropDuplicates(["node"]), "node")
@@ -197,8 +197,8 @@ def _asked(asking: DataFrame, members: DataFrame, docs: DataFrame, found: DataFr
     shared, sizes = F.size(F.array_intersect("l.shingles", "r.shingles")), F.size("l.shingles") + F.size("r.shingles")
     # the cheap tests stand first
     near = F.when((2 * F.least(F.size("l.shingles"), F.size("r.shingles")) * (1 + similarity) >= sizes * 2 * similarity - 1e-9) & (bits <= most_bits(256, similarity)), shared * (1 + similarity) >= sizes * similarity - 1e-9).otherwise(False)
-    met = left.join(right, (F.col("hub") == F.col("r_hub")) & (F.col("salt") == F.col("r_salt")) & near)
-    return materialize(met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).where("a <> b"), "similar-links")
+    met = left.join(right, (F.col("hub") == F.col("r_hub")) & (F.col("salt") == F.col("r_salt")) & near, "left_semi")
+    return materialize(_pairs(met.select(F.col("l.node").alias("node"), "hub"), "node", "hub").distinct(), "similar-links")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
@@ -214,11 +214,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, id_col: str,
 
 
 def _by_part(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """``posts`` (node, its words, cell) with the component of their node, in cells that have more than one."""
+    """``posts`` (node, its words, cell) with ``part``, the component of their node, and ``hub``, the largest of their cell, in cells that have more than one."""
     parts = connected_components(links, "a", "b", "similar-parts").select(F.col("node").alias("of"), "component")
     dealt = materialize(posts.join(parts, posts.node == parts.of, "left").select("cell", "node", *WORD_NAMES, F.coalesce("component", "node").alias("part")), "similar-dealt")
-    mixed = dealt.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("cell")
-    return materialize(dealt.join(mixed, "cell", "left_semi"), "similar-mixed")
+    sizes = dealt.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("hub"), F.count("*").alias("parts")).where("parts > 1").select("cell", "hub")
+    return materialize(dealt.join(largest, "cell"), "similar-mixed")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, axes: int = AXES) -> DataFrame:
@@ -245,21 +246,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = materialize(_pairs(met_all.select("node", F.explode("near").alias("other")), "node", "other").distinct(), "similar-pairs")
     links = _verified(pairs, docs, found, id_col, text_col, words, similarity)
 
-    # then the members of different components, in cells where not all have met
-    posts = entered.select("node", "cell").join(met.where("crowd").select("cell").distinct(), "cell", "left_semi")
-    posts = materialize(posts.join(found.select("node", *WORD_NAMES).dropDuplicates(["node"]), "node"), "similar-posts")
+    # then the members of different components, in cells where not all have met: all members of a crowded cell are in ``met``
+    posts = materialize(met.where("crowd").select("node", "cell").join(found.select("node", *WORD_NAMES).dropDuplicates(["node"]), "node"), "similar-posts")
     dealt = _by_part(posts, links)
-    sizes = dealt.groupBy("cell", "part").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("hub"))
-    others = materialize(dealt.join(largest, "cell").where("part <> hub").select("cell", "node", *WORD_NAMES, "part", "hub"), "similar-others")
+    others = dealt.where("part <> hub")
     near = sum(F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}"))) for w in WORD_NAMES) <= most_bits(256, similarity)
     # only who is near a member of its cell's largest component has to ask it
-    asking = others.alias("l").join(dealt.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.hub") == F.col("r.part")) & near, "left_semi")
+    asking = others.alias("l").join(dealt.where("part = hub").alias("r"), (F.col("l.cell") == F.col("r.cell")) & near, "left_semi")
     asking = materialize(asking.select("node", "hub").distinct(), "similar-asking")
     asked = _asked(asking, dealt.select("node", F.col("part").alias("hub")).distinct(), docs, found, id_col, text_col, words, similarity)
     links = links.unionAll(asked)
     # what is apart even now
-    others = _by_part(others.select("node", *WORD_NAMES, "cell"), links)
+    others = _by_part(others.select("node", *WORD_NAMES, "cell"), links).drop("hub")
     apart = (F.col("l.cell") == F.col("r.cell")) & near
     others = materialize(others.alias("l").join(others.alias("r"), apart & (F.col("l.part") != F.col("r.part")), "left_semi"), "similar-apart")
     told = materialize(others.join(_sets(others.select("node"), docs, found, id_col, text_col, words), "node"), "similar-told")

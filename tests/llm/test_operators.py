@@ -175,6 +175,34 @@ def test_near_stage_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in rows(corpus_pipeline.near(spark, df, SF))) == wanted and len(wanted) > 24
 
 
+def test_near_asks_a_component_once(spark):
+    """A text that is near many members of a component has one link to it, not one to each."""
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base[:at] + [f"x{at}"] + base[at + 1 :]) for at in range(5, 145, 10)] + ["quite another text of its own kind here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketch = simhash_similar.prints(F.col("text"), simhash_similar.AXES, 2)
+    found = df.select("doc_id", sketch.alias("p")).select("doc_id", "p.node", *[f"p.{w}" for w in simhash_similar.WORD_NAMES]).cache()
+    nodes = {r["doc_id"]: r["node"] for r in found.collect()}
+    hub, asking = nodes[0], [nodes[12], nodes[13], nodes[14]]
+    members = spark.createDataFrame([(nodes[i], hub) for i in range(12)], "node long, hub long")
+    asked = simhash_similar._asked(spark.createDataFrame([(n, hub) for n in asking], "node long, hub long"), members, df, found, "doc_id", "text", simhash_similar.WORDS, simhash_similar.SIMILARITY)
+    assert sorted((r["a"], r["b"]) for r in asked.collect()) == sorted((min(n, hub), max(n, hub)) for n in asking[:2])
+
+
+def test_near_crowded_against_brute_force(spark):
+    """Cells that many near texts, some of them linked only through others, and texts just under the similarity share."""
+    rng = random.Random(7)
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(120)], []
+    for changes in (1, 2, 3, 4, 5, 6) * 12:
+        copy = list(base)
+        for _ in range(changes):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(5000)}"
+        texts.append(" ".join(copy))
+    wanted = brute_kept(list(range(len(texts))), brute_jaccard(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in rows(simhash_similar.keep_first(df))) == wanted and len(wanted) < len(texts)
+
+
 def test_near_odd(odd, empty):
     got = rows(simhash_similar.components(odd))
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (4, 5, 6)} == {4}
