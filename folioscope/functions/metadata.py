@@ -54,8 +54,9 @@ def merged(preferred: Column, other: Column, default: Column | None = None) -> C
 
 def tolerant_json(text: Column) -> Column:
     """The text as strict JSON: as it stands, else without commas before a closing bracket; null if neither parses."""
-    relaxed = F.regexp_replace(text, r",\s*([}\]])", "$1")
-    return F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(relaxed).isNotNull(), relaxed)
+    parses = lambda t: F.try_parse_json(t).isNotNull()
+    relaxed = F.filter(F.array(F.regexp_replace(text, r",\s*([}\]])", "$1")), parses)
+    return F.when(parses(text), text).otherwise(F.get(relaxed, F.lit(0)))
 
 
 def last_fence(text: Column) -> Column:
@@ -108,8 +109,9 @@ def reply_json(reply: Column) -> Column:
     fences = F.reverse(F.regexp_extract_all(reply, F.lit(r"(?is)```(?:json)?\s*(.*?)```"), F.lit(1)))
     tried = F.concat(F.array(reply), fences, balanced(reply))
     parsed = F.filter(F.transform(tried, lambda t: tolerant_json(F.regexp_replace(t, r"\A\s+|\s+\z", ""))), lambda j: j.isNotNull())
-    named = F.filter(parsed, lambda j: j.rlike("figures|bbox|excluded_tables"))
-    return F.coalesce(F.get(named, F.lit(0)), F.get(parsed, F.lit(0)))
+    # bound once: each mention of ``parsed`` would parse all of them anew
+    chosen = F.transform(F.array(parsed), lambda p: F.coalesce(F.get(F.filter(p, lambda j: j.rlike("figures|bbox|excluded_tables")), F.lit(0)), F.get(p, F.lit(0))))
+    return F.get(chosen, F.lit(0))
 
 
 #: Lists of a reply that hold no figures (fixed values).

@@ -137,3 +137,15 @@ def test_rates_are_one_row(spark):
 def test_figure_regions(spark):
     df = spark.createDataFrame([(1, "figure", "a.png"), (1, "table", "b.png"), (2, None, None)], "doc_id int, rtype string, file string")
     assert [tuple(r) for r in regions.figure_regions(df, "media").collect()] == [(1, "figure", "a.png", "media/a.png")]
+
+
+def test_reply_json_parses_once(spark):
+    """Each candidate of a reply is parsed as it stands and, where that fails, relaxed; all cores share a file of one row group."""
+    from folioscope.functions import metadata
+    from folioscope.plans import QUERIES
+
+    replies = spark.createDataFrame([("so {a} then [1,] ```json\n{\"k\": 1,}\n```",), ("{\"bbox\": [1],}",), ("none {",), (None,)], "reply string")
+    told = replies.select(metadata.reply_json(F.col("reply")).alias("json"))
+    assert [r["json"] for r in told.collect()] == ['{"k": 1}', '{"bbox": [1]}', None, None]
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 2
+    assert QUERIES["props_replies"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
