@@ -36,6 +36,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
+#: Rows of a part that a table is dealt into by a key.
+ROWS_A_PART = 500_000
+
+
+def dealt(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``df`` by the keys that the next steps group and join by, in as many parts as its rows ask for: what a task holds doesn't grow with the table."""
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_PART)), *keys)
+
+
 #: What stands for inline tables, by name, while a query of theirs is built over given tables.
 _GIVEN: ContextVar[dict[str, Callable[[SparkSession], DataFrame]]] = ContextVar("given", default={})
 
@@ -76,14 +85,18 @@ class Inline:
 
 
 class Derived:
-    """A table made of given ones by SQL that both engines read; given tables stand in braces, ``{array}`` makes an array."""
+    """A table made of given ones by SQL that both engines read; given tables stand in braces, ``{array}`` makes an array.
+
+    ``keys`` are the columns by which the given tables are dealt before, if one task would else hold too much of them.
+    """
 
-    def __init__(self, sql: str):
-        self.sql = " ".join(sql.split())
+    def __init__(self, sql: str, keys: tuple[str, ...] = ()):
+        self.sql, self.keys = " ".join(sql.split()), keys
         self.tables = sorted(set(re.findall(r"{(\w+)}", self.sql)) - {"array"})
 
     def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(self.sql.replace("{array}", "array"), **{t: table(spark, sf_dir, t) for t in self.tables})
+        given = {t: table(spark, sf_dir, t) for t in self.tables}
+        return spark.sql(self.sql.replace("{array}", "array"), **{t: dealt(df, self.keys) if self.keys else df for t, df in given.items()})
 
     def cte(self, name: str) -> str:
         return f"{name} AS ({self.sql.format(array='list_value', **{t: t for t in self.tables})})"

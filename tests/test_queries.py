@@ -42,3 +42,15 @@ def test_query(spark, duck, name):
     order = [names.index(c) for c in columns]
     wanted = sorted((tuple(plain(r[i]) for i in order) for r in cursor.fetchall()), key=repr)
     assert got == wanted
+
+
+def test_chrome_tables_are_dealt_by_page(spark, monkeypatch):
+    """The line items of the chrome queries are dealt in parts that don't grow, which their joins by page take as they are."""
+    from folioscope.plans import QUERIES, registry
+
+    monkeypatch.setattr(registry, "ROWS_A_PART", 500)
+    df = registry.dealt(registry.table(spark, "/root/testdata/sf0.001", "lineitem"), ("l_orderkey", "l_linenumber"))
+    assert df.rdd.getNumPartitions() >= 10
+    for name in ("chrome_keys_fixture", "chrome_regions_fixture", "content_extent_median", "raster_chrome_vote"):
+        plan = QUERIES[f"{name}_on_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(l_orderkey" in plan and "REPARTITION_BY_NUM" in plan
