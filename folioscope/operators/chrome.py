@@ -6,7 +6,7 @@ Pages: doc_id, page_no, width, height, skip (true for a cover, which has no vote
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -33,22 +33,40 @@ def page_elements(blocks: DataFrame, images: DataFrame, pages: DataFrame) -> Dat
     return placed.select("doc_id", "page_no", "kind", "sig", band.alias("band"), *box)
 
 
+def _marked(elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """``elements`` with voting (a page of theirs votes), votes, n_voting, running and sizes, the widths and heights of the rows of their page.
+
+    Elements and pages are one table, so that windows by document and finer need one dealing by document, and none
+    by page or signature; the tables' own dealing by document serves.
+    """
+    own = ("doc_id", "page_no", "sig", "band", "y0", "y1")
+    page = F.struct("skip", F.struct("width", "height").alias("size"))
+    placed = elements.where("doc_id is not null and page_no is not null").select(*own)
+    nothing = [F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in own[2:]]
+    sheets = pages.where("doc_id is not null").select("doc_id", "page_no", *nothing, page.alias("page"))
+    both = placed.withColumn("page", F.lit(None).cast(sheets.schema["page"].dataType)).unionByName(sheets)
+    votes = F.coalesce(~F.col("page.skip"), F.lit(False))
+    by_doc, by_page, by_key = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page_no"), Window.partitionBy("doc_id", "sig", "band")
+    told = both.withColumns({"voting": F.max(votes).over(by_page), "sizes": F.collect_list("page.size").over(by_page), "n_voting": F.count(F.when(votes, 1)).over(by_doc)})
+    counted = F.col("voting") & F.col("band").isNotNull() & F.coalesce((F.col("sig") != DIGITS_ONLY) & (F.col("sig") != ""), F.lit(False))
+    told = told.where("page is null").select(*own, "voting", "n_voting", "sizes", counted.alias("votes"))
+    # a page counts once for a signature
+    once = F.row_number().over(Window.partitionBy("doc_id", "sig", "band", "page_no").orderBy("y0")) == 1
+    told = told.withColumn("once", once & F.col("votes"))
+    n_pages = F.count(F.when(F.col("once"), 1)).over(by_key)
+    running = F.col("band").isNotNull() & F.col("sig").isNotNull() & (n_pages >= MAJORITY * F.col("n_voting")) & (n_pages >= MIN_PAGES)
+    return told.withColumn("running", running).drop("once")
+
+
 def running_keys(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, sig, band, n_pages, n_voting) of the signatures that run over half of the voting pages, two at least."""
-    voting = pages.where("not skip").groupBy("doc_id").agg(F.count("*").alias("n_voting"))
-    on = elements.join(pages.where("not skip").select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
-    seen = on.where(F.col("band").isNotNull() & (F.col("sig") != DIGITS_ONLY) & (F.col("sig") != ""))
-    votes = seen.groupBy("doc_id", "sig", "band").agg(F.countDistinct("page_no").alias("n_pages"))
-    return votes.join(voting, "doc_id").where((F.col("n_pages") >= MAJORITY * F.col("n_voting")) & (F.col("n_pages") >= MIN_PAGES))
-
-
-def content_extent(elements: DataFrame, pages: DataFrame, keys: DataFrame) -> DataFrame:
-    """doc_id, content_top, content_bottom: medians over voting pages of where the body begins and ends."""
-    body = elements.join(pages.where("not skip").select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
-    named = keys.select("doc_id", F.col("sig").alias("k_sig"), F.col("band").alias("k_band"), F.col("doc_id").alias("k_doc"))
-    running = (body.doc_id == named.k_doc) & (F.col("sig") == F.col("k_sig")) & (F.col("band") == F.col("k_band"))
-    body = body.join(named.drop("doc_id"), running, "left_anti")
-    per_page = body.groupBy("doc_id", "page_no").agg(
+    voted = _marked(elements, pages).where("running and votes")
+    return voted.groupBy("doc_id", "sig", "band").agg(F.countDistinct("page_no").alias("n_pages"), F.max("n_voting").alias("n_voting"))
+
+
+def content_extent(elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, content_top, content_bottom: medians over voting pages of where the body, which runs over no pages, begins and ends."""
+    per_page = _marked(elements, pages).where("voting and not running").groupBy("doc_id", "page_no").agg(
         F.min(F.when(F.col("band").isNull() | (F.col("band") == "top"), F.col("y0"))).alias("top"),
         F.max(F.when(F.col("band").isNull() | (F.col("band") == "bottom"), F.col("y1"))).alias("bottom"),
     )
@@ -60,11 +78,21 @@ def regions(elements: DataFrame, pages: DataFrame) -> DataFrame:
 
     A band never crosses the median body extent nor a fifth of the page.
     """
-    keys = running_keys(elements, pages)
-    extent = content_extent(elements, pages, keys)
-    chrome = elements.join(keys.select("doc_id", "sig", "band"), ["doc_id", "sig", "band"], "left_semi")
-    spans = chrome.groupBy("doc_id", "page_no", "band").agg(F.min("y0").alias("low"), F.max("y1").alias("high"))
-    spans = spans.join(pages.select("doc_id", "page_no", "width", "height"), ["doc_id", "page_no"]).join(extent, "doc_id", "left")
+    body = F.col("voting") & ~F.col("running")
+    spans = _marked(elements, pages).groupBy("doc_id", "page_no", "band").agg(
+        F.min(F.when(F.col("running"), F.col("y0"))).alias("low"),
+        F.max(F.when(F.col("running"), F.col("y1"))).alias("high"),
+        F.max("running").alias("running"),
+        F.min(F.when(body & (F.col("band").isNull() | (F.col("band") == "top")), F.col("y0"))).alias("body_top"),
+        F.max(F.when(body & (F.col("band").isNull() | (F.col("band") == "bottom")), F.col("y1"))).alias("body_bottom"),
+        F.first("sizes").alias("sizes"),
+    )
+    by_page, by_doc = Window.partitionBy("doc_id", "page_no"), Window.partitionBy("doc_id")
+    # a page has one say in the medians
+    own = F.row_number().over(by_page.orderBy("band")) == 1
+    spans = spans.withColumns({"top_of_page": F.when(own, F.min("body_top").over(by_page)), "bottom_of_page": F.when(own, F.max("body_bottom").over(by_page))})
+    spans = spans.withColumns({"content_top": F.median("top_of_page").over(by_doc), "content_bottom": F.median("bottom_of_page").over(by_doc)})
+    spans = spans.where("running").select("*", F.inline("sizes"))
     cap_top, cap_bottom = F.col("height") * MAX_BAND, F.col("height") * (1.0 - MAX_BAND)
     top = F.col("band") == "top"
     y0 = F.when(top, F.greatest(F.lit(0.0), "low")).otherwise(F.greatest("low", F.coalesce("content_bottom", cap_bottom), cap_bottom))

@@ -21,8 +21,10 @@ COVERS = Derived("""SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) A
     l_quantity * 7 + CAST(l_suppkey % 97 AS DOUBLE) * 3 AS x1, CAST(l_partkey % 40 AS DOUBLE) * 15 + CAST(l_partkey % 53 AS DOUBLE) * 4 AS y1 FROM {lineitem}""")
 TWO_PAGES = Derived("""SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) AS page_no, CAST(595 AS DOUBLE) AS width, CAST(842 AS DOUBLE) AS height, l_orderkey % 5 = 0 AND l_linenumber % 2 = 0 AS skip FROM {lineitem}""")
 PAGES = Derived("""SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page_no, CAST(595 AS DOUBLE) AS width, CAST(842 AS DOUBLE) AS height, l_linenumber = 1 AND l_orderkey % 3 = 0 AS skip FROM {lineitem}""", keys=("l_orderkey", "l_linenumber"))
+#: The same pages, dealt by document alone: elements and pages of a document are one group there.
+SHEETS = Derived(PAGES.sql, keys=("l_orderkey",))
 ELEMENTS = Derived("""SELECT l_orderkey AS doc_id, l_linenumber AS page_no, CASE WHEN l_partkey % 11 = 0 THEN '__digits__' ELSE l_returnflag || l_linestatus END AS sig,
-    CASE l_partkey % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'bottom' END AS band, CAST(50 AS DOUBLE) AS x0, l_quantity * 16 AS y0, CAST(500 AS DOUBLE) AS x1, l_quantity * 16 + CAST(l_suppkey % 9 AS DOUBLE) AS y1 FROM {lineitem}""", keys=("l_orderkey", "l_linenumber"))
+    CASE l_partkey % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'bottom' END AS band, CAST(50 AS DOUBLE) AS x0, l_quantity * 16 AS y0, CAST(500 AS DOUBLE) AS x1, l_quantity * 16 + CAST(l_suppkey % 9 AS DOUBLE) AS y1 FROM {lineitem}""", keys=("l_orderkey",))
 IMAGES = Derived("""SELECT l_orderkey AS doc_id, l_linenumber AS page_no, l_returnflag || l_linestatus AS digest, CAST(40 + l_partkey % 100 AS INT) AS width_px, CAST(50 + l_suppkey % 90 AS INT) AS height_px,
     l_quantity * 16 AS y0, l_quantity * 16 + CAST(l_partkey % 40 AS DOUBLE) AS y1 FROM {lineitem}""", keys=("l_orderkey", "l_linenumber"))
 DETECTIONS = Derived("""SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) AS page_no, l_partkey AS det_id, {array}(l_quantity * 10, CAST(l_partkey % 1000 AS DOUBLE), CAST(l_suppkey % 1000 AS DOUBLE), CAST(l_linenumber * 100 AS DOUBLE)) AS box,
@@ -30,9 +32,9 @@ DETECTIONS = Derived("""SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS IN
 DRAWINGS = Derived("""SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) AS page_no, l_quantity * 8 AS x0, CAST(l_partkey % 40 AS DOUBLE) * 15 AS y0, l_quantity * 8 + 9 AS x1, CAST(l_partkey % 40 AS DOUBLE) * 15 + 9 AS y1, l_linenumber AS n_curves FROM {lineitem}""")
 
 for name, given in {
-    "chrome_keys_fixture": {layout.PAGES: PAGES, layout.ELEMENTS: ELEMENTS},
-    "content_extent_median": {layout.PAGES: PAGES, layout.ELEMENTS: ELEMENTS},
-    "chrome_regions_fixture": {layout.PAGES: PAGES, layout.ELEMENTS: ELEMENTS},
+    "chrome_keys_fixture": {layout.PAGES: SHEETS, layout.ELEMENTS: ELEMENTS},
+    "content_extent_median": {layout.PAGES: SHEETS, layout.ELEMENTS: ELEMENTS},
+    "chrome_regions_fixture": {layout.PAGES: SHEETS, layout.ELEMENTS: ELEMENTS},
     "raster_chrome_vote": {layout.PAGES: PAGES, layout.IMAGES: IMAGES},
     "region_overlap_anti": {layout.BOXES: BOXES, layout.COVERS: COVERS},
     "refine_bbox": {layout.BOXES: BOXES, layout.COVERS: COVERS, layout.PAGES: TWO_PAGES},

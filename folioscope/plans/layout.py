@@ -29,8 +29,7 @@ def chrome_keys(spark, sf_dir):
 
 @query("content_extent_median", f"WITH {KEYS} SELECT * FROM extent")
 def content_extent(spark, sf_dir):
-    elements, pages = ELEMENTS.df(spark), PAGES.df(spark)
-    return chrome.content_extent(elements, pages, chrome.running_keys(elements, pages))
+    return chrome.content_extent(ELEMENTS.df(spark), PAGES.df(spark))
 
 
 @query(

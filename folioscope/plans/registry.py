@@ -37,7 +37,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 #: Rows of a part that a table is dealt into by a key.
-ROWS_A_PART = 500_000
+ROWS_A_PART = 100_000
 
 
 def dealt(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:

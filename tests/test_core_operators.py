@@ -310,3 +310,25 @@ def test_quota_code(spark):
     told = {"Error 429": "quota", "429 Too many": "quota", "http 429 sent": "quota", "no answer in 429 s": "other", "no answer in 1429 s": "other", "wait 429.5 seconds": "other", "user 14290": "other", "(429)": "quota", "429.": "quota"}
     df = spark.createDataFrame(list(told.items()), "m string, c string")
     assert [r["m"] for r in df.where(accounting.error_class(F.lit(500), F.col("m")) != F.col("c")).collect()] == []
+
+
+def test_chrome_is_dealt_by_document_once(spark):
+    """The chrome steps over tables shuffle only where line items are dealt; pages without elements, null keys and repeated pages stand as joins would have them."""
+    from folioscope.operators import chrome
+    from folioscope.plans import QUERIES
+
+    for name in ("chrome_keys_fixture", "chrome_regions_fixture", "content_extent_median"):
+        plan = QUERIES[f"{name}_on_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert shuffles and all("hashpartitioning(l_orderkey" in s and "l_linenumber" not in s.split("REPARTITION")[0] and "REPARTITION_BY_NUM" in s for s in shuffles), plan
+    box = lambda page, sig, band, y0, y1, doc=1: (doc, page, sig, band, 0.0, y0, 9.0, y1)
+    elements = [box(p, "run", "top", 5.0 + p, 9.0) for p in (0, 1, 2, 3)] + [box(p, None, None, 20.0 + p, 80.0 + p) for p in (0, 1, 2)]
+    elements += [box(None, "run", "top", 0.0, 1.0), box(1, "run", "top", 0.0, 1.0, None), box(9, "run", "top", 0.0, 1.0), box(1, "run", None, 30.0, 40.0)]
+    elements = spark.createDataFrame(elements, "doc_id int, page_no int, sig string, band string, x0 double, y0 double, x1 double, y1 double")
+    # page 0 has no vote, page 3 no element but chrome and two rows, page 9 no row, page 5 no element
+    pages = [(1, 0, True), (1, 1, False), (1, 2, False), (1, 3, False), (1, 3, False), (1, 5, False), (1, None, None), (None, 1, False)]
+    pages = spark.createDataFrame([(d, p, 50.0, 100.0, skip) for d, p, skip in pages], "doc_id int, page_no int, width double, height double, skip boolean")
+    assert [tuple(r) for r in chrome.running_keys(elements, pages).collect()] == [(1, "run", "top", 3, 5)]
+    assert [tuple(r) for r in chrome.content_extent(elements, pages).collect()] == [(1, 21.5, 81.5)]
+    found = sorted(tuple(r) for r in chrome.regions(elements, pages).collect())
+    assert found == [(1, p, "top", 0.0, 5.0 + p, 50.0, 9.0) for p in (0, 1, 2, 3, 3)]
