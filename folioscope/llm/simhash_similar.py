@@ -4,14 +4,15 @@ Two texts are near-duplicates when their sets of five-word shingles have a Jacca
 similarity of 0.8 or more.  At 0.8 about 15 of 100 fingerprint bits differ, too many
 for the two grids of 64 bits in ``simhash.links``.  So here
 
-* the fingerprint is longer (``BITS``), and its segments are of one bit, whose
-  counts are the coordinates;
-* the coordinates are dealt to many grids of few axes each; texts that share a cell
-  of a grid meet (Manhattan distance 0 there).  ``AXES`` is a parameter that no table
+* the fingerprint is longer: ``SEGMENTS`` means of the shingles' bytes, each cut at three borders.  Its middle
+  bits make the words that pairs are told apart by.  Its outer two make a segment, whose bit count (0 to 2) is
+  a coordinate; as the upper bit implies the lower, the distance of two counts is that of their bits;
+* the coordinates are dealt to many grids of few axes each.  A text is entered in its own cell
+  of a grid and in those one step up: texts at a Manhattan distance of 1 or less meet in
+  a cell, and so do those at 2 that each lead by one step.  ``AXES`` is a parameter that no table
   changes, so a pair that meets in one table meets in every other; the number of grids
   follows from it, so that a pair at 0.8 is met by one of them with probability ``RECALL``,
-  and a closer pair almost surely.  More axes mean fewer texts that meet by chance (one of
-  2^axes others a grid) and more grids;
+  and a closer pair almost surely.  More axes mean fewer texts that meet by chance and more grids;
 * pairs that meet are dropped where more of the first 64, then of the first 256 bits
   differ than those of a pair at the similarity do (four standard deviations above their
   mean), then verified exactly on their whole sets of shingles; none is capped.
@@ -24,8 +25,9 @@ of shingles are compared inside that join, which is dealt out by a salt; what th
 of a cell have among themselves meets in the cell, compared inside the join too.
 
 Words are parted by ASCII white space, ASCII letters in lower case.  A shingle is a
-64-bit hash, from which a byte for each bit of the fingerprint follows; a bit is 1 if
-the bytes' mean over the distinct shingles is in the upper half.  Defined results: null
+64-bit hash, from which a byte for each segment of the fingerprint follows; a middle bit is 1 if
+the bytes' mean over the distinct shingles is in the upper half, the outer bits if it is above
+``EDGE`` of its standard deviations below or over that, which has thirds of the texts in each count.  Defined results: null
 or empty text counts as one shingle without words; fewer words than the shingle give
 one shingle; texts of equal sets are one node; an empty table gives no rows; the
 component of documents that have only null ids is null.
@@ -34,6 +36,7 @@ component of documents that have only null ids is null.
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,12 +51,14 @@ from .url_filter import blocked_filter, blocks_for, possible_hits
 
 WORDS, SIMILARITY = 5, 0.8
 SEED = 42
-#: Bits of the fingerprint, shingles whose bytes are summed at once, texts whose cells are taken at once.
-BITS, BLOCK, TEXTS = 1024, 2048, 64
+#: Segments of the fingerprint, shingles whose bytes are summed at once, texts whose cells are taken at once.
+SEGMENTS, BLOCK, TEXTS = 512, 2048, 64
+#: Where the outer bits of a segment are cut, in standard deviations, and that of twice a byte.
+EDGE, SPREAD = 0.43, math.sqrt((256**2 - 1) / 3)
 #: The share of pairs at exactly the similarity that some grid has to meet, and the axes of a grid.
-RECALL, AXES = 0.99, 18
+RECALL, AXES = 0.99, 13
 #: Members of a cell that each is compared with, and standard deviations above the mean that the differing bits may lie.
-NEIGHBOURS, DEVIATIONS = 3, 4.0
+NEIGHBOURS, DEVIATIONS = 7, 4.0
 #: Parts that a component is dealt into where others ask it.
 SALTS = 16
 #: Firsts of crowded cells that a text is compared with before.
@@ -82,22 +87,41 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
-def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """``BITS`` bits as bytes of 0 and 1."""
-    factors = np.random.default_rng(SEED).integers(0, 1 << 63, BITS // 8, np.uint64) * np.uint64(2) + np.uint64(1)
-    keys, total = shingles.view(np.uint64), np.zeros(BITS, np.int64)
+def long_fingerprint(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``SEGMENTS`` middle bits and as many counts of outer bits, as bytes."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, SEGMENTS // 8, np.uint64) * np.uint64(2) + np.uint64(1)
+    keys, total = shingles.view(np.uint64), np.zeros(SEGMENTS, np.int64)
     for at in range(0, len(keys), BLOCK):
         mixed = keys[at : at + BLOCK, None] * factors
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(29)
-        total += mixed.view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.uint32)
-    return (2 * total > 255 * len(keys)).astype(np.uint8)
+        total += mixed.view(np.uint8).reshape(-1, SEGMENTS).sum(axis=0, dtype=np.uint32)
+    above, edge = 2 * total - 255 * len(keys), EDGE * SPREAD * math.sqrt(len(keys))
+    return (above > 0).astype(np.uint8), (above > -edge).astype(np.uint8) + (above > edge)
+
+
+def steps_apart(similarity: float) -> list[float]:
+    """The probabilities that a coordinate of a pair at the similarity differs by 0, 1 and 2: two normal means of that cosine."""
+    cosine = 2 * similarity / (1 + similarity)
+    if cosine >= 1:
+        return [1.0, 0.0, 0.0]
+    normal, apart = statistics.NormalDist(), [0.0, 0.0, 0.0]
+    at = np.linspace(-8, 8, 4001)
+    for x, weight in zip(at, np.exp(-(at**2) / 2) / math.sqrt(2 * math.pi) * (at[1] - at[0])):
+        below = [normal.cdf((e - cosine * x) / math.sqrt(1 - cosine**2)) for e in (-EDGE, EDGE)]
+        own = int(x > -EDGE) + int(x > EDGE)
+        for other, share in enumerate((below[0], below[1] - below[0], 1 - below[1])):
+            apart[abs(own - other)] += weight * share
+    return apart
 
 
 def grids_for(axes: int = AXES, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     """The number of grids of so many axes that meet a pair at the similarity with that probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** axes))
+    same, one, _ = steps_apart(similarity)
+    # no step, one step, or one step up on an axis and one down on another
+    met = same**axes + axes * same ** (axes - 1) * one + math.comb(axes, 2) * same ** max(axes - 2, 0) * one**2 / 2
+    return math.ceil(math.log(1 - recall) / math.log(1 - met)) if met < 1 else 1
 
 
 def differing(similarity: float) -> float:
@@ -111,18 +135,18 @@ def most_bits(bits: int, similarity: float) -> int:
 
 
 def axes_of(axes: int, grids: int) -> np.ndarray:
-    """[grids, axes]: the bits that each grid is made of, different ones in each."""
+    """[grids, axes]: the segments that each grid is made of, different ones in each."""
     rng = np.random.default_rng(SEED + 1)
-    # whole rounds through all bits, so that every bit is used equally often
-    rounds = [rng.permutation(BITS)[: BITS // axes * axes].reshape(-1, axes) for _ in range(-(-grids // (BITS // axes)))]
+    # whole rounds through all segments, so that every one is used equally often
+    rounds = [rng.permutation(SEGMENTS)[: SEGMENTS // axes * axes].reshape(-1, axes) for _ in range(-(-grids // (SEGMENTS // axes)))]
     return np.concatenate(rounds)[:grids]
 
 
 def prints(text: Column, axes: int, grids: int, words: int = WORDS) -> Column:
-    """node, the first 256 bits (four words) and the cells of a text."""
+    """node, the first 256 bits (four words) and the own cells of a text: two bits an axis, the grid above."""
     chosen = axes_of(axes, grids)
-    place = (1 << np.arange(axes, dtype=np.int64)).astype(np.float64)
-    first = np.arange(grids, dtype=np.int64) << axes
+    place = (1 << 2 * np.arange(axes, dtype=np.int64)).astype(np.float64)
+    first = np.arange(grids, dtype=np.int64) << 2 * axes
 
     @F.pandas_udf("node long, w0 long, w1 long, w2 long, w3 long, cells array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -130,10 +154,10 @@ def prints(text: Column, axes: int, grids: int, words: int = WORDS) -> Column:
             nodes, bits, cells = [], [], []
             for at in range(0, len(batch), TEXTS):
                 found = [shingles_of(t, words) for t in batch.iloc[at : at + TEXTS]]
-                long = np.stack([long_fingerprint(s) for s in found])
+                middle, counts = map(np.stack, zip(*[long_fingerprint(s) for s in found]))
                 nodes += [node_of(s) for s in found]
-                bits.append(np.packbits(long[:, :256], axis=1, bitorder="little").view(np.int64))
-                cells += list((long[:, chosen] @ place).astype(np.int64) + first)
+                bits.append(np.packbits(middle[:, :256], axis=1, bitorder="little").view(np.int64))
+                cells += list((counts[:, chosen] @ place).astype(np.int64) + first)
             told = np.concatenate([*bits, np.zeros((0, 4), np.int64)])
             yield pd.DataFrame({"node": np.array(nodes, np.int64), **{w: told[:, i] for i, w in enumerate(WORD_NAMES)}, "cells": pd.Series(cells, dtype="object")})
             release()
@@ -141,6 +165,12 @@ def prints(text: Column, axes: int, grids: int, words: int = WORDS) -> Column:
     return sketch(text)
 
 
+def cells_within(cell: Column, axes: int) -> Column:
+    """The cell and those one step up along an axis."""
+    count = lambda i: F.shiftrightunsigned(cell, 2 * i).bitwiseAND(F.lit(3))
+    return F.array_compact(F.array(cell, *[F.when(count(i) < 2, cell + F.lit(1 << 2 * i)) for i in range(axes)]))
+
+
 def node(text: Column, words: int = WORDS) -> Column:
     @F.pandas_udf("long")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -229,7 +259,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     written = materialize(docs.select(F.col(id_col).alias("doc_id"), sketch).select("doc_id", "p.*"), "similar-prints")
     found = written.drop("cells")
     # copies are one node
-    entered = written.groupBy("node").agg(F.first("w0").alias("w0"), F.first("cells").alias("cells")).select("node", "w0", F.explode("cells").alias("cell"))
+    entered = written.groupBy("node").agg(F.first("w0").alias("w0"), F.first("cells").alias("cells")).select("node", "w0", F.explode("cells").alias("own"))
+    # the cells that a text reaches: who is within a step of it is entered in one of them too
+    entered = entered.select("node", "w0", F.explode(cells_within(F.col("own"), axes)).alias("cell"))
     cell, whole = Window.partitionBy("cell").orderBy("node"), Window.partitionBy("cell")
     own = F.struct("node", "w0")
     before = [F.lag(own, k).over(cell) for k in range(1, NEIGHBOURS + 1)]

@@ -466,3 +466,26 @@ def test_quality_held_out(spark, odd, empty):
     assert len(rows(quality.scores(odd, few))) == len(ODD)
     assert {r["score"] for r in rows(quality.scores(odd, few.limit(0)))} == {0.5}
     assert quality.keep_good(odd, few).columns == odd.columns and rows(quality.scores(empty, few)) == []
+
+
+def test_near_grids_join_by_range(spark):
+    """Counts of two-bit segments are the coordinates; texts a step apart in a grid meet, those of an equal cell are the fewer."""
+    rng = random.Random(11)
+    left = [[f"w{rng.randrange(10**6)}" for _ in range(180)] for _ in range(150)]
+    # two changed words of 180, five shingles each: a similarity of some 0.8 for four of them
+    right = [[f"x{i}" if i in {20, 60, 100, 140} else w for i, w in enumerate(t)] for t in left]
+    texts = [" ".join(t) for t in left + right]
+    grids = simhash_similar.grids_for()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", simhash_similar.prints(F.col("text"), simhash_similar.AXES, grids)["cells"].alias("cells"))
+    reached = F.flatten(F.transform("cells", lambda c: simhash_similar.cells_within(c, simhash_similar.AXES)))
+    found = {r["doc_id"]: (set(r["cells"]), set(r["reached"])) for r in df.withColumn("reached", reached).collect()}
+    digits = lambda c: [c >> 2 * i & 3 for i in range(simhash_similar.AXES)]
+    assert {d for own, _ in found.values() for c in own for d in digits(c)} == {0, 1, 2}
+    for i in range(len(left)):
+        (own, reach), (other, reach_other) = found[i], found[i + len(left)]
+        for a in own:
+            for b in other:
+                if a >> 26 == b >> 26 and sum(abs(x - y) for x, y in zip(digits(a), digits(b))) <= 1:
+                    assert reach & reach_other
+    equal, met = (sum(bool(found[i][k] & found[i + len(left)][k]) for i in range(len(left))) for k in (0, 1))
+    assert met > 0.95 * len(left) > 1.5 * equal
