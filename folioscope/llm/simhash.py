@@ -102,10 +102,11 @@ def links(fingerprints: DataFrame, column: str = "fp", max_bits: int = 4) -> Dat
 
     entered = coded.select("fp", F.col("c1").alias("cell")).alias("l")
     probing = coded.select("fp", "c1", F.explode(_cells_around(F.col("c1"), first, (1,))).alias("cell")).alias("r")
-    by_first = entered.join(probing, (F.col("l.cell") == F.col("r.cell")) & near & ((F.col("r.c1") != F.col("r.cell")) | (F.col("l.fp") < F.col("r.fp"))))
+    # by merging: Spark takes what is exploded for as small as the fingerprints, and would broadcast it
+    by_first = entered.join(probing.hint("merge"), (F.col("l.cell") == F.col("r.cell")) & near & ((F.col("r.c1") != F.col("r.cell")) | (F.col("l.fp") < F.col("r.fp"))))
 
     around = coded.select("fp", F.explode(_cells_around(F.col("c2"), second, (1, -1))).alias("cell"))
-    by_second = around.alias("l").join(around.alias("r"), (F.col("l.cell") == F.col("r.cell")) & near & (F.col("l.fp") < F.col("r.fp")))
+    by_second = around.alias("l").join(around.alias("r").hint("merge"), (F.col("l.cell") == F.col("r.cell")) & near & (F.col("l.fp") < F.col("r.fp")))
 
     pair = (F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b"))
     return by_first.select(*pair).unionAll(by_second.select(*pair)).distinct()

@@ -128,6 +128,15 @@ def test_simhash_documents(docs):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in rows(kept)) == sorted(lowest.values())
 
 
+def test_simhash_grids_are_not_broadcast(spark):
+    """A table of fingerprints small enough to broadcast has many times its rows in the grids: none is sent to the driver, before or during the run."""
+    signed = [int(v) for v in np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 300)]
+    found = simhash.links(spark.createDataFrame([(v,) for v in [*signed, signed[0] ^ 5]], "fp long"))
+    assert [(r["a"], r["b"]) for r in found.collect()] == [tuple(sorted((signed[0], signed[0] ^ 5)))]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_odd(odd, empty):
     got = rows(simhash.components(odd))
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["fp"] == 0} == {4}
