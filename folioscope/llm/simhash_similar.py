@@ -17,9 +17,10 @@ for the two grids of 64 bits in ``simhash.links``.  So here
   differ than those of a pair at the similarity do (four standard deviations above their
   mean), then verified exactly on their whole sets of shingles; none is capped.
 
-A large group of near-duplicates doesn't become pairs: in a cell of at most ``NEIGHBOURS`` + 1
-members every pair is compared; of its larger ones a text is first compared with the smallest member,
-for the ``STARS`` smallest of these, which are the same few texts for all of a group.  What is apart after that is compared whole, but not as
+All members of a cell are compared where they lie, by their first 64 bits: texts that meet by chance, ever more
+of them in a larger table, leave no row.  A large group of near-duplicates doesn't become pairs: a cell is crowded if a member has more than ``NEIGHBOURS`` mates near it;
+there a text is first paired with the smallest of its mates,
+of all its cells the ``STARS`` smallest of these, which are the same few texts for all of a group.  What is apart after that is compared whole, but not as
 pairs: a member of another component asks the largest component of its cell, all of it, and the sets
 of shingles are compared inside that join, which is dealt out by a salt; what the other components
 of a cell have among themselves meets in the cell, compared inside the join too.
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, materialize, release
@@ -57,8 +58,10 @@ SEGMENTS, BLOCK, TEXTS = 512, 2048, 64
 EDGE, SPREAD = 0.43, math.sqrt((256**2 - 1) / 3)
 #: The share of pairs at exactly the similarity that some grid has to meet, and the axes of a grid.
 RECALL, AXES = 0.99, 13
-#: Members of a cell that each is compared with, and standard deviations above the mean that the differing bits may lie.
+#: Near mates in a cell that a text is paired with, each of them, and standard deviations above the mean that the differing bits may lie.
 NEIGHBOURS, DEVIATIONS = 7, 4.0
+#: Members of a cell that are compared each with each, the smallest members that those of a larger cell are compared with, and rows of whole cells that are compared at once.
+EACH, LEADERS, ROWS = 512, 64, 1 << 17
 #: Parts that a component is dealt into where others ask it.
 SALTS = 16
 #: Firsts of crowded cells that a text is compared with before.
@@ -199,6 +202,75 @@ def _apart(left: str, right: str, words: tuple[str, ...]) -> Column:
     return sum(F.bit_count(F.col(f"{left}{w}").bitwiseXOR(F.col(f"{right}{w}"))) for w in words)
 
 
+def mates_of(cell: np.ndarray, node: np.ndarray, word: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole cells, their rows in order of cell and node: the places of pairs that differ in at most ``most`` bits of the word,
+    and in crowded cells those of members with a mate and of the smallest of these, or -1 where that is the member itself.
+
+    Of a cell of more than ``EACH`` members all are told as members, the smallest mate being one of its ``LEADERS`` smallest members.
+    """
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)])
+    members = np.diff(np.append(first, len(cell)))
+    group = np.repeat(np.arange(len(first)), members)
+    rank, large = np.arange(len(cell)) - first[group], members[group] > EACH
+    smallest, mates, crowded = np.full(len(cell), -1), np.zeros(len(cell), np.int64), np.zeros(len(first), bool)
+    near, at = [np.zeros((2, 0), np.int64)], np.flatnonzero((rank > 0) & ~large)
+    for step in range(1, EACH):
+        at = at[rank[at] >= step]
+        if not len(at):
+            break
+        found = at[np.bitwise_count(word[at] ^ word[at - step]) <= most]
+        smallest[found] = found - step
+        for side in (found, found - step):
+            mates[side] += 1
+            crowded[group[side[mates[side] > NEIGHBOURS]]] = True
+        found = found[~crowded[group[found]]]
+        near.append(np.stack([found, found - step]))
+    at = np.flatnonzero(large)
+    for leader in range(LEADERS - 1, -1, -1):
+        to = first[group[at]] + leader
+        found = (rank[at] > leader) & (np.bitwise_count(word[at] ^ word[to]) <= most)
+        smallest[at[found]] = to[found]
+    one, other = np.concatenate(near, axis=1)
+    paired = ~crowded[group[one]]
+    told = np.flatnonzero(large | (crowded[group] & (mates > 0)))
+    return one[paired], other[paired], told, smallest[told]
+
+
+def _met(entered: DataFrame, similarity: float) -> DataFrame:
+    """Of ``entered`` (cell, node, w0): node, mate, cell.  Pairs have no cell; the members of crowded cells have it, and their smallest mate, if another one."""
+    import pyarrow as pa
+
+    most, names = most_bits(64, similarity), ["node", "mate", "cell"]
+
+    def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            lone = np.ones(rows.shape[1] + 1, bool)
+            lone[1:-1] = rows[0, 1:] != rows[0, :-1]
+            cell, node, word = rows[:, ~(lone[1:] & lone[:-1])]
+            one, other, member, smallest = mates_of(cell, node, word.view(np.uint64), most)
+            for at in range(0, len(one), ROWS):
+                pair = node[one[at : at + ROWS]], node[other[at : at + ROWS]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, pair), pa.nulls(len(pair[0]), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(node[member]), pa.array(node[smallest], mask=smallest < 0) if len(member) else pa.array([], pa.int64()), pa.array(cell[member])], names)
+
+        held, waiting, wanted = [], 0, ROWS
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            waiting += batch.num_rows
+            if waiting >= wanted:
+                rows = np.concatenate(held, axis=1)
+                whole = int(np.searchsorted(rows[0], rows[0, -1]))  # where the last cell begins: the rest of it may follow
+                if whole:
+                    yield from told(rows[:, :whole])
+                held, waiting = [rows[:, whole:].copy()], rows.shape[1] - whole
+                wanted = max(ROWS, 2 * waiting)
+        if waiting:
+            yield from told(np.concatenate(held, axis=1))
+        release()
+
+    return entered.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(mates, "node long, mate long, cell long")
+
+
 def _pairs(met: DataFrame, one: str, other: str) -> DataFrame:
     return met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).where("a <> b")
 
@@ -216,7 +288,8 @@ def _sets(nodes: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, text
 
 def _asked(asking: DataFrame, members: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """A link from each asking node to its hub if a member of it is near; ``asking`` and ``members``: node, hub.  One is enough to join the components."""
-    members = members.join(asking.select("hub").distinct(), "hub", "left_semi")
+    # a member once, not once a cell: the semi-join would else be put before
+    members = materialize(members.distinct(), "similar-members").join(asking.select("hub").distinct(), "hub", "left_semi")
     both = materialize(asking.select("node").unionAll(members.select("node")).distinct(), "similar-asked")
     told = _sets(both, docs, found, id_col, text_col, words).join(found.select("node", *WORD_NAMES).dropDuplicates(["node"]), "node")
     told = materialize(told, "similar-told")
@@ -261,32 +334,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # copies are one node
     entered = written.groupBy("node").agg(F.first("w0").alias("w0"), F.first("cells").alias("cells")).select("node", "w0", F.explode("cells").alias("own"))
     # the cells that a text reaches: who is within a step of it is entered in one of them too
-    entered = entered.select("node", "w0", F.explode(cells_within(F.col("own"), axes)).alias("cell"))
-    cell, whole = Window.partitionBy("cell").orderBy("node"), Window.partitionBy("cell")
-    own = F.struct("node", "w0")
-    before = [F.lag(own, k).over(cell) for k in range(1, NEIGHBOURS + 1)]
-    ranked = entered.select("node", "w0", "cell", F.count("*").over(whole).alias("members"), F.first(own).over(cell).alias("first"), F.array_compact(F.array(*before)).alias("before")).where("members > 1")
-    # a cell is crowded if some of its members haven't met
-    crowd = F.col("members") > NEIGHBOURS + 1
-    others = F.when(crowd, F.array("first")).otherwise(F.col("before"))
-    near = F.filter(others, lambda o: (o["node"] != F.col("node")) & (F.bit_count(o["w0"].bitwiseXOR(F.col("w0"))) <= most_bits(64, similarity)))
-    ranked = ranked.select("node", "cell", crowd.alias("crowd"), F.transform(near, lambda o: o["node"]).alias("near"))
-    met = materialize(ranked.where((F.size("near") > 0) | F.col("crowd")), "similar-met")
-    # of a text's crowded cells the smallest few firsts: what they leave apart is compared below
-    firsts = met.where("crowd").groupBy("node").agg(F.slice(F.array_sort(F.flatten(F.collect_set("near"))), 1, STARS).alias("near"))
-    met_all = met.where(~F.col("crowd")).select("node", "near").unionAll(firsts)
-    pairs = materialize(_pairs(met_all.select("node", F.explode("near").alias("other")), "node", "other").distinct(), "similar-pairs")
+    entered = entered.select(F.explode(cells_within(F.col("own"), axes)).alias("cell"), "node", "w0")
+    met = materialize(_met(entered, similarity), "similar-met")
+    # of a text's crowded cells the smallest few mates: what they leave apart is compared below
+    firsts = met.where("cell is not null").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("mate")), 1, STARS).alias("mates"))
+    met_all = met.where("cell is null").select("node", "mate").unionAll(firsts.select("node", F.explode("mates").alias("mate")))
+    pairs = materialize(_pairs(met_all, "node", "mate").distinct(), "similar-pairs")
     links = _verified(pairs, docs, found, id_col, text_col, words, similarity)
 
-    # then the members of different components, in cells where not all have met: all members of a crowded cell are in ``met``
-    posts = materialize(met.where("crowd").select("node", "cell").join(found.select("node", *WORD_NAMES).dropDuplicates(["node"]), "node"), "similar-posts")
+    # then the members of different components, in cells where not all have met: all members of a crowded cell that have a mate are in ``met``
+    posts = materialize(met.where("cell is not null").select("node", "cell").join(found.select("node", *WORD_NAMES).dropDuplicates(["node"]), "node"), "similar-posts")
     dealt = _by_part(posts, links)
     others = dealt.where("part <> hub")
     near = sum(F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}"))) for w in WORD_NAMES) <= most_bits(256, similarity)
     # only who is near a member of its cell's largest component has to ask it
     asking = others.alias("l").join(dealt.where("part = hub").alias("r"), (F.col("l.cell") == F.col("r.cell")) & near, "left_semi")
     asking = materialize(asking.select("node", "hub").distinct(), "similar-asking")
-    asked = _asked(asking, dealt.select("node", F.col("part").alias("hub")).distinct(), docs, found, id_col, text_col, words, similarity)
+    asked = _asked(asking, dealt.select("node", F.col("part").alias("hub")), docs, found, id_col, text_col, words, similarity)
     links = links.unionAll(asked)
     # what is apart even now
     others = _by_part(others.select("node", *WORD_NAMES, "cell"), links).drop("hub")

@@ -498,3 +498,44 @@ def test_near_grids_join_by_range(spark):
                     assert reach & reach_other
     equal, met = (sum(bool(found[i][k] & found[i + len(left)][k]) for i in range(len(left))) for k in (0, 1))
     assert met > 0.95 * len(left) > 1.5 * equal
+
+
+def test_near_mates_of_cells(monkeypatch):
+    """Every near pair of a cell is told, or both of it are members of a crowded cell; a member's mate is the smallest one near it."""
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(simhash_similar, "EACH", 60)
+    monkeypatch.setattr(simhash_similar, "LEADERS", 5)
+    base = rng.integers(0, 1 << 63, 6, np.uint64)
+    sizes = [1, 2, 3, 9, 20, 40, 60, 61, 90, 1]
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    node = np.concatenate([np.sort(rng.choice(10**6, n, False)) for n in sizes])
+    # cells of six families, and some whose members are all alike
+    word = base[rng.integers(0, 6, len(cell))] ^ (np.uint64(1) << rng.integers(0, 64, len(cell), np.uint64))
+    word[cell == 3] = word[cell == 3][0]
+    one, other, member, smallest = simhash_similar.mates_of(cell, node, word, 21)
+    near = {(i, j) for i, j in itertools.combinations(range(len(cell)), 2) if cell[i] == cell[j] and bin(int(word[i] ^ word[j])).count("1") <= 21}
+    pairs, members = {(int(j), int(i)) for i, j in zip(one, other)}, set(member.tolist())
+    assert len(pairs) == len(one) and pairs <= near and all((i in members and j in members) for i, j in near - pairs) and not {cell[i] for i, _ in pairs} & {cell[i] for i in members}
+    assert {int(cell[i]) for i in members} >= {3, 7, 8} and {i for i in range(len(cell)) if cell[i] in (7, 8)} <= members
+    for i, mate in zip(member.tolist(), smallest.tolist()):
+        lower = [j for j in range(i) if (j, i) in near and (sizes[cell[i]] <= 60 or j < np.searchsorted(cell, cell[i]) + 5)]
+        assert mate == min(lower, default=-1)
+    assert all(len(x) == 0 for x in simhash_similar.mates_of(cell[:0], node[:0], word[:0], 21))
+
+
+def test_near_chance_leaves_no_rows(spark, monkeypatch):
+    """Texts that share cells by chance alone, many in each as in a large table, are compared in their cells: none is written as a member of a crowded one."""
+    rng, written = random.Random(17), {}
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(400)]
+    texts.append(" ".join([*texts[0].split()[:-1], "other"]))
+
+    def noted(df, label, into=None, keep=simhash_similar.materialize):
+        df = keep(df, label, into)
+        written[label] = written.get(label, 0) + df.count()
+        return df
+
+    monkeypatch.setattr(simhash_similar, "materialize", noted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_similar.components(df, axes=4).collect()}
+    assert got == {i: i for i in range(400)} | {400: 0}
+    assert written["similar-posts"] == 0 and written["similar-met"] < 0.05 * 400 * 400
